@@ -13,6 +13,10 @@ def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
     return edges.groupBy(F.col(node).alias("u")).agg(F.min(other).alias("m"))
 
 
+def _signature(edges: DataFrame) -> tuple[int, int | None]:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given by bigint pairs.
 
@@ -27,25 +31,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     both = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("s"), b.alias("d"))
     nodes = log.stage(both.select(F.col("s").alias("node")).union(both.select("d")).distinct(), "cc-nodes")
     cur = log.stage(both.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct(), "cc-edges")
+    n, mark = _signature(cur)
     for _ in range(max_rounds):
-        n = cur.count()
         if n == 0:
             break
         # large star: every neighbour above the node hangs on the node's least neighbour
-        sym = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        heavy = F.broadcast(heavy_keys(sym, "u", 2 * n))
-        heavy = spark.createDataFrame(heavy.collect(), "u bigint") if n > 100_000 else None
+        sym = cur.select("u", "v").union(cur.select("v", "u").toDF("u", "v"))
+        # at most HEAVY_SHARE keys come to the driver
+        heavy = spark.createDataFrame(heavy_keys(sym, "u", 2 * n).collect(), "u bigint") if n > 100_000 else None
         mins = _least(sym, "u", "v").select("u", F.least("u", "m").alias("m"))
         large = lookup_join(sym, mins, "u", heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every neighbour below the node, and the node, hang on the least
-        small_in = large
-        mins2 = _least(small_in, "u", "v")
-        hang = small_in.join(mins2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = log.stage(hang.union(mins2.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        changed = nxt.exceptAll(cur).limit(1).count()
-        before, cur = cur, nxt
-        log.drop(before)
-        if not changed and nxt.count() == n:
+        low = _least(large, "u", "v")
+        hang = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        nxt = log.stage(hang.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        log.drop(cur)
+        cur, before = nxt, (n, mark)
+        n, mark = _signature(cur)
+        if (n, mark) == before:
             break
     else:
         raise RuntimeError("components did not settle")
