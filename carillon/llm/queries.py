@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carillon.llm.forest import neighbours, similar_pairs
 from carillon.llm.textforms import with_forms
 from carillon.operators.flatten import flatten_manifests, table
 from carillon.tables import load
@@ -26,5 +27,9 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_forms(_visible_texts(spark, sf_dir).where("value is not null"), "value").select("field", "rec_id", "media_pos", "track_pos", "form")
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(neighbours(load(spark, sf_dir, "analyzed"), "analyzed_id", "vector", 64, k=5, least=0.87))
+
+
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
 SQL: dict[str, str] = {}
