@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carillon.llm.forest import neighbours, similar_pairs
 from carillon.llm.history import first_of_package
+from carillon.llm.names import link_names, same_entity_pairs
 from carillon.llm.textforms import with_forms
 from carillon.operators.flatten import flatten_manifests, table
 from carillon.tables import load
@@ -16,6 +17,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of_package(load(spark, sf_dir, "vectors"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_entity_pairs(load(spark, sf_dir, "artists"))
+
+
 def _visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field, rec_id, media_pos, track_pos, value``: artist names and the manifests' track titles."""
     artists = load(spark, sf_dir, "artists").select(F.lit("artists.name").alias("field"), F.col("id").alias("rec_id"), F.lit(0).alias("media_pos"), F.lit(0).alias("track_pos"), F.col("name").alias("value"))
@@ -36,5 +41,5 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(neighbours(load(spark, sf_dir, "analyzed"), "analyzed_id", "vector", 64, k=5, least=0.87))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
 SQL: dict[str, str] = {}
