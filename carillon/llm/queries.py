@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carillon.llm.forest import neighbours, similar_pairs
 from carillon.llm.history import first_of_package
 from carillon.llm.names import link_names, same_entity_pairs
+from carillon.llm.privacy import find, replace
 from carillon.llm.textforms import with_forms
 from carillon.operators.flatten import flatten_manifests, table
 from carillon.tables import load
@@ -41,5 +42,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(neighbours(load(spark, sf_dir, "analyzed"), "analyzed_id", "vector", 64, k=5, least=0.87))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(load(spark, sf_dir, "documents"), load(spark, sf_dir, "artists"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir).select("doc_id", "kind", "start_at")
+
+
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders in place of its findings."""
+    return replace(load(spark, sf_dir, "documents"), _findings(spark, sf_dir))
+
+
+QUERIES = {"p8_found": p8_found, "p8_texts": p8_texts, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
 SQL: dict[str, str] = {}
