@@ -36,7 +36,7 @@ _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’\-][^\W\d_]+)*"
 
 EMAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+\-]){_LOCAL}(?:@\s?|＠|&#64;|\s@\s|\s*[\[({{]\s*(?:at|arroba)\s*[\])}}]\s*){_LABEL}(?:{_DOT}{_LABEL})+(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9._%+\-]){_LOCAL}(?:\s+dot\s+{_LOCAL})*\s+(?:at|arroba)\s+{_LABEL}(?:\s+(?:dot|punto)\s+{_LABEL})+(?![A-Za-z0-9])",
+    rf"|(?<![A-Za-z0-9._%+\-]){_LOCAL}(?:\s+dot\s+{_LOCAL})*\s+(?:at|arroba)\s+{_LABEL}(?:\s+(?:dot|punto)\s+{_LABEL})+(?![A-Za-z0-9])(?!\s+(?:at|arroba)\s)",
     re.IGNORECASE,
 )
 PHONE = re.compile(
@@ -67,7 +67,7 @@ ID_NUMBER = re.compile(
     rf")(?!\w)(?![.\-/]\d)"
 )
 # What stands before numbers of records, discs and orders, and before those of persons.
-_RECORD = re.compile(r"(?:\b(?:cat(?:alogue|alog|\.)?(?:\s*no\.?)?|barcode|gtin|ean|upc|isrc|matrix|order|disc id|session|reel|box|build|offset|frames?|price|release|group|rows|points)\b[\s:.=#]*|[=@#/])$", re.IGNORECASE)
+_RECORD = re.compile(r"(?:\b(?:cat(?:alogue|alog|\.)?(?:\s*no\.?)?|barcode|gtin|ean|upc|isrc|matrix|order|disc id|session|reel|box|build|offset|frames?|price|release|group|rows|points)\b[\s:.=#]*|[=@#/]|\d{4}[-/]\d\d[-/]\d\d\s)$", re.IGNORECASE)
 _STATE = re.compile(r"(?:ssn|social sec\w*|security|sécurité sociale|steuer\w*|tax|fiscal\w*|ausweis\w*|pass(?:port|eport|nummer)?|pasaporte|reisepass\w*|identi\w*|insurance|\bNI\b|\bNIE\b|\bDNI\b|\bID\b|\bgave\b)[^.!?\n]{0,24}$", re.IGNORECASE)
 _STATE_AFTER = re.compile(r"^[^.!?\n]{0,12}\b(?:tax id|ssn|social security|passport)", re.IGNORECASE)
 _STREET = "Street|St|Road|Rd|Lane|Ln|Hill|Mews|Terrace|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Close|Court|Ct|Place|Pl|Square|Sq|Way|Row|Gardens|Crescent|Walk|Grove|Yard|Parade"
@@ -152,7 +152,7 @@ def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken
         while j + 1 < len(words) and re.fullmatch(r"\.?[  ]|\.?[  ][\"“(]|[\"”)][  ]", gap(j)) and free(j + 1):
             j += 1
             x = words[j][0]
-            if len(x) == 1 and x.isupper() or low[j] in PARTICLES or (gap(j - 1)[-1] in "\"“(" and j + 1 < len(words)):
+            if len(x) == 1 and x.isupper() or low[j] in PARTICLES or (gap(j - 1)[-1] in "\"“" and j + 1 < len(words) and gap(j)[0] in "\"”"):
                 continue
             dotted = gap(j - 1).startswith(".")
             if dotted and len(words[j - 1][0]) > 1:
@@ -162,8 +162,6 @@ def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken
                 yield a, words[j][2], low[j], low[i][0]
                 i = j
             break
-        else:
-            pass
         if i == j and j > 0 and words[i][1] != a:
             i += 1
             continue
