@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from carillon.llm.forest import neighbours, similar_pairs
 from carillon.llm.history import first_of_package
-from carillon.llm.names import link_names, same_entity_pairs
+from carillon.llm.mixing import mix, shares, tidy
+from carillon.llm.names import same_entity_pairs
+from carillon.llm.packing import fill_report, pack
 from carillon.llm.privacy import find, replace
 from carillon.llm.textforms import with_forms
+from carillon.llm.tokens import with_tokens
 from carillon.operators.flatten import flatten_manifests, table
+from carillon.session import stage
 from carillon.tables import load
 
 
@@ -55,5 +59,33 @@ def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(load(spark, sf_dir, "documents"), _findings(spark, sf_dir))
 
 
-QUERIES = {"p8_found": p8_found, "p8_texts": p8_texts, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size in tokens, counted once."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", tidy(F.col("source")).alias("source"), "text")
+    return stage(with_tokens(docs), "sizes")
+
+
+def p6_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sized(spark, sf_dir).select("doc_id", "n_tokens"), load(spark, sf_dir, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p6_packs(spark, sf_dir), load(spark, sf_dir, "pack_sizes"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sized(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(_sized(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes at the size of all documents' tokens, which some sources can't reach at their target share."""
+    sized = _sized(spark, sf_dir)
+    return shares(sized, load(spark, sf_dir, "mix_targets"), total=float(sized.agg(F.sum("n_tokens")).first()[0] or 0))
+
+
+QUERIES = {"p6_packs": p6_packs, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_large": p7_shares_large, "p8_found": p8_found, "p8_texts": p8_texts, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
 SQL: dict[str, str] = {}
