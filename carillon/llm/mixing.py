@@ -156,5 +156,5 @@ def shares(sized: DataFrame, targets: DataFrame, total: float | None = None, see
     joined = parts.join(used, ["mix_name", "source"], "left").withColumn("got_tokens", F.coalesce("got_tokens", F.lit(0)))
     every = F.sum("got_tokens").over(Window.partitionBy("mix_name"))
     return joined.select(
-        "mix_name", "source", "target_share", F.round("weight", 6).alias("planned_share"), F.round("exponent", 6).alias("exponent"), F.round(F.col("got_tokens") / every, 6).alias("actual_share"),
+        "mix_name", "source", "target_share", F.round("weight", 6).alias("planned_share"), F.round("exponent", 6).alias("exponent"), F.round(F.try_divide(F.col("got_tokens"), every), 6).alias("actual_share"),
         "got_tokens", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats")

@@ -192,7 +192,7 @@ def fill_report(placed: DataFrame, packs: DataFrame) -> DataFrame:
     per = placed.groupBy("pack_name").agg(F.countDistinct("pack_id").alias("n_packs"), F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
     return packs.join(per, "pack_name", "left").select(
         "pack_name", "capacity_tokens", F.coalesce("n_packs", F.lit(0)).alias("n_packs"), F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        F.round(F.col("n_tokens") / (F.col("n_packs") * F.col("capacity_tokens")), 6).alias("fill"), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("needed_packs"))
+        F.round(F.try_divide(F.col("n_tokens"), F.col("n_packs") * F.col("capacity_tokens")), 6).alias("fill"), F.ceil(F.try_divide(F.col("n_tokens"), F.col("capacity_tokens"))).alias("needed_packs"))
 
 
 def stage_sizes(sized: DataFrame) -> DataFrame:
