@@ -34,11 +34,17 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
     value are summed over ranges of values, so no task holds all rows: first one row a distinct value, then its running sum
     within one of 256 quantile ranges."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    run = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    cum = counts.withColumn("hi", run).withColumn("lo", F.col("hi") - F.col("c"))
-    n = counts.agg(F.sum("c").alias("n"))
-    want = n.select("n", F.explode(F.array(*(F.lit(p) for p in percents))).alias("p")).select("p", F.when(F.col("p") == 100, F.col("n") - 1).otherwise(F.floor((F.col("n") - 1) * F.col("p") / 100)).alias("at"))
-    return cum.join(F.broadcast(want), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("p", F.col(value).alias("value"))
+    # 255 numbers come to the driver
+    cuts = counts.agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < F.col(value))) if cuts else F.lit(0)
+    parted = counts.withColumn("part", part)
+    sums = parted.groupBy("part").agg(F.sum("c").alias("s"))  # at most 256 rows
+    sums = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy(F.lit(1))).alias("n"), "s")
+    want = sums.select("part", "before", "s", "n", F.explode(F.array(*(F.lit(p) for p in percents))).alias("p")).withColumn("at", F.when(F.col("p") == 100, F.col("n") - 1).otherwise(F.floor((F.col("n") - 1) * F.col("p") / 100)))
+    want = want.where("at >= before and at < before + s").select("part", "p", (F.col("at") - F.col("before")).alias("at"))
+    run = F.sum("c").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    hit = parted.join(F.broadcast(want.select("part").distinct()), "part", "left_semi").withColumn("hi", run)
+    return hit.join(F.broadcast(want), "part").where((F.col("at") >= F.col("hi") - F.col("c")) & (F.col("at") < F.col("hi"))).select("p", F.col(value).alias("value"))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:

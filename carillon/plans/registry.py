@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carillon.plans import nested
+from carillon.plans import catalog, evaluation, nested, series, similar, texts
 
-MODULES = (nested,)
-FLAGSHIP = "p5_tracks"
+MODULES = (nested, catalog, similar, series, evaluation, texts)
+FLAGSHIP = "sim_topk"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
