@@ -93,9 +93,9 @@ def eval_verdict(s, d):
 
 
 def eval_cross_codec(s, d):
-    """Titles of one medium that stand there in two codecs."""
-    t = load(s, d, "tracks").where("title is not null").select("media_id", F.lower("title").alias("stem"), "source_audio_codec", "uid")
-    return cross_pairs(t, ["media_id", "stem"], "source_audio_codec", "uid", ("flac", "alac"))
+    """Media of which some track is in one codec and some in another."""
+    t = load(s, d, "tracks").select("media_id", "source_audio_codec", "uid")
+    return cross_pairs(t, ["media_id"], "source_audio_codec", "uid", ("flac", "alac"))
 
 
 def eval_leakage(s, d):
@@ -170,7 +170,7 @@ SQL = {
     "eval_bce": "WITH e AS (SELECT event_type, (value - 50) / 25.0 l, (user_id % 2)::DOUBLE t FROM events) SELECT event_type, round(avg(greatest(l, 0) - l * t + ln(1 + exp(-abs(l)))), 6) loss FROM e GROUP BY 1",
     "eval_gates": _GATES,
     "eval_verdict": f"WITH g AS ({_GATES}) SELECT CASE WHEN count(*) FILTER (state = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (state = 'not-evaluated') > 0 OR count(*) = 0 THEN 'not-evaluated' ELSE 'pass' END verdict FROM g",
-    "eval_cross_codec": "SELECT media_id, lower(title) stem, max(uid) FILTER (source_audio_codec = 'flac') AS first, max(uid) FILTER (source_audio_codec = 'alac') AS second FROM tracks WHERE title IS NOT NULL GROUP BY 1, 2 HAVING count(*) FILTER (source_audio_codec = 'flac') > 0 AND count(*) FILTER (source_audio_codec = 'alac') > 0",
+    "eval_cross_codec": "SELECT media_id, max(uid) FILTER (source_audio_codec = 'flac') AS first, max(uid) FILTER (source_audio_codec = 'alac') AS second FROM tracks GROUP BY 1 HAVING count(*) FILTER (source_audio_codec = 'flac') > 0 AND count(*) FILTER (source_audio_codec = 'alac') > 0",
     "eval_leakage": f"WITH t AS (SELECT isrc, {_SPLIT.format('uid', 50, 50)} split FROM tracks WHERE isrc IS NOT NULL) SELECT isrc FROM t WHERE split = 'train' INTERSECT SELECT isrc FROM t WHERE split = 'test'",
     "eval_pools": "WITH l AS (SELECT track_id id, min(artist_id) artist FROM track_artists WHERE position = 1 GROUP BY 1), t AS (SELECT id, media_id, artist FROM tracks JOIN l USING (id)) SELECT CASE WHEN a.artist = b.artist AND a.media_id = b.media_id THEN 'same_album' WHEN a.artist = b.artist THEN 'same_artist' ELSE 'different_artist' END relation, count(*) n FROM t a JOIN t b ON b.id = a.id + 1 GROUP BY 1",
     "eval_strata_stats": "SELECT e AS event_type, count(event_id) n, round(coalesce(avg(value), 0), 5) mean FROM (VALUES ('click'), ('view'), ('share')) t(e) LEFT JOIN events ON event_type = e GROUP BY 1",
