@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carillon.plans import catalog, changes, evaluation, nested, series, similar, texts
+from carillon.plans import catalog, changes, evaluation, files, nested, series, similar, streams, texts
 
-MODULES = (nested, catalog, similar, series, evaluation, texts, changes)
+MODULES = (nested, catalog, similar, series, evaluation, texts, changes, files, streams)
 FLAGSHIP = "sim_topk"
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Limits of a document, and of an offset in milliseconds.
-MOST_BYTES, MOST_LINES, MOST_LINE_BYTES, MOST_OFFSET = 1 << 20, 10_000, 4096, 3_600_000
+MOST_BYTES, MOST_LINES, MOST_LINE_BYTES, MOST_OFFSET = 512 * 1024, 10_000, 4096, 3_600_000
 _STAMP = re.compile(r"([0-9]+):([0-5][0-9])(?:\.([0-9]{2,3}))?\Z")
 _SHAPED = re.compile(r"[0-9+\-][^:]*:")
 _SPACE = " \t\n\r\f"

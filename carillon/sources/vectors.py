@@ -6,9 +6,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sizes, codes and limits of the format.
 HEADER, ENTRY, MAGIC, MAJOR, MINOR = 64, 12, b"MSIM", 1, 0
@@ -84,8 +86,6 @@ def read_documents(files: DataFrame, path: str = "path", content: str = "content
 def write_documents(members: DataFrame, by: str, dims: int) -> DataFrame:
     """``by, content``: one document per key of ``by, fingerprint, disc, track, status, vector``. A document holds at most 16,384
     members, so a key is bounded."""
-    import pandas as pd
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_TRACKS:
             raise ValueError("a document has at most 16,384 members")
@@ -97,22 +97,18 @@ def write_documents(members: DataFrame, by: str, dims: int) -> DataFrame:
     return got.withColumnRenamed("k", by)
 
 
-def floats(blob) -> DataFrame:
+def floats(cell: Column) -> Column:
     """A binary column of little-endian float32 as an array; null for a length that isn't a multiple of four, and for none."""
-    import pandas as pd
-    from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or len(x) % 4 or not len(x) else np.frombuffer(x, "<f4").tolist() for x in s], dtype=object)
 
-    return run(blob)
+    return run(cell)
 
 
-def blob(vec) -> DataFrame:
+def blob(vec: Column) -> Column:
     """An array of float as little-endian float32 bytes."""
-    import pandas as pd
-    from pyspark.sql import types as T
 
     @F.pandas_udf(T.BinaryType())
     def run(s: pd.Series) -> pd.Series:
