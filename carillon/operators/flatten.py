@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carillon.session import spread
+
 
 @dataclass(frozen=True)
 class Group:
@@ -150,7 +152,7 @@ def flatten(df: DataFrame, key: str | Column, text: str | Column, groups: tuple[
 
     k = F.col(key) if isinstance(key, str) else key
     t = F.col(text) if isinstance(text, str) else text
-    return df.select(k.alias("rec_id"), t.alias("text")).where("text is not null").mapInArrow(run, schema)
+    return spread(df.select(k.alias("rec_id"), t.alias("text")).where("text is not null")).mapInArrow(run, schema)
 
 
 def table(flat: DataFrame, kind: str, levels: tuple[str, ...], columns: dict[str, str]) -> DataFrame:

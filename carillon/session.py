@@ -64,6 +64,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def width(spark: SparkSession) -> int:
+    """Tasks that keep all cores busy in a step whose work isn't seen from its bytes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that comes in fewer parts than there are cores, dealt out over them before costly work a row; a scan in many parts,
+    as every large table is, stays as it is and isn't shuffled. Only for plans without a shuffle of their own."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
+
+
 class StageLog:
     """Stages of one computation; ``close(keep=...)`` deletes those that the final result doesn't read."""
 
