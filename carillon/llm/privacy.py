@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carillon.llm.names import FAMILIAR, PARTICLES, fold, read
-from carillon.session import StageLog
+from carillon.session import StageLog, spread
 
 #: Words by which less than this share of their occurrences stand beside a given name or an initial reveal no one.
 SHARE = 0.25
@@ -190,7 +190,8 @@ def _given_names(artists: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
                     found += [t for toks, _ in got[1] if len(toks) > 1 for t in toks[:-1] if len(t) > 2]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["t"])
 
-    counts = artists.select("name").where("name is not null").mapInArrow(run, "t string").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    counts = spread(artists.select("name").where("name is not null")).mapInArrow(run, "t string").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    counts = StageLog(artists.sparkSession).stage(counts, "p8-given")
     total = counts.agg(F.sum("n")).first()[0] or 0
     learned = {r[0] for r in counts.where(F.col("n") >= max(3, total // GIVEN_SHARE)).select("t").collect()}
     short = {s for v in FAMILIAR.values() for s in v.split()}
@@ -215,7 +216,7 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "kind", "start_at", "end_at", "word", "ini"])
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = log.stage(texts.mapInArrow(run, "doc_id bigint, kind string, start_at int, end_at int, word string, ini string"), "p8-spans")
+    spans = log.stage(spread(texts).mapInArrow(run, "doc_id bigint, kind string, start_at int, end_at int, word string, ini string"), "p8-spans")
     names = spans.where("kind = 'name'")
     # how often each word stands beside a name, and beside whose
     beside = names.groupBy("word", "ini").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carillon.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -37,4 +39,4 @@ def with_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", voca
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n, pa.int32())], [*rest, out])
 
-    return docs.mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
