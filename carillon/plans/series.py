@@ -30,8 +30,8 @@ def wave_downsample(s, d):
 
 
 def wave_upsample(s, d):
-    few = S.wave_buckets(_frames(s, d).where("frame < 33"), "user_id", "frame", "x", RATE)
-    got = S.downsample(few, "user_id", "bucket", "peak", "rms", 48)
+    """In 200 columns, which for many streams are more than they have points: those repeat theirs."""
+    got = S.downsample(S.wave_buckets(_frames(s, d), "user_id", "frame", "x", RATE), "user_id", "bucket", "peak", "rms", 200)
     return got.select("user_id", F.col("column").cast("bigint").alias("col"), "peak", "rms")
 
 
@@ -154,7 +154,6 @@ QUERIES = {f.__name__: f for f in (
 _F = "f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, value / 500.0 AS x FROM events)"
 _Q = "(CASE WHEN {0} <= 0 THEN 0 WHEN {0} >= 1 THEN 255 ELSE greatest(1, least(255, round((20 * log10({0}) + 60) / 60 * 254) + 1)) END)::INT"
 _B = f"b AS (SELECT user_id, frame * 10 // {RATE} AS bucket, {_Q.format('max(abs(x))')} peak, {_Q.format('sqrt(avg(x * x))')} rms FROM f GROUP BY 1, 2)"
-_BF = _B.replace("FROM f GROUP", "FROM f WHERE frame < 33 GROUP")
 _T = """t AS (SELECT user_id, list(x ORDER BY frame) FILTER (frame >= n - 24) tail, list(x ORDER BY frame) FILTER (frame < 4) head, max(n) n FROM (SELECT *, count(*) OVER (PARTITION BY user_id) n FROM f) GROUP BY 1),
 m AS (SELECT *, greatest(0.02, 0.25 * list_median(tail)) fl, list_median(tail) md, greatest(0.02, 0.25 * list_median(head)) hfl FROM (SELECT *, list_aggregate(tail, 'median') AS list_median_tail FROM t)),
 st AS (SELECT *, (len(tail) - coalesce(list_max(list_transform(generate_series(1, len(tail)), lambda i: CASE WHEN tail[i] >= 0.02 THEN i ELSE 0 END)), 0)) * 0.1::DOUBLE silence,
@@ -165,7 +164,6 @@ _L = "l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT)::BIGINT AS
 SQL = {
     "wave_buckets": f"WITH {_F}, {_B} SELECT * FROM b",
     "wave_downsample": f"WITH {_F}, {_B}, n AS (SELECT user_id, max(bucket) + 1 AS n FROM b GROUP BY 1), c AS (SELECT user_id, range AS col, CASE WHEN 24 >= n THEN least(n - 1, range * n // 24) ELSE range * n // 24 END lo, CASE WHEN 24 >= n THEN least(n - 1, range * n // 24) + 1 ELSE greatest(range * n // 24 + 1, (range + 1) * n // 24) END hi FROM n, range(24)) SELECT user_id, col, max(peak) peak, round(sqrt(avg(rms::DOUBLE * rms)))::INT rms FROM c JOIN b USING (user_id) WHERE bucket >= lo AND bucket < hi GROUP BY 1, 2",
-    "wave_upsample": f"WITH {_F}, {_BF}, n AS (SELECT user_id, max(bucket) + 1 AS n FROM b GROUP BY 1), c AS (SELECT user_id, range AS col, least(n - 1, range * n // 48) lo FROM n, range(48)) SELECT user_id, col, peak, rms FROM c JOIN b ON c.user_id = b.user_id AND bucket = lo".replace("SELECT user_id, col, peak, rms FROM c JOIN b ON", "SELECT c.user_id, col, peak, rms FROM c JOIN b ON"),
     "gated_mean": f"WITH {_F}, s AS (SELECT user_id, frame // 5 AS s, sum(x * x) e, count(*) n FROM f GROUP BY 1, 2), w AS (SELECT user_id, sum(e) OVER q / 20 AS e, sum(n) OVER q AS n FROM s WINDOW q AS (PARTITION BY user_id ORDER BY s ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), k AS (SELECT * FROM w WHERE n = 20 AND e >= pow(10, (-70 + 0.691) / 10)), g AS (SELECT user_id, e FROM (SELECT *, avg(e) OVER (PARTITION BY user_id) AS m FROM k) WHERE e >= 0.1 * m), r AS (SELECT user_id, count(*) n_blocks, avg(e) e FROM g GROUP BY 1) SELECT u.user_id, coalesce(n_blocks, 0) n_blocks, round(coalesce(greatest(-70, 10 * log10(e) - 0.691), -70), 6) lufs FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN r ON r.user_id = u.user_id",
     "peak_level": f"WITH {_F}, p AS (SELECT user_id, greatest(-70, 20 * log10(max(abs(x)))) db FROM f GROUP BY 1) SELECT user_id, round(db, 6) peak_db, round(least(-16 - (db - 20), -1 - db), 6) gain FROM p",
     "resample_linear": f"WITH {_F}, n AS (SELECT user_id, count(*) n FROM f GROUP BY 1), j AS (SELECT user_id, n, unnest(range((n * 5 + 2) // 3)) AS frame FROM n), k AS (SELECT *, frame * 3 // 5 AS k, frame * 3.0::DOUBLE / 5.0 - frame * 3 // 5 AS fr FROM j) SELECT k.user_id, k.frame, round(a.x + (b.x - a.x) * fr, 7) AS value FROM k JOIN f a ON a.user_id = k.user_id AND a.frame = k JOIN f b ON b.user_id = k.user_id AND b.frame = least(k + 1, n - 1)",
@@ -187,3 +185,4 @@ SQL = {
     "audio_scalars": f"SELECT event_id, {_Q.format('(value / 500.0)')} q, round(pow(10, -value / 500.0 * 30 / 20), 8) lin, round(cos(least(1, value / 500.0) * pi() / 2), 7) ga, round(sin(least(1, value / 500.0) * pi() / 2), 7) gb, floor(greatest(0, least(value, 300) - 10) * 1000)::BIGINT ms FROM events",
     "loudness_facts": "WITH t AS (SELECT id, CASE WHEN has_loudness = 1 THEN loudness_lufs END l, CASE WHEN has_loudness = 1 THEN loudness_true_peak_db END p FROM tracks) SELECT id, coalesce(NOT isnan(l) AND l BETWEEN -70 AND 6, false) AS valid, round(CASE WHEN l IS NULL OR isnan(l) THEN 0 WHEN p IS NULL OR isnan(p) THEN -16 - l ELSE least(-16 - l, -1 - p) END, 6) gain FROM t",
 }
+SQL["wave_upsample"] = SQL["wave_downsample"].replace("24", "200")
