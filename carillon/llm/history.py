@@ -19,8 +19,9 @@ from carillon.session import drop_path, stage_path
 DIGEST = 64
 #: A shortened digest denotes the one it begins, from this many hex digits on.
 HEAD = 12
-#: Probe rows up to which a batch is sent to all tasks that scan the index; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bits of the bitmap of a batch's probes by which the scan of the index leaves out what they can't hit: 2 MB, for large batches
+#: 16 MB, whatever the size of the index.
+BITS, MORE_BITS, FEW_PROBES = 24, 27, 1_000_000
 ID_BITS = 42
 # Fixed value: SHA-256 of no content.
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -110,6 +111,20 @@ def probes(values: DataFrame, max_edits: int) -> DataFrame:
     return _digests(values).select(F.explode(F.array_distinct(keys)).alias("key"), v.alias("probe"))
 
 
+def _slot(key: str, bits: int) -> Column:
+    return F.pmod(F.col(key), F.lit(1 << bits)) + 1
+
+
+def sift(index: DataFrame, asked: DataFrame, bits: int) -> DataFrame:
+    """The rows of ``index`` whose ``key`` may be among those of ``asked``: a broadcast bitmap of fixed size lets through all that
+    are and few others, so of a long history little more than the hits is shuffled."""
+    slot = _slot("key", bits)
+    marks = asked.select(F.bitmap_bucket_number(slot).alias("_b"), F.bitmap_bit_position(slot).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    byte = "cast(conv(hex(substring(_m, cast(_q div 8 as int) + 1, 1)), 16, 10) as int)"
+    seen = index.withColumn("_b", F.bitmap_bucket_number(slot)).withColumn("_q", F.bitmap_bit_position(slot)).join(F.broadcast(marks), "_b")
+    return seen.where(F.expr(f"shiftright({byte}, cast(_q % 8 as int)) & 1 = 1")).select(index.columns)
+
+
 class HistoryIndex:
     """The written index under ``path``. ``max_edits``: edits within which two whole digests count as one that was mistyped."""
 
@@ -133,8 +148,8 @@ class HistoryIndex:
             self.batches.append(batch)
         index = self._read("segments", "key bigint, value string")
         asked = probes(own, self.max_edits)
-        n = self.spark.read.parquet(f"{self.path}/segments/{batch}").count() * (2 * self.max_edits + 2)
-        hits = index.join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, "key").where("value <> probe")
+        n = self.spark.read.parquet(f"{self.path}/segments/{batch}").count()
+        hits = sift(index, asked, BITS if n <= FEW_PROBES else MORE_BITS).join(asked, "key").where("value <> probe")
         a, b = F.least("value", "probe"), F.greatest("value", "probe")
         pairs = hits.where(F.substring("value", 1, 1) == F.substring("probe", 1, 1)).select(a.alias("a"), b.alias("b")).distinct()
         whole = (F.length("a") == DIGEST + 1) & (F.length("b") == DIGEST + 1)
