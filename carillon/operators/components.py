@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = lookup_join(sym, mins, "u", heavy).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every neighbour below the node, and the node, hang on the least
         low = _least(large, "u", "v")
-        hang = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        hang = lookup_join(large, low, "u", heavy).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = log.stage(hang.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
         log.drop(cur)
         cur, before = nxt, (n, mark)
