@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carillon.llm.names import FAMILIAR, PARTICLES, fold, read
+from carillon.operators.skew import HEAVY_SHARE, lookup_join
 from carillon.session import StageLog, spread
 
 #: Words by which less than this share of their occurrences stand beside a given name or an initial reveal no one.
@@ -221,14 +222,16 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     # how often each word stands beside a name, and beside whose
     beside = names.groupBy("word", "ini").agg(F.count(F.lit(1)).alias("n"))
     all_ini = beside.groupBy("ini").agg(F.sum("n").alias("n"))
-    entropy = all_ini.agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
-    h_all = entropy.first()[0] or 0.0
+    h_all, n_all = all_ini.agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"), F.sum("n")).first()
+    h_all, n_all = h_all or 0.0, n_all or 0
     stats = beside.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
     plain = F.translate(F.lower("text"), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿøł’", "aaaaaaceeeeiiiinooooouuuuyyol'")
     total = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(\p{L}+(?:'\p{L}+)*)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     judged = stats.join(total, "word", "left").withColumn("gain", h_all - F.col("h") - (F.col("k") - 1) / (2 * F.col("n") * F.log(F.lit(2.0))))
-    kept = judged.where((F.col("n") >= share * F.coalesce("total", "n")) & ((F.col("n") <= RARE) | (F.col("gain") >= bits))).select("word")
-    sure = names.join(kept, "word").select("doc_id", "kind", "start_at", "end_at")
+    kept = judged.where((F.col("n") >= share * F.coalesce("total", "n")) & ((F.col("n") <= RARE) | (F.col("gain") >= bits))).select("word", "n")
+    kept = log.stage(kept, "p8-kept")
+    heavy = kept.where(F.col("n") > max(10_000, n_all // HEAVY_SHARE)).select("word")  # at most HEAVY_SHARE words
+    sure = lookup_join(names, kept.select("word"), "word", heavy).select("doc_id", "kind", "start_at", "end_at")
     return spans.where("kind <> 'name'").select("doc_id", "kind", "start_at", "end_at").unionByName(sure).dropDuplicates(["doc_id", "kind", "start_at"])
 
 
