@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,42 @@ def group_top_k(queries: DataFrame, vectors: DataFrame, group: str, id_col: str,
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def block_top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int = 10, block: int = 2048) -> DataFrame:
+    """``id, nbr, score, rank``: for each query vector the ``k`` nearest others of the whole collection, exactly. Both sides are cut
+    into blocks by hash, each block of queries meets each block of vectors in one matrix product, and a block gives at most ``k``
+    rows a query; so no pair is ever a row. Vectors without a cosine are left out."""
+    n_q, n_v = (max(1, -(-d.count() // block)) for d in (queries, vectors))
+    side = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), unit(F.col(vec_col)).alias("v")).where("v is not null")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = side(queries).select("id", "v", part(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+    c = side(vectors).select("id", "v", part(n_v).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, nbrs = np.asarray(a["id"]), np.asarray(b["id"])
+        if not len(ids) or not len(nbrs):
+            return pa.table({"id": pa.array([], pa.int64()), "nbr": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x, y = a["v"].to_pylist(), b["v"].to_pylist()
+        out = ([], [], [])
+        for dim in {len(v) for v in x}:
+            i = np.array([n for n, v in enumerate(x) if len(v) == dim])
+            j = np.array([n for n, v in enumerate(y) if len(v) == dim], dtype=int)
+            if not len(j):
+                continue
+            score = np.array([x[n] for n in i]) @ np.array([y[n] for n in j]).T
+            score[ids[i][:, None] == nbrs[j][None, :]] = -np.inf
+            best = np.lexsort((np.broadcast_to(nbrs[j], score.shape), -score), axis=1)[:, :k]
+            top = np.take_along_axis(score, best, axis=1)
+            keep = top > -np.inf
+            for to, v in zip(out, (np.repeat(ids[i], keep.sum(axis=1)), nbrs[j][best][keep], top[keep])):
+                to.append(v)
+        cat = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return pa.table({"id": pa.array(cat[0].astype("i8")), "nbr": pa.array(cat[1].astype("i8")), "score": pa.array(cat[2])})
+
+    found = q.groupBy("qb", "vb").cogroup(c.groupBy("qb", "vb")).applyInArrow(run, "id bigint, nbr bigint, score double")
+    w = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("nbr"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def centroids(vectors: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
     """``keys, dim, value``: per group the mean of its unit vectors brought to length one, one row a dimension. Groups of unlike
     lengths or with a zero mean are left out. Sums per dimension combine before the shuffle, so a large group costs its task

@@ -142,10 +142,11 @@ def eval_assign_ids(s, d):
 
 def eval_sets_equal(s, d):
     """Whether two sides hold the same keys: both differences must be empty."""
-    a, b = load(s, d, "orders").select("o_custkey").distinct(), load(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    x, y = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a")), b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b"))
-    both = x.select(F.lit(1).alias("k"), "only_a").join(y.select(F.lit(1).alias("k"), "only_b"), "k")
-    return both.select("only_a", "only_b", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"))
+    a = load(s, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = load(s, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    per = a.unionByName(b).groupBy("k").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    got = per.agg(F.count_if(F.expr("b = 0")).alias("only_a"), F.count_if(F.expr("a = 0")).alias("only_b"))
+    return got.select("only_a", "only_b", ((F.col("only_a") == 0) & (F.col("only_b") == 0)).alias("equal"))
 
 
 QUERIES = {f.__name__: f for f in (

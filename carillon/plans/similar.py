@@ -43,9 +43,16 @@ def sim_album_nearest(s, d):
     return S.centroid_pairs(S.centroids(_emb(s, d), ["label"], "embedding"), "label").select("a", "b", F.round("score", 6).alias("score"))
 
 
+def sim_block_topk(s, d):
+    """The five nearest of the whole collection for every 20th vector, in blocks."""
+    e = _emb(s, d)
+    got = S.block_top_k(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+    return got.select("id", "nbr", F.col("rank").cast("bigint").alias("rank"))
+
+
 def sim_hit_rate(s, d):
-    e = _emb(s, d).withColumn("all", F.lit(0))
-    near = S.group_top_k(e.where("vec_id % 20 = 0"), e, "all", "vec_id", "embedding", 5)
+    e = _emb(s, d)
+    near = S.block_top_k(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
     got = S.hit_rate(near, e, "vec_id", "label")
     return got.select("hits", "total", F.round("rate", 6).alias("rate"))
 
@@ -122,7 +129,7 @@ c AS (SELECT label, dim, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS value
 """
 _FINITE = "len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(vector) > 0"
 QUERIES = {f.__name__: f for f in (
-    sim_topk, sim_topk_analyzed, sim_group_topk, sim_pool, sim_album_nearest, sim_hit_rate, sim_support, sim_mean_orders, sim_finite, sim_sets_status, eval_jaccard, eval_displacement, eval_reversals, eval_margin,
+    sim_topk, sim_topk_analyzed, sim_group_topk, sim_pool, sim_album_nearest, sim_block_topk, sim_hit_rate, sim_support, sim_mean_orders, sim_finite, sim_sets_status, eval_jaccard, eval_displacement, eval_reversals, eval_margin,
 )}
 SQL = {
     "sim_topk": f"SELECT vec_id id, round({COS.format('embedding', SEED_SQL)}, 6) score, row_number() OVER (ORDER BY {COS.format('embedding', SEED_SQL)} DESC, vec_id) AS rank FROM embeddings WHERE label < 5 QUALIFY rank <= 20",
@@ -130,6 +137,7 @@ SQL = {
     "sim_group_topk": _TWO + "SELECT id, nbr, rank FROM a",
     "sim_pool": _CENT + "SELECT label, dim, round(value, 6) AS value FROM c",
     "sim_album_nearest": _CENT + "SELECT x.label a, y.label b, round(sum(x.value * y.value), 6) score FROM c x JOIN c y ON x.dim = y.dim AND x.label < y.label GROUP BY 1, 2",
+    "sim_block_topk": "WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings) SELECT q.vec_id AS id, v.vec_id AS nbr, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) AS rank FROM q JOIN q v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5",
     "sim_hit_rate": "WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings), n AS (SELECT q.label a, v.label b FROM q JOIN q v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 5) SELECT count(*) FILTER (a = b) hits, count(*) total, round(avg((a = b)::INT), 6) rate FROM n",
     "sim_support": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings) SELECT vec_id, len(list_filter(v, lambda x: x <> 0))::INT nonzero,
         round(pow(list_sum(list_transform(v, lambda x: x * x)), 2) / list_sum(list_transform(v, lambda x: x * x * x * x)), 5) spread,
