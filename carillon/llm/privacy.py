@@ -69,7 +69,7 @@ ID_NUMBER = re.compile(
 )
 # What stands before numbers of records, discs and orders, and before those of persons.
 _RECORD = re.compile(r"(?:\b(?:cat(?:alogue|alog|\.)?(?:\s*no\.?)?|barcode|gtin|ean|upc|isrc|matrix|order|disc id|session|reel|box|build|offset|frames?|price|release|group|rows|points)\b[\s:.=#]*|[=@#/]|\d{4}[-/]\d\d[-/]\d\d\s)$", re.IGNORECASE)
-_STATE = re.compile(r"(?:ssn|social sec\w*|security|sécurité sociale|steuer\w*|tax|fiscal\w*|ausweis\w*|pass(?:port|eport|nummer)?|pasaporte|reisepass\w*|identi\w*|insurance|\bNI\b|\bNIE\b|\bDNI\b|\bID\b|\bgave\b)[^.!?\n]{0,24}$", re.IGNORECASE)
+_STATE = re.compile(r"(?:ssn|social sec\w*|security|sécurité sociale|steuer\w*|tax|fiscal\w*|ausweis\w*|pass(?:port|eport|nummer)?|pasaporte|reisepass\w*|identi\w*|insurance|\bNI\b|\bNIE\b|\bDNI\b|\bID\b|\bgave\b)(?:\s+n(?:o|r|um)?\.)?[^.!?\n]{0,24}$", re.IGNORECASE)
 _STATE_AFTER = re.compile(r"^[^.!?\n]{0,12}\b(?:tax id|ssn|social security|passport)", re.IGNORECASE)
 _STREET = "Street|St|Road|Rd|Lane|Ln|Hill|Mews|Terrace|Avenue|Ave|Boulevard|Blvd|Drive|Dr|Close|Court|Ct|Place|Pl|Square|Sq|Way|Row|Gardens|Crescent|Walk|Grove|Yard|Parade"
 _UNIT = r"(?:,?\s(?:Apt|Flat|Unit|Suite|Apartment)\.?\s?\w{1,4}|,?\s#\s?\w{1,4})?"

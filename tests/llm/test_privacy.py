@@ -13,6 +13,7 @@ CASES = [
     ("tel:+49 (0)30 23125-250 or 030/23125 138 or 0044 1632 960 984 or 01.99.00.50.05", [("phone", "+49 (0)30 23125-250"), ("phone", "030/23125 138"), ("phone", "0044 1632 960 984"), ("phone", "01.99.00.50.05")]),
     ("Call six one seven, five five five, zero one one three after", [("phone", "six one seven, five five five, zero one one three")]),
     ("SSN is 970405017. order 914458793. disc id 977908806", [("id_number", "970405017")]),
+    ("Social security no. 927334831\nand catalogue no. 927334831", [("id_number", "927334831")]),
     ("Passport X 1960810 was; qq 17 80 50 C is; NIE es Y-1029309-F.", [("id_number", "X 1960810"), ("id_number", "qq 17 80 50 C"), ("id_number", "Y-1029309-F")]),
     ("Platte an Am Tranbra 138. Envoyez le colis au 66 bis, impasse Turmi.", [("address", "Am Tranbra 138"), ("address", "66 bis, impasse Turmi")]),
     ("I moved to 135A Lowijo Ave #15, Vorgrin 93364 last May", [("address", "135A Lowijo Ave #15, Vorgrin 93364")]),
