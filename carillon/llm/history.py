@@ -9,7 +9,7 @@ normalised, cut or compared again. ``packages`` resolves members and links into
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from carillon.operators.components import connected_components
@@ -141,15 +141,15 @@ class HistoryIndex:
     def accept(self, rows: DataFrame, batch: str) -> None:
         """Compare one batch with all before it and with itself, and append it. An empty batch changes nothing; a batch accepted
         again under its name takes the place of the former."""
-        self._write(identity_values(rows).distinct(), "members", batch)
+        self._write(identity_values(rows), "members", batch)
         own = self.spark.read.schema("rank bigint, value string").parquet(f"{self.path}/members/{batch}").select("value").distinct()
-        self._write(segments(own, self.max_edits), "segments", batch)
+        counted = Observation()
+        self._write(segments(own, self.max_edits).observe(counted, F.count(F.lit(1)).alias("n")), "segments", batch)
         if batch not in self.batches:
             self.batches.append(batch)
         index = self._read("segments", "key bigint, value string")
         asked = probes(own, self.max_edits)
-        n = self.spark.read.parquet(f"{self.path}/segments/{batch}").count()
-        hits = sift(index, asked, BITS if n <= FEW_PROBES else MORE_BITS).join(asked, "key").where("value <> probe")
+        hits = sift(index, asked, BITS if counted.get["n"] <= FEW_PROBES else MORE_BITS).join(asked, "key").where("value <> probe")
         a, b = F.least("value", "probe"), F.greatest("value", "probe")
         pairs = hits.where(F.substring("value", 1, 1) == F.substring("probe", 1, 1)).select(a.alias("a"), b.alias("b")).distinct()
         whole = (F.length("a") == DIGEST + 1) & (F.length("b") == DIGEST + 1)
