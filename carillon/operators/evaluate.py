@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ranked_lists(ranked: DataFrame, query: str, item: str, rank: str, k: int, name: str = "list") -> DataFrame:
@@ -120,3 +121,35 @@ def by_hash(df: DataFrame, key: Column, group: str, id_col: str, n_groups: int)
     h = df.withColumn("_h", F.sha2(key, 256)).withColumn("_g", F.sha2(F.col(group).cast("string"), 256))
     best = h.groupBy(group, "_g").agg(F.min_by(id_col, F.struct("_h", F.col(id_col))).alias(id_col))
     return best.orderBy("_g", group).limit(n_groups).select(group, id_col)
+
+
+def stratified_pick(pool: DataFrame, order: list[Column], key: str, spread_by: list[str], buckets: int) -> DataFrame:
+    """``bucket`` and the columns of ``pool``: one row from each of ``buckets`` contiguous parts of the order. In each the row whose
+    values in ``spread_by`` were used least so far is taken, earlier columns first, then the smallest ``key``. What is used feeds
+    later choices, so buckets are settled in turn, each by one aggregation over its own rows; only the chosen rows, one a bucket,
+    come to the driver. Null values count as a value of their own."""
+    from carillon.operators.skew import global_rank
+
+    spark = pool.sparkSession
+    if not 1 <= buckets <= 1000:
+        raise ValueError("buckets must be from 1 to 1000")
+    ranked = global_rank(pool, order, "_rank")
+    n = ranked.count()
+    many = min(buckets, n)
+    used: dict[str, dict] = {c: {} for c in spread_by}
+    out = []
+    for b in range(many):
+        low, high = b * n // many, (b + 1) * n // many
+
+        def uses(c: str) -> Column:
+            x = F.lit(0)
+            for v, k in used[c].items():
+                x = F.when(F.col(c).eqNullSafe(F.lit(v)), F.lit(k)).otherwise(x)
+            return x
+
+        part = ranked.where((F.col("_rank") > low) & (F.col("_rank") <= high)).drop("_rank")
+        row = part.agg(F.min_by(F.struct(*part.columns), F.struct(*(uses(c).alias(f"u{i}") for i, c in enumerate(spread_by)), F.col(key).alias("k"))).alias("r")).first()[0]
+        for c in spread_by:
+            used[c][row[c]] = used[c].get(row[c], 0) + 1
+        out.append((b, *row))
+    return spark.createDataFrame(out, T.StructType([T.StructField("bucket", T.IntegerType()), *pool.schema.fields]))

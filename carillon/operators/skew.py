@@ -32,3 +32,20 @@ def first_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: st
     so a heavy key moves at most ``k`` rows a task."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
+    """Each row's place from 1 in one order of all rows, without any task that sees more than its part: rows are range-sorted and
+    written, one count a part comes to the driver, and a row's place is its part's start plus its place there."""
+    from carillon.session import stage
+
+    spark = df.sparkSession
+    placed = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = stage(placed, "ranked")
+    counts = sorted((r[0], r[1]) for r in placed.groupBy("_part").agg(F.count(F.lit(1))).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    table = F.broadcast(spark.createDataFrame(starts, "_part int, _start bigint"))  # one row a part
+    return placed.join(table, "_part").withColumn(rank, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")

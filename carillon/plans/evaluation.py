@@ -140,6 +140,21 @@ def eval_assign_ids(s, d):
     return first.select("media_id", "isrc", F.format_string("T%03d", r).alias("label"))
 
 
+def eval_stratified(s, d):
+    """Twelve customers over the range of balances, segments and nations used evenly."""
+    c = load(s, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal", F.sha2(F.col("c_custkey").cast("string"), 256).alias("key"))
+    got = E.stratified_pick(c, [F.col("c_acctbal").desc(), F.col("c_custkey")], "key", ["c_nationkey", "c_mktsegment"], 12)
+    return got.select("bucket", "c_custkey")
+
+
+def eval_global_rank(s, d):
+    """Every line's place by price, then keys."""
+    from carillon.operators.skew import global_rank
+
+    o = load(s, d, "orders").select("o_orderkey", "o_totalprice")
+    return global_rank(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_orderkey", "rank")
+
+
 def eval_sets_equal(s, d):
     """Whether two sides hold the same keys: both differences must be empty."""
     a = load(s, d, "orders").select(F.col("o_custkey").alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b"))
@@ -151,12 +166,13 @@ def eval_sets_equal(s, d):
 
 QUERIES = {f.__name__: f for f in (
     eval_spearman, eval_percentiles, eval_compare, eval_safety, eval_zscore, eval_finite, eval_strata, eval_evenly, eval_split, eval_sample_ids, eval_queries_by_hash, eval_bce, eval_gates, eval_verdict,
-    eval_cross_codec, eval_leakage, eval_pools, eval_strata_stats, eval_digest, eval_stride, eval_assign_ids, eval_sets_equal,
+    eval_cross_codec, eval_leakage, eval_pools, eval_strata_stats, eval_digest, eval_stride, eval_assign_ids, eval_sets_equal, eval_stratified, eval_global_rank,
 )}
 _SPLIT = "CASE WHEN ('0x' || substr(sha256({0}), 1, 2))::INT * 100 // 256 < {1} THEN 'train' WHEN ('0x' || substr(sha256({0}), 1, 2))::INT * 100 // 256 < {2} THEN 'validation' ELSE 'test' END"
 _NORM = "sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))"
 _GATES = f"SELECT label, CASE WHEN count(*) < 21 THEN 'not-evaluated' WHEN max(abs({_NORM} - 1)) <= pow(2, -10) THEN 'pass' ELSE 'fail' END state FROM embeddings GROUP BY 1"
 SQL = {
+    "eval_global_rank": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders",
     "eval_spearman": "WITH r AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 x, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0 y FROM part) SELECT p_brand, count(*) n, round(corr(x, y), 6) rho FROM r GROUP BY 1",
     "eval_percentiles": "WITH r AS (SELECT l_extendedprice v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS r, count(*) OVER () n FROM lineitem) SELECT p::BIGINT AS p, round(v, 4) AS value FROM r JOIN (VALUES (0), (1), (25), (50), (75), (95), (99), (100)) t(p) ON r = CASE WHEN p = 100 THEN n - 1 ELSE (n - 1) * p // 100 END",
     "eval_compare": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] v, list_transform(embedding::DOUBLE[], lambda x: floor(x * 100) / 100) c FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) w FROM e GROUP BY 1), j AS (SELECT label, list_cosine_similarity(v, w) a, list_cosine_similarity(c, w) b, sqrt(list_inner_product(c, c)) n FROM e JOIN f USING (label)) SELECT label, round(max(abs(a - b)), 6) most, round(avg(abs(a - b)), 6) mean, count(*) FILTER (sign(a) <> sign(b)) crossings, round(min(n), 5) norm_lo, round(max(n), 5) norm_hi FROM j GROUP BY 1",

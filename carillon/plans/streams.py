@@ -51,9 +51,31 @@ def queue_replay(s, d):
     return T.queue_batch(_actions(load(s, d, "events"))).select("k", "items", F.col("position").alias("pos"), "n_actions")
 
 
-QUERIES = {f.__name__: f for f in (stream_buckets, stream_hopping, stream_sessions, stream_queue, queue_replay)}
+def _player(df):
+    names = F.array(*(F.lit(x) for x in ("play", "ready", "data", "starved", "data", "pause", "resume", "finished", "play", "data", "fail", "stop")))
+    return df.select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") % 12 + 1).cast("int")).alias("event"))
+
+
+def stream_player(s, d):
+    """Each user's player state after each event, from the stream."""
+    return T.drain(T.state_stream(_player(_stream(s, d))), "player")
+
+
+def player_replay(s, d):
+    """The same from a batch."""
+    return T.state_batch(_player(load(s, d, "events")))
+
+
+QUERIES = {f.__name__: f for f in (stream_buckets, stream_hopping, stream_sessions, stream_queue, queue_replay, stream_player, player_replay)}
 SQL = {
     "stream_buckets": "WITH w AS (SELECT date_trunc('day', ts) AS d, event_type, round(max(abs(value)), 4) peak, round(sum(value), 4) total, count(*) n FROM events GROUP BY 1, 2) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, peak, total, n FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "stream_hopping": "WITH w AS (SELECT date_trunc('day', ts) - INTERVAL (k) DAY AS d, event_type, round(sum(value), 4) total, count(*) n FROM events, (VALUES (0), (1)) t(k) GROUP BY 1, 2) SELECT strftime(d, '%Y-%m-%d') AS day, event_type, total, n FROM w WHERE d + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "stream_sessions": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1800 SECONDS THEN 0 ELSE 1 END nw FROM events), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) k FROM g), e AS (SELECT user_id, k, min(ts) a, max(ts) b, count(*) n FROM s GROUP BY 1, 2) SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') first_at, n FROM e WHERE b + INTERVAL 1800 SECONDS < (SELECT max(ts) FROM events)",
 }
+
+# a state machine in SQL: one step a row, by a recursion over each user's events
+_CASES = " ".join(f"WHEN s.state = '{a}' AND e.event = '{e}' THEN '{b}'" for (a, e), b in T.PLAYER.items())
+_MACHINE = f"""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, list_extract(['play', 'ready', 'data', 'starved', 'data', 'pause', 'resume', 'finished', 'play', 'data', 'fail', 'stop'], (event_id % 12 + 1)::INT) AS event,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT DISTINCT user_id AS k, 0::BIGINT AS n, NULL::BIGINT AS seq, 'idle' AS state FROM events
+ UNION ALL SELECT e.k, e.n, e.seq, CASE {_CASES} ELSE s.state END FROM s JOIN e ON e.k = s.k AND e.n = s.n + 1) SELECT k, seq, state FROM s WHERE seq IS NOT NULL"""
+SQL |= {"stream_player": _MACHINE, "player_replay": _MACHINE}

@@ -178,6 +178,47 @@ def queue_stream(actions: DataFrame) -> DataFrame:
     return actions.groupBy("k").applyInPandasWithState(run, QUEUE_SCHEMA, "items string, position int, history string, repeat string, n bigint", "update", GroupStateTimeout.NoTimeout)
 
 
+# ---- state machines ----
+
+#: A player's states by state and event; an event that a state doesn't know leaves it.
+PLAYER = {
+    **{(s, "play"): "loading" for s in ("idle", "ended", "error", "playing", "paused", "buffering", "loading")}, ("loading", "ready"): "buffering", ("loading", "data"): "playing", ("buffering", "data"): "playing",
+    **{(s, "starved"): "buffering" for s in ("loading", "playing")}, **{(s, "pause"): "paused" for s in ("loading", "buffering", "playing")}, ("paused", "resume"): "playing",
+    ("playing", "finished"): "ended", **{(s, "fail"): "error" for s in ("loading", "buffering", "playing", "paused")}, **{(s, "stop"): "idle" for s in ("loading", "buffering", "playing", "paused", "ended", "error")},
+}
+
+
+def state_batch(events: DataFrame, table: dict[tuple[str, str], str] = PLAYER, start: str = "idle") -> DataFrame:
+    """``k, seq, state``: each key's state after each event (``k, at, seq, event``). An event acts on any state as one map of states,
+    so a key's events are a running composition of maps: folded in order of time and number."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "seq"])
+        state, out = start, []
+        for e in pdf["event"]:
+            state = table.get((state, e), state)
+            out.append(state)
+        return pd.DataFrame({"k": pdf["k"], "seq": pdf["seq"], "state": out})
+
+    return events.groupBy("k").applyInPandas(run, "k bigint, seq bigint, state string")
+
+
+def state_stream(events: DataFrame, table: dict[tuple[str, str], str] = PLAYER, start: str = "idle") -> DataFrame:
+    """The same as a stream; batches must come in order of time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else start
+        pdf = pd.concat(list(batches)).sort_values(["at", "seq"])
+        out = []
+        for e in pdf["event"]:
+            now = table.get((now, e), now)
+            out.append(now)
+        state.update((now,))
+        yield pd.DataFrame({"k": pdf["k"], "seq": pdf["seq"], "state": out})
+
+    return events.groupBy("k").applyInPandasWithState(run, "k bigint, seq bigint, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, and give what it wrote: a table in the shared folder."""
     spark = stream.sparkSession

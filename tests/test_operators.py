@@ -146,3 +146,24 @@ def test_findings(spark):
 def test_nesting_keeps_childless_parents(spark):
     p, c = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "k int, n int, t string")
     assert [(r.k, [x.t for x in r.kids]) for r in C.nest(p, c, "k", ["n"], ["t"], "kids").orderBy("k").collect()] == [(1, ["a", "b"]), (2, [])]
+
+
+def test_global_rank_and_stratified_pick(spark):
+    import random
+
+    from carillon.operators.skew import global_rank
+
+    rng = random.Random(3)
+    data = [(k, rng.randrange(50), rng.choice("abc"), f"{rng.random():.9f}") for k in range(500)]
+    df = spark.createDataFrame(data, "id int, score int, g string, key string").repartition(7)
+    order = [F.col("score").desc(), F.col("id")]
+    want = sorted(data, key=lambda r: (-r[1], r[0]))
+    assert [r.id for r in global_rank(df, order).orderBy("rank").collect()] == [r[0] for r in want]
+    used, picks = {}, []
+    for b in range(9):
+        part = want[b * 500 // 9 : (b + 1) * 500 // 9]
+        best = min(part, key=lambda r: (used.get(r[2], 0), r[3]))
+        used[best[2]] = used.get(best[2], 0) + 1
+        picks.append((b, best[0]))
+    assert [(r.bucket, r.id) for r in E.stratified_pick(df, order, "key", ["g"], 9).orderBy("bucket").collect()] == picks
+    assert E.stratified_pick(df.limit(0), order, "key", ["g"], 9).count() == 0 and E.stratified_pick(df.limit(3), order, "key", ["g"], 9).count() == 3

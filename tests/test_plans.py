@@ -6,7 +6,7 @@ import pytest
 
 from carillon.plans import registry
 
-STREAMS = {"stream_buckets", "stream_hopping", "stream_sessions", "stream_queue"}
+STREAMS = {"stream_buckets", "stream_hopping", "stream_sessions", "stream_queue", "stream_player"}
 
 
 def plan(df) -> str:

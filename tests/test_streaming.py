@@ -73,3 +73,10 @@ def test_late_events_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema("v double, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
     got = {r.start: (r.total, r.n) for r in S.drain(S.tumbling(stream, "ts", "1 hour", "1 hour", [], "v"), "t").collect()}
     assert got == {t0: (1.0, 1), t0 + timedelta(hours=5): (4.0, 2)}
+
+
+def test_player_states(spark):
+    events = ["data", "play", "ready", "data", "starved", "data", "pause", "data", "resume", "finished", "stop", "play", "fail", "play"]
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1) + timedelta(seconds=k), k, e) for k, e in enumerate(events)], "k bigint, at timestamp, seq bigint, event string")
+    got = [r.state for r in S.state_batch(df).orderBy("seq").collect()]
+    assert got == ["idle", "loading", "buffering", "playing", "buffering", "playing", "paused", "paused", "playing", "ended", "idle", "loading", "error", "loading"]
