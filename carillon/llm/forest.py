@@ -238,8 +238,8 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, l
     others = flat.join(groups.select(F.col("rep").alias("nbr"), "more"), "nbr", "left").select(
         "rep", "neg", F.explode(F.concat(F.array("nbr"), F.coalesce("more", F.array().cast("array<bigint>")))).alias("nbr"))
     alike = groups.select("rep", F.lit(-1.0).alias("neg"), F.explode(F.concat(F.array("rep"), "more")).alias("nbr"))
-    best = others.unionByName(alike).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("neg", "nbr"))), 1, keep).alias("list"))
-    members = first.select("id", "rep")
+    best = others.unionByName(alike).groupBy("rep").agg(F.slice(F.sort_array(F.collect_set(F.struct("neg", "nbr"))), 1, keep).alias("list"))
+    members = first.select("id", "rep").distinct()
     if n_full:  # copies beyond the first k + 1
         ends = first.where("full is not null").select(F.col("full").alias("vec"), "rep", F.col("id").alias("last"))
         ends = F.broadcast(ends) if n_full <= 1000 else ends

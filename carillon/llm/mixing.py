@@ -131,7 +131,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     spark = sized.sparkSession
     log = StageLog(spark)
     table = F.broadcast(_table(spark, plans(sized, targets, total)).select("mix_name", "source", "whole", "rest", "parts"))  # at most 10,000 rows
-    records = sized.where("n_tokens > 0").join(table, "source")
+    records = sized.where("n_tokens > 0").select("doc_id", "source", "n_tokens").join(table, "source")
     whole = records.where("whole > 0").select("mix_name", "source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), "whole")).alias("block"))
     # the last block: running sums first over parts of the hash range, then inside the part in which the budget ends
     last = records.where("rest > 0").withColumn("block", F.col("whole") + 1)

@@ -192,9 +192,9 @@ def with_forms(df: DataFrame, text: str, form: str = "form", kinds: str = "kinds
     """``df`` with the common form of ``text`` and the kinds of unusual characters found in it.
 
     Null stays null in both; an empty text gives itself and no kinds; texts of any length are read whole; equal texts give equal
-    forms; all other columns are kept. The form of a form is itself.
+    forms; all other columns are kept, but one named as ``form`` or ``kinds`` is replaced. The form of a form is itself.
     """
-    t = F.col(text)
-    rest = df.where(t.isNull() | ~needs_look(t)).select("*", t.alias(form), F.when(t.isNotNull(), F.array().cast("array<string>")).alias(kinds))
-    odd = df.where(needs_look(t)).select("*", _forms(t).alias("__f")).select("*", F.col("__f.form").alias(form), F.col("__f.kinds").alias(kinds)).drop("__f")
+    t, tmp = F.col(text), "__carillon_forms"
+    rest = df.where(t.isNull() | ~needs_look(t)).withColumns({form: t, kinds: F.when(t.isNotNull(), F.array().cast("array<string>"))})
+    odd = df.where(needs_look(t)).withColumn(tmp, _forms(t)).withColumns({form: F.col(f"{tmp}.form"), kinds: F.col(f"{tmp}.kinds")}).drop(tmp)
     return rest.unionByName(odd)

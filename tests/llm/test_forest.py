@@ -43,6 +43,12 @@ def test_copies_keep_the_smallest_ids(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: [x for x in range(5) if x != k][:3] for k in range(20)}
 
 
+def test_repeated_rows_count_once(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.1]), (3, [1.0, 2.1])], "id bigint, v array<float>")
+    got = sorted((r.id, r.nbr) for r in neighbours(df, "id", "v", 2, k=2, least=0.5).collect())
+    assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "x", 2), (2, [1.0, 0.1], "y", 3)], "cell bigint, vec array<float>, own string, rank int")
     assert [(r.id, r.nbr) for r in neighbours(df, "cell", "vec", 2, k=1).orderBy("id").collect()] == [(1, 2), (2, 1)]

@@ -57,3 +57,9 @@ def test_large_source_in_parts(spark, monkeypatch):
 def test_tidy(spark):
     got = [r[0] for r in spark.createDataFrame([(" Liner-Notes ",), ("scan_log",), (None,)], "s string").select(tidy(F.col("s"))).collect()]
     assert got == ["liner_notes", "scan_log", None]
+
+
+def test_clashing_columns(spark):
+    docs, targets = _data(spark)
+    more = docs.select("*", F.lit("x").alias("whole"), F.lit(1).alias("rest"), F.lit(2).alias("block"), F.lit(3).alias("part"), F.lit(4).alias("at"))
+    assert mix(more, targets).exceptAll(mix(docs, targets)).count() == 0

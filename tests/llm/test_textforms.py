@@ -43,3 +43,8 @@ def test_in_spark(spark):
     assert with_forms(df, "t").count() == 5
     assert with_forms(df.limit(0), "t").count() == 0
     assert with_forms(df.where(F.lit(False)), "t").columns == ["id", "t", "other", "form", "kinds"]
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([("Ａ", "old", "x"), ("b", "old", "y")], "t string, form string, kinds string")
+    assert sorted(tuple(r) for r in with_forms(df, "t").select("t", "form").collect()) == [("b", "b"), ("Ａ", "A")]
