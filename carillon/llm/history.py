@@ -19,9 +19,9 @@ from carillon.session import drop_path, stage_path
 DIGEST = 64
 #: A shortened digest denotes the one it begins, from this many hex digits on.
 HEAD = 12
-#: Bits of the bitmap of a batch's probes by which the scan of the index leaves out what they can't hit: 2 MB, for large batches
-#: 16 MB, whatever the size of the index.
-BITS, MORE_BITS, FEW_PROBES = 24, 27, 1_000_000
+#: Sizes, in bits, of the bitmap of a batch's probes by which the scan of the index leaves out what they can't hit: the least
+#: that has 32 bits a probe, or the last: 16 MB at most, whatever the size of the index or the batch.
+BITS = (20, 22, 24, 27)
 ID_BITS = 42
 # Fixed value: SHA-256 of no content.
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -149,7 +149,8 @@ class HistoryIndex:
             self.batches.append(batch)
         index = self._read("segments", "key bigint, value string")
         asked = probes(own, self.max_edits)
-        hits = sift(index, asked, BITS if counted.get["n"] <= FEW_PROBES else MORE_BITS).join(asked, "key").where("value <> probe")
+        bits = next((b for b in BITS if 32 * counted.get["n"] <= 1 << b), BITS[-1])
+        hits = sift(index, asked, bits).join(asked, "key").where("value <> probe")
         a, b = F.least("value", "probe"), F.greatest("value", "probe")
         pairs = hits.where(F.substring("value", 1, 1) == F.substring("probe", 1, 1)).select(a.alias("a"), b.alias("b")).distinct()
         whole = (F.length("a") == DIGEST + 1) & (F.length("b") == DIGEST + 1)
