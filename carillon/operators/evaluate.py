@@ -31,21 +31,26 @@ def displacement(a: DataFrame, b: DataFrame, query: str, item: str, rank: str) -
 
 
 def nearest_rank(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
-    """``p, value``: percentiles as values that occur: place ``(n - 1) * p / 100`` in whole numbers, 100 the last. Counts per
-    value are summed over ranges of values, so no task holds all rows: first one row a distinct value, then its running sum
-    within one of 256 quantile ranges."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    # 255 numbers come to the driver
-    cuts = counts.agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*(F.lit(x) for x in sorted(set(cuts)))), lambda x: x < F.col(value))) if cuts else F.lit(0)
-    parted = counts.withColumn("part", part)
-    sums = parted.groupBy("part").agg(F.sum("c").alias("s"))  # at most 256 rows
-    sums = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy(F.lit(1))).alias("n"), "s")
-    want = sums.select("part", "before", "s", "n", F.explode(F.array(*(F.lit(p) for p in percents))).alias("p")).withColumn("at", F.when(F.col("p") == 100, F.col("n") - 1).otherwise(F.floor((F.col("n") - 1) * F.col("p") / 100)))
-    want = want.where("at >= before and at < before + s").select("part", "p", (F.col("at") - F.col("before")).alias("at"))
-    run = F.sum("c").over(Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    hit = parted.join(F.broadcast(want.select("part").distinct()), "part", "left_semi").withColumn("hi", run)
-    return hit.join(F.broadcast(want), "part").where((F.col("at") >= F.col("hi") - F.col("c")) & (F.col("at") < F.col("hi"))).select("p", F.col(value).alias("value"))
+    """``p, value``: percentiles as values that occur: place ``(n - 1) * p / 100`` in whole numbers, 100 the last. Rows are counted
+    per value, the counts range-sorted and written, one sum a part comes to the driver, and only the parts in which a place lies
+    are walked, each in a task of its own. Null values don't count; an empty table gives no rows."""
+    from carillon.session import stage
+
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    parted = stage(counts.orderBy(value).withColumn("_part", F.spark_partition_id()), "counted")
+    sums = sorted((r[0], r[1]) for r in parted.groupBy("_part").agg(F.sum("_c")).collect())  # one row a part
+    total, before, want = sum(n for _, n in sums), 0, []
+    for part, n in sums:
+        for p in percents:
+            at = total - 1 if p == 100 else (total - 1) * p // 100
+            if before <= at < before + n:
+                want.append((part, p, at - before))
+        before += n
+    wanted = F.broadcast(spark.createDataFrame(want, "_part int, p int, _at bigint"))  # one row a percentile
+    run = F.sum("_c").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    hit = parted.join(F.broadcast(wanted.select("_part").distinct()), "_part", "left_semi").withColumn("_hi", run)
+    return hit.join(wanted, "_part").where((F.col("_at") >= F.col("_hi") - F.col("_c")) & (F.col("_at") < F.col("_hi"))).select("p", F.col(value).alias("value"))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
