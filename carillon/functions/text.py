@@ -53,7 +53,7 @@ def extension(c: Column) -> Column:
 
 # Media types and codecs by file extension.
 MIME = {
-    "mpc": "audio/musepack", "flac": "audio/flac", "wav": "audio/wav", "ogg": "audio/ogg", "wfm": "application/vnd.musicpack.waveform-v1+octet-stream",
+    "mpc": "audio/musepack", "flac": "audio/flac", "wav": "audio/wav", "ogg": "audio/ogg",
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "pdf": "application/pdf",
     "html": "text/html", "htm": "text/html", "js": "text/javascript", "mjs": "text/javascript", "ts": "text/javascript", "css": "text/css", "json": "application/json",
     "map": "application/json", "svg": "image/svg+xml", "woff": "font/woff", "woff2": "font/woff2", "ico": "image/x-icon", "wasm": "application/wasm",
@@ -71,8 +71,9 @@ def lookup(c: Column, table: dict[str, str], default: Column) -> Column:
     return F.coalesce(F.try_element_at(entries, F.coalesce(c, F.lit(""))), default)
 
 
-def mime_for_path(c: Column) -> Column:
-    return lookup(extension(c), MIME, F.lit("application/octet-stream"))
+def mime_for_path(c: Column, more: dict[str, str] | None = None) -> Column:
+    """The media type by extension (its case counts); ``more`` adds a vendor's own types."""
+    return lookup(extension(c), MIME | (more or {}), F.lit("application/octet-stream"))
 
 
 def codec_for_path(c: Column) -> Column:

@@ -44,6 +44,12 @@ def test_display(spark):
     assert one(spark, ["a b/c", "", "x-_."], X.profile_slug) == ["a_b_c", "profile", "x-_."]
 
 
+def test_media_types(spark):
+    assert one(spark, ["a/b.mpc", "x.JPG", "x.jpeg", "none", "w.wfm"], X.mime_for_path) == ["audio/musepack", "application/octet-stream", "image/jpeg", "application/octet-stream", "application/octet-stream"]
+    assert one(spark, ["w.wfm"], lambda c: X.mime_for_path(c, {"wfm": "application/x-waveform"})) == ["application/x-waveform"]
+    assert one(spark, ["a.flac", "a.ogg", "a.FLAC", None], X.codec_for_path) == ["flac", "vorbis", "unknown", "unknown"]
+
+
 def test_collector_line(spark):
     df = spark.createDataFrame([("1986", ["CD", "LP"], 2), ("", [], 1), (None, None, None)], "y string, m array<string>, n int")
     assert [r[0] for r in df.select(X.collector_line(F.col("y"), F.col("m"), F.col("n"))).collect()] == ["1986 · CD/Vinyl · 2 versions", "", ""]
