@@ -43,3 +43,10 @@ def test_lookup_join_with_a_heavy_key(spark):
 def test_first_k(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     assert sorted((r.g, r.id) for r in first_k(df, ["g"], [F.col("id").desc()], 2).collect()) == [(0, 96), (0, 99), (1, 94), (1, 97), (2, 95), (2, 98)]
+
+
+def test_components_with_a_heavy_node(spark):
+    star = spark.range(1, 150_001).select(F.lit(1_000_000).alias("src"), F.col("id").alias("dst"))
+    tail = spark.range(200_000, 200_050).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = connected_components(star.unionByName(tail)).groupBy("root").count().collect()
+    assert {(r.root, r["count"]) for r in got} == {(1, 150_001), (200_000, 51)}
