@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,24 @@ def build_session(app: str = "carillon", master: str | None = None, shuffle_part
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session, once: they need not have it installed or run in its folder."""
+    sc = spark.sparkContext
+    if _OWN.get("shipped") == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="carillon-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/carillon_code.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(f"{folder}/carillon_code.zip")
+    _OWN["shipped"] = sc.applicationId
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
