@@ -197,7 +197,7 @@ def _search_leaf(dim: int, k: int, least: float):
     return run
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 4, probes: int = 2) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 4, probes: int = 1) -> DataFrame:
     """``id, nbr, cos``: for each usable vector up to ``k`` other usable vectors with the largest cosine (at least ``least``), by
     ties the smaller id. Copies of one vector are neighbours of each other with cosine 1. Ids must be unique: of repeated rows
     one counts. An empty table, or one without usable vectors, gives no rows. Approximate in one way only: a neighbour that
