@@ -150,7 +150,8 @@ class HistoryIndex:
         index = self._read("segments", "key bigint, value string")
         asked = probes(own, self.max_edits)
         bits = next((b for b in BITS if 32 * counted.get["n"] <= 1 << b), BITS[-1])
-        hits = sift(index, asked, bits).join(asked, "key").where("value <> probe")
+        # the sizes of exploded rows are guessed too low, so the join is told not to broadcast them
+        hits = sift(index, asked, bits).join(asked.hint("merge"), "key").where("value <> probe")
         a, b = F.least("value", "probe"), F.greatest("value", "probe")
         pairs = hits.where(F.substring("value", 1, 1) == F.substring("probe", 1, 1)).select(a.alias("a"), b.alias("b")).distinct()
         whole = (F.length("a") == DIGEST + 1) & (F.length("b") == DIGEST + 1)
