@@ -132,8 +132,8 @@ class HistoryIndex:
         self.spark, self.path, self.max_edits = spark, path or stage_path(spark, "history"), max_edits
         self.batches: list[str] = []
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{b}" for b in self.batches))
+    def _read(self, name: str, schema: str, batches: list[str] | None = None) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{b}" for b in batches or self.batches))
 
     def _write(self, df: DataFrame, name: str, batch: str) -> None:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/{batch}")
@@ -145,18 +145,21 @@ class HistoryIndex:
         own = self.spark.read.schema("rank bigint, value string").parquet(f"{self.path}/members/{batch}").select("value").distinct()
         counted = Observation()
         self._write(segments(own, self.max_edits).observe(counted, F.count(F.lit(1)).alias("n")), "segments", batch)
-        if batch not in self.batches:
-            self.batches.append(batch)
-        index = self._read("segments", "key bigint, value string")
         asked = probes(own, self.max_edits)
-        bits = next((b for b in BITS if 32 * counted.get["n"] <= 1 << b), BITS[-1])
+        mine = self.spark.read.schema("key bigint, value string").parquet(f"{self.path}/segments/{batch}")
+        earlier = [b for b in self.batches if b != batch]
+        if earlier:
+            bits = next((b for b in BITS if 32 * counted.get["n"] <= 1 << b), BITS[-1])
+            mine = mine.unionByName(sift(self._read("segments", "key bigint, value string", earlier), asked, bits))
         # the sizes of exploded rows are guessed too low, so the join is told not to broadcast them
-        hits = sift(index, asked, bits).join(asked.hint("merge"), "key").where("value <> probe")
+        hits = mine.join(asked.hint("merge"), "key").where("value <> probe")
         a, b = F.least("value", "probe"), F.greatest("value", "probe")
         pairs = hits.where(F.substring("value", 1, 1) == F.substring("probe", 1, 1)).select(a.alias("a"), b.alias("b")).distinct()
         whole = (F.length("a") == DIGEST + 1) & (F.length("b") == DIGEST + 1)
         near = F.levenshtein(F.col("a"), F.col("b"), self.max_edits) >= 0 if self.max_edits else F.lit(False)
         self._write(pairs.where((whole & near) | (~whole & F.col("b").startswith(F.col("a")))), "links", batch)
+        if batch not in self.batches:
+            self.batches.append(batch)
 
     def links(self) -> DataFrame:
         """``a, b``: different values that denote the same. A shortened digest that begins several whole ones denotes none."""
