@@ -1,8 +1,9 @@
 """Rows that name the same person, group or organisation under several spellings.
 
 Names are brought to one form (``textforms``) and read as a person, a duo or an ensemble. Candidates come from a
-symmetric-delete index over the rarer tokens: a token and what is left of it after up to two deletions are looked up, so
-spellings within two edits meet without comparing all tokens. A candidate pair is settled by aligning its tokens: the optimal
+symmetric-delete index over all tokens: a token and what is left of it after up to two deletions are looked up, so
+spellings within two edits meet without comparing all tokens. Names meet by a rarer token alone, and by a frequent one together
+with what else they hold (``hot_keys``). A candidate pair is settled by aligning its tokens: the optimal
 assignment in which each token meets an equal, mistyped, shortened or familiar form of itself. Names that give only an initial
 join a person only where that person is the only one they can mean.
 """
@@ -14,7 +15,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
+from itertools import permutations, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from carillon.llm.textforms import one_form
 from carillon.operators.components import connected_components
+from carillon.operators.skew import HEAVY_SHARE, lookup_join
 from carillon.session import StageLog, spread, width
 
-#: A token in more names than this is no key of its own; it counts together with the name's other tokens.
+#: A token in more names than this is no key of its own; it counts together with what else the name holds (see ``hot_keys``).
 HOT = 200
 
 # Words that make a name one of an ensemble, and the words and particles that don't tell names apart.
@@ -322,6 +324,44 @@ def deletions(token: str, most: int) -> set[str]:
     return out
 
 
+def _letters(t: str, hot: dict[str, list[str]]) -> set[str]:
+    """First letters of what a token of an ensemble may stand for."""
+    return {x[0] for x in (t, SYNONYMS.get(t, t), *hot.get(t, ()), *(w for w in ENSEMBLE_WORDS if near(t, w) is not None))}
+
+
+def hot_keys(parsed: tuple, hot: dict[str, list[str]]) -> set[tuple[str, int]]:
+    """``(key, side)`` by which a name with a frequent token meets all that ``same`` can take for it; ``hot`` gives the frequent
+    tokens within the edits of each of the name's tokens, itself included. Persons and duos: the corrected token with each other
+    one, corrected or in its familiar forms. A person's initials meet what is written out (side 1 meets side 2, all else is 0).
+    Ensembles: the corrected token with the first letters of all others. Joined letters less one, for tokens written as one."""
+    kind, out = parsed[0], set()
+    for form in parsed[1]:
+        for toks, _ in form:
+            whole = "".join(toks)
+            if len(whole) >= 10 and any(t in hot for t in toks) and (kind == "e" or min(map(len, toks)) > 1):
+                out |= {(f"{kind}={d}", 0) for d in deletions(whole, 1)}
+        toks = [t for party, _ in form for t in party]
+        if kind == "e":
+            for k, t in enumerate(toks):
+                rest = [_letters(u, hot) for u in toks[:k] + toks[k + 1 :]] if t in hot else []
+                ways = [rest, [*rest[:-1], *toks[-1]]] if rest and k < len(toks) - 1 and 2 <= len(toks[-1]) <= 3 else [rest]
+                out |= {(f"e|{h}|{''.join(sorted(x))}", 0) for h in hot.get(t, ()) for way in ways for x in product(*way)}
+            continue
+        full, initials = [t for t in toks if len(t) > 1], {t for t in toks if len(t) == 1}
+        for k, t in enumerate(full):
+            others = full[:k] + full[k + 1 :]
+            for h in hot.get(t, ()):
+                for u in others:
+                    out |= {("|".join((kind, *sorted((h, x)))), 0) for x in _familiar().get(u, frozenset((u,))).union(hot.get(u, ()))}
+                if kind == "d":
+                    continue
+                if others:
+                    out |= {(f"p|{h}|1{u[0]}", 2) for u in others} | {(f"p|{h}|2{min(u[0], i)}{max(u[0], i)}", 0) for u in others for i in initials}
+                else:
+                    out |= {(f"p|{h}|", 0)} | {(f"p|{h}|1{i}", 1) for i in initials}
+    return out
+
+
 # ---- in Spark ----
 
 
@@ -340,12 +380,24 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deletes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        left, toks = [], []
-        for t in b.column("token").to_pylist():
+        left, toks, hot = [], [], []
+        for t, h in zip(b.column("token").to_pylist(), b.column("hot").to_pylist()):
             d = deletions(t, slack(t))
             left += d
             toks += [t] * len(d)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(toks, pa.string())], ["rest", "token"])
+            hot += [h] * len(d)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(toks, pa.string()), pa.array(hot, pa.bool_())], ["rest", "token", "hot"])
+
+
+def _hot_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cs, keys, sides = [], [], []
+        for c, cls, met in zip(*(b.column(x).to_pylist() for x in ("c", "cls", "met"))):
+            got = hot_keys(json.loads(cls), {m["token"]: m["hots"] for m in met})
+            cs += [c] * len(got)
+            keys += [k for k, _ in got]
+            sides += [s for _, s in got]
+        yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(keys, pa.string()), pa.array(sides, pa.int32())], ["c", "key", "side"])
 
 
 def _verify_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,21 +428,26 @@ def link_names(rows: DataFrame, hot: int = HOT) -> DataFrame:
     counted = log.stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "p2-tokens")
     rare = counted.where(F.col("df") <= hot).select("token")
     # tokens within their edits of each other
-    deletes = log.stage(rare.repartition(width(rows.sparkSession), "token").mapInArrow(_deletes, "rest string, token string"), "p2-deletes")
-    met = deletes.select("rest", F.col("token").alias("t1")).join(deletes.select("rest", F.col("token").alias("t2")).hint("merge"), "rest").where("t1 < t2").select("t1", "t2").distinct()
-    met = log.stage(met.mapInArrow(_verify_tokens, "t1 string, t2 string"), "p2-met")
+    every = counted.select("token", (F.col("df") > hot).alias("hot"))
+    deletes = log.stage(every.repartition(width(rows.sparkSession), "token").mapInArrow(_deletes, "rest string, token string, hot boolean"), "p2-deletes")
+    met = deletes.select("rest", F.col("token").alias("t1"), F.col("hot").alias("h1")).join(deletes.select("rest", F.col("token").alias("t2"), F.col("hot").alias("h2")).hint("merge"), "rest").where("t1 < t2").drop("rest").distinct()
+    met = log.stage(met.mapInArrow(_verify_tokens, "t1 string, h1 boolean, t2 string, h2 boolean"), "p2-met")
     keyed = log.stage(tokens.join(rare, "token"), "p2-keyed")
-    one = met.select(F.col("t1").alias("key"), F.col("t2").alias("token")).unionByName(met.select(F.col("t2").alias("key"), F.col("t1").alias("token")))
+    close = met.where("not h1 and not h2")
+    one = close.select(F.col("t1").alias("key"), F.col("t2").alias("token")).unionByName(close.select(F.col("t2").alias("key"), F.col("t1").alias("token")))
     by_key = keyed.select("c", F.col("token").alias("key")).unionByName(one.join(keyed, "token").select("c", "key"))
-    # names of which every token is common meet by two tokens at once, or a token and an initial
-    bare = classes.join(keyed.select("c").distinct(), "c", "left_anti").select("c", F.array_sort("toks").alias("toks"))
-    whole = bare.select("c", F.concat(F.lit("="), F.array_join("toks", " ")).alias("key"))
-    two = bare.select("c", F.posexplode("toks").alias("k", "x"), "toks").select("c", "x", F.explode(F.filter("toks", lambda t, j: j != F.col("k"))).alias("y"))
-    two = two.select("c", F.concat_ws("|", F.least("x", "y"), F.greatest("x", "y")).alias("key")).unionByName(two.select("c", F.concat_ws("|", "x", F.substring("y", 1, 1)).alias("key")))
     home = keyed.select("c", F.col("token").alias("key"))
     pairs = by_key.select(F.col("c").alias("x"), "key").join(home.select(F.col("c").alias("y"), "key").hint("merge"), "key")
-    extra = two.unionByName(whole).distinct()
-    pairs = pairs.unionByName(extra.select(F.col("c").alias("x"), "key").join(extra.select(F.col("c").alias("y"), "key").hint("merge"), "key"))
+    # names with a frequent token, or one within its edits, meet by it and what else they hold
+    hots = every.where("hot").select("token", F.col("token").alias("h")).unionByName(met.where("h1").select(F.col("t2").alias("token"), F.col("t1").alias("h"))).unionByName(met.where("h2").select(F.col("t1").alias("token"), F.col("t2").alias("h")))
+    hots = log.stage(hots.groupBy("token").agg(F.collect_set("h").alias("hots")), "p2-hots")
+    n_tokens = counted.agg(F.sum("df")).first()[0] or 0
+    heavy = counted.where(F.col("df") > max(10_000, n_tokens // HEAVY_SHARE)).select("token")  # at most HEAVY_SHARE tokens
+    touched = lookup_join(tokens, hots, "token", heavy).groupBy("c").agg(F.collect_list(F.struct("token", "hots")).alias("met"))
+    extra = touched.join(classes.select("c", "cls").hint("merge"), "c").mapInArrow(_hot_keys, "c bigint, key string, side int")
+    extra = log.stage(extra.select("c", F.xxhash64("key").alias("key"), "side"), "p2-extra")
+    at = lambda side, c: extra.where(F.col("side") == side).select("key", F.col("c").alias(c))
+    pairs = pairs.unionByName(at(0, "x").join(at(0, "y").hint("merge"), "key").where("x < y")).unionByName(at(1, "x").join(at(2, "y").hint("merge"), "key"))
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = log.stage(pairs, "p2-pairs")
     side = lambda c: classes.select(F.col("c").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("marked").alias(f"marked_{c}"))

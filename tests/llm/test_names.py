@@ -58,3 +58,14 @@ def test_names_of_common_tokens_only(spark):
     df = spark.createDataFrame(rows, "id bigint, name string, sort_name string, musicbrainz_id string")
     few = {r.id: r.entity for r in link_names(df, hot=0).collect()}
     assert few == {r.id: r.entity for r in link_names(df).collect()} and len(set(few.values())) == 4
+
+
+def test_variants_of_names_of_common_tokens_meet(spark):
+    from carillon.llm.names import link_names
+
+    names = ["Robert Smith", "Robert Smyth", "Robetr Smith", "Bob Smith", "Smith, Robbie", "R. Smith", "Anna Maria Jones", "Annamaria Jones", "Robert Jones & Anna Smith", "Bob Jones and A. Smith", "Berlin Jazz Band", "Berlin Jz. Band", "Berlin JB", "Brlin Jazz Band", "Berlin String Quartet"]
+    names += [f"{g} {s}" for g in ("Thomas", "Michael", "Veronica", "Penelope") for s in ("Smith", "Jones")] + ["Robert Smith Jr"]
+    df = spark.createDataFrame([(k, n, None, None) for k, n in enumerate(names)], "id bigint, name string, sort_name string, musicbrainz_id string")
+    for hot in (0, 2):
+        got = {r.id: r.entity for r in link_names(df, hot=hot).collect()}
+        assert got == {k: 0 if k < 6 else 6 if k < 8 else 8 if k < 10 else 10 if k < 14 else k for k in range(len(names))}, hot
