@@ -4,7 +4,9 @@ Addresses of mail, telephone and house and the numbers a state gives to a person
 Names have none: a surname is whatever reveals a person. So for each word that stands beside a given name or an initial the
 whole corpus tells how strongly it does so: the share of its occurrences that stand there, and the bits by which it narrows down
 whose name it is (the entropy of the initials beside all words, less the entropy of those beside it). Greetings and verbs follow
-anybody's name and reveal no one; a surname follows a few. Spans whose word exceeds the thresholds are findings.
+anybody's name and reveal no one; a surname follows a few. The bits are asked only of words that are mostly written small where no
+name stands, or that don't end full names: a surname stays one however many bear it. Spans of the known artists' surnames, and spans whose word exceeds the
+thresholds, are findings.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from carillon.llm.names import FAMILIAR, PARTICLES, fold, read
 from carillon.operators.skew import HEAVY_SHARE, lookup_join
 from carillon.session import StageLog, spread
 
-#: Words by which less than this share of their occurrences stand beside a given name or an initial reveal no one.
+#: Words by which less than this share of their occurrences, or of the texts that hold them, stand beside a given name or an
+#: initial reveal no one, unless they are surnames of known artists.
 SHARE = 0.25
-#: Bits about the person that a word must give, unless it is so rare that bits can't be told.
+#: Bits about the person that a word which is written small elsewhere or doesn't end names must give, unless it is so rare that bits can't be told.
 BITS = 0.8
 RARE = 3
 #: A token in at least one of so many persons' names is a given name: at most a few times this number of them, whatever the size.
@@ -179,8 +182,8 @@ def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken
         i += 1
 
 
-def _given_names(artists: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names told from the persons in ``name`` (bounded by GIVEN_SHARE), and the familiar forms known beforehand."""
+def _person_tokens(artists: DataFrame) -> DataFrame:
+    """``t, n, last``: how often a token stands as a given name and as the last token of the persons in ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,11 +191,15 @@ def _given_names(artists: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
             for name in b.column("name").to_pylist():
                 got = read(name)
                 if got and got[0] in "pd":
-                    found += [t for toks, _ in got[1] if len(toks) > 1 for t in toks[:-1] if len(t) > 2]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["t"])
+                    found += [(t, k == len(toks) - 1) for toks, _ in got[1] if len(toks) > 1 for k, t in enumerate(toks) if len(t) > 2]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.bool_())], ["t", "at_end"])
 
-    counts = spread(artists.select("name").where("name is not null")).mapInArrow(run, "t string").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    counts = StageLog(artists.sparkSession).stage(counts, "p8-given")
+    counts = spread(artists.select("name").where("name is not null")).mapInArrow(run, "t string, at_end boolean").groupBy("t").agg(F.count_if(~F.col("at_end")).alias("n"), F.count_if("at_end").alias("last"))
+    return StageLog(artists.sparkSession).stage(counts, "p8-tokens")
+
+
+def _given_names(counts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Given names told from the persons' tokens (bounded by GIVEN_SHARE), and the familiar forms known beforehand."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     learned = {r[0] for r in counts.where(F.col("n") >= max(3, total // GIVEN_SHARE)).select("t").collect()}
     short = {s for v in FAMILIAR.values() for s in v.split()}
@@ -203,21 +210,22 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     """``doc_id, kind, start_at, end_at``: all findings. Null and empty texts have none; texts are read whole; repeated texts have
     theirs each; ids should be unique, rows with a null id are left out. ``artists`` gives the known persons."""
     log = StageLog(docs.sparkSession)
-    given, familiar = _given_names(artists)
+    counts = _person_tokens(artists)
+    given, familiar = _given_names(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 taken = typed(text)
-                rows += [(doc, kind, a, e, None, None) for kind, a, e in taken]
-                rows += [(doc, "name", a, e, w, g) for a, e, w, g in name_spans(text, given, familiar, taken)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "kind", "start_at", "end_at", "word", "ini"])
+                rows += [(doc, kind, a, e, None, None, None, None) for kind, a, e in taken]
+                rows += [(doc, "name", a, e, w, g, text[a:e].islower(), "," not in text[a:e] and not text[a:e].islower()) for a, e, w, g in name_spans(text, given, familiar, taken)]
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "kind", "start_at", "end_at", "word", "ini", "small", "after"])
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = log.stage(spread(texts).mapInArrow(run, "doc_id bigint, kind string, start_at int, end_at int, word string, ini string"), "p8-spans")
+    spans = log.stage(spread(texts).mapInArrow(run, "doc_id bigint, kind string, start_at int, end_at int, word string, ini string, small boolean, after boolean"), "p8-spans")
     names = spans.where("kind = 'name'")
     # how often each word stands beside a name, and beside whose
     beside = names.groupBy("word", "ini").agg(F.count(F.lit(1)).alias("n"))
@@ -225,13 +233,28 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     h_all, n_all = all_ini.agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"), F.sum("n")).first()
     h_all, n_all = h_all or 0.0, n_all or 0
     stats = beside.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
-    plain = F.translate(F.lower("text"), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿøł’", "aaaaaaceeeeiiiinooooouuuuyyol'")
-    total = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(\p{L}+(?:'\p{L}+)*)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    judged = stats.join(total, "word", "left").withColumn("gain", h_all - F.col("h") - (F.col("k") - 1) / (2 * F.col("n") * F.log(F.lit(2.0))))
-    kept = judged.where((F.col("n") >= share * F.coalesce("total", "n")) & ((F.col("n") <= RARE) | (F.col("gain") >= bits))).select("word", "n")
+    places = names.groupBy("word").agg(F.count_if("small").alias("small_here"), F.count_if("after").alias("after"), F.count_distinct("doc_id").alias("docs_here"))
+    # all occurrences, those written small, and the texts that hold the word
+    marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿøł"
+    plain = F.translate("text", marks + marks.upper() + "’", "aaaaaaceeeeiiiinooooouuuuyyol" + "aaaaaaceeeeiiiinooooouuuuyyol".upper() + "'")
+    said = texts.select(F.regexp_extract_all(plain, F.lit(r"(\p{L}+(?:'\p{L}+)*)"), F.lit(1)).alias("w"))
+    each = F.transform("w", lambda w: F.struct(F.lower(w).alias("word"), (w == F.lower(w)).alias("small"), F.lit(False).alias("once")))
+    once = F.transform(F.array_distinct(F.transform("w", F.lower)), lambda w: F.struct(w.alias("word"), F.lit(False).alias("small"), F.lit(True).alias("once")))
+    total = said.select(F.inline(F.concat(each, once))).groupBy("word").agg(F.count_if(~F.col("once")).alias("total"), F.count_if("small").alias("small"), F.count_if("once").alias("docs"))
+    known = counts.where("last > n").select(F.col("t").alias("plain"), F.lit(True).alias("known"))
+    judged = stats.join(places, "word").join(total, "word", "left").withColumn("plain", F.translate("word", "'’", "")).join(known, "plain", "left")
+    judged = judged.withColumn("gain", h_all - F.col("h") - (F.col("k") - 1) / (2 * F.col("n") * F.log(F.lit(2.0))))
+    common = F.coalesce(2 * (F.col("small") - F.col("small_here")) > F.col("total"), F.lit(False))  # mostly small where no name stands
+    after = F.col("after") >= share * F.col("n")  # as the last word of full names; a greeting stands before a name and a comma
+    often = F.col("n") >= share * F.coalesce("total", "n")
+    told = often & ((F.col("n") <= RARE) | (F.col("gain") >= bits))
+    known = F.coalesce("known", F.lit(False))
+    named = known | after & (often | (F.col("docs_here") >= share * F.coalesce("docs", "docs_here")))
+    judged = judged.withColumn("whole", F.coalesce(told | ~common & named, F.lit(False)))
+    kept = judged.where(F.col("whole") | known).select("word", "n", "whole")  # else a known surname's spans in capitals only
     kept = log.stage(kept, "p8-kept")
     heavy = kept.where(F.col("n") > max(10_000, n_all // HEAVY_SHARE)).select("word")  # at most HEAVY_SHARE words
-    sure = lookup_join(names, kept.select("word"), "word", heavy).select("doc_id", "kind", "start_at", "end_at")
+    sure = lookup_join(names, kept.select("word", "whole"), "word", heavy).where("whole or not small").select("doc_id", "kind", "start_at", "end_at")
     return spans.where("kind <> 'name'").select("doc_id", "kind", "start_at", "end_at").unionByName(sure).dropDuplicates(["doc_id", "kind", "start_at"])
 
 

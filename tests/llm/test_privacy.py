@@ -58,3 +58,13 @@ def test_empty(spark):
     docs, artists = _docs(spark, [])
     assert find(docs, artists).count() == 0
     assert find(docs, artists.limit(0)).count() == 0
+
+
+def test_a_surname_that_many_bear_is_found(spark):
+    given = ["Anton", "Berta", "Clara", "Doris", "Estelle", "Frieda", "Gustav", "Helene", "Ingrid", "Jakob", "Klara", "Ludwig"]
+    persons = [(k, f"{g} {s}") for k, (g, s) in enumerate((g, s) for g in given for s in ("Klinsta", "Morvin", "Pelgor", "Drantro"))]
+    artists = spark.createDataFrame(persons, "id bigint, name string")
+    rows = [(k, f"Engineered by {g} {s} here.") for k, (g, s) in enumerate((g, s) for g in given for s in ("Klinsta", "Vastrel", f"Sur{chr(97 + given.index(g))}n"))]
+    rows += [(100 + k, f"klinsta and vastrel {g.lower()} laughed, they laughed") for k, g in enumerate(given)] + [(200, "Vera Sander sang. Sander left, Sander came, Sander sat, Sander slept.")]
+    got = {(r.doc_id, r.start_at) for r in find(spark.createDataFrame(rows, "doc_id bigint, text string"), artists.union(spark.createDataFrame([(900 + k, f"Vera Num{chr(97 + k)}r") for k in range(3)], artists.schema))).collect()}
+    assert got == {(k, 14) for k in range(36)} | {(200, 0)}
