@@ -12,15 +12,17 @@ thresholds, are findings.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carillon.llm.names import FAMILIAR, PARTICLES, fold, read
-from carillon.operators.skew import HEAVY_SHARE, lookup_join
-from carillon.session import StageLog, spread
+from carillon.llm.names import EMPTY_WORDS, FAMILIAR, PARTICLES, fold, read
+from carillon.operators.skew import HEAVY_SHARE, heavy_keys, lookup_join
+from carillon.session import StageLog, spread, width
 
 #: Words by which less than this share of their occurrences, or of the texts that hold them, stand beside a given name or an
 #: initial reveal no one, unless they are surnames of known artists.
@@ -31,6 +33,9 @@ RARE = 3
 #: A token in at least one of so many persons' names is a given name: at most a few times this number of them, whatever the size.
 GIVEN_SHARE = 2000
 
+#: Bytes of the bitmap of rare given names, whatever their number.
+BITMAP = 1 << 17
+
 _S = r"[    \n.\-‐-―/]"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
@@ -88,6 +93,7 @@ ADDRESS = re.compile(
     rf"|{_CAP}[ \-](?:Straße|Strasse|Str\.|Gasse|Weg|Allee|Platz|Ring|Damm|Ufer)\s\d{{1,4}}[a-z]?\b{_FROM}"
     rf")"
 )
+_BESIDE = re.compile(r"(?<![^\W\d_])(?=[^\Wa-z\d_])([^\W\d_]+(?:['’][^\W\d_]+)*)(?=\.?[  \"“(”)]+[^\W\d_])|(?<=,[  ])(?=[^\Wa-z\d_])([^\W\d_]+(?:['’][^\W\d_]+)*)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -125,9 +131,10 @@ def _case(w: str) -> str:
     return "u" if len(w) > 1 and w.isupper() else "t" if w[:1].isupper() else "l"
 
 
-def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, str]]:
+def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken: list[tuple[str, int, int]], rare: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, str, str]]:
     """``(start, end, word, initial)`` for each place where a given name or an initial stands with a word that may be a surname:
-    given name, further initials, particles, word; or word, comma, given name."""
+    given name, further initials, particles, word; or word, comma, given name. ``rare`` given names count in capitals, and where
+    they stand after a given name they may be surnames."""
     words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
     blocked = [False] * len(words)
     k = 0
@@ -148,7 +155,7 @@ def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken
     while i < len(words):
         w, a, b = words[i]
         initial = len(w) == 1 and w.isupper() and text[b : b + 1] == "."
-        if not free(i) or not (initial or is_given(i)):
+        if not free(i) or not (initial or is_given(i) or low[i] in rare and w[0].isupper()):
             i += 1
             continue
         case, j = _case(w), i
@@ -199,13 +206,27 @@ def _person_tokens(artists: DataFrame) -> DataFrame:
 
 
 def _given_names(counts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names told from the persons' tokens (bounded by GIVEN_SHARE), and the familiar forms known beforehand."""
+    """The frequent given names told from the persons' tokens (bounded by GIVEN_SHARE; ``_rare_names`` are the others), and the
+    familiar forms known beforehand."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     learned = {r[0] for r in counts.where(F.col("n") >= max(3, total // GIVEN_SHARE)).select("t").collect()}
     short = {s for v in FAMILIAR.values() for s in v.split()}
     return frozenset(learned | set(FAMILIAR) - short), frozenset(short)
 
 
+def _rare_names(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``t``: all given names below GIVEN_SHARE, of any number: tokens that stand as given names three times, or more often than as
+    surnames. And a bitmap of fixed size of them, by which most other words are told apart without a join."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rare = counts.where((F.col("n") > 0) & (F.col("n") < max(3, total // GIVEN_SHARE)) & ((F.col("n") >= 3) | (F.col("n") > F.col("last")))).where(~F.col("t").isin(*PARTICLES, *EMPTY_WORDS)).select("t")
+    at = F.crc32(F.encode("t", "utf-8")).bitwiseAND(F.lit(8 * BITMAP - 1))
+    part = rare.select(at.alias("at")).selectExpr("int(at div 32) as k", "shiftleft(1L, int(at % 32)) as b").groupBy("k").agg(F.bit_or("b").alias("b"))
+    bitmap = np.zeros(BITMAP // 4, "<u4")
+    for k, b in part.collect():  # at most BITMAP / 4 rows
+        bitmap[k] = b
+    return rare, bitmap
+
+
 def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """``doc_id, kind, start_at, end_at``: all findings. Null and empty texts have none; texts are read whole; repeated texts have
     theirs each; ids should be unique, rows with a null id are left out. ``artists`` gives the known persons."""
@@ -213,19 +234,36 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     counts = _person_tokens(artists)
     given, familiar = _given_names(counts)
 
+    rare, bitmap = _rare_names(counts)
+
+    def asked(text: str) -> set[str]:
+        """Words beside another in capitals that may be rare given names, by the bitmap."""
+        words = {fold(m.group(1) or m.group(2)) for m in _BESIDE.finditer(text)} - given - familiar
+        return {w for w in words if bitmap[(at := zlib.crc32(w.encode()) & (8 * BITMAP - 1)) >> 5] >> (at & 31) & 1}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            settled = b.column("rare").to_pylist() if "rare" in b.schema.names else None
+            for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
+                if settled is None and (words := asked(text)):  # read once its words are settled
+                    rows += [(doc, "ask", None, None, w, None, None, None) for w in words]
+                    continue
                 taken = typed(text)
                 rows += [(doc, kind, a, e, None, None, None, None) for kind, a, e in taken]
-                rows += [(doc, "name", a, e, w, g, text[a:e].islower(), "," not in text[a:e] and not text[a:e].islower()) for a, e, w, g in name_spans(text, given, familiar, taken)]
+                rows += [(doc, "name", a, e, w, g, text[a:e].islower(), "," not in text[a:e] and not text[a:e].islower()) for a, e, w, g in name_spans(text, given, familiar, taken, frozenset(settled[k] if settled else ()))]
             cols = list(zip(*rows)) if rows else [[]] * 8
             types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "kind", "start_at", "end_at", "word", "ini", "small", "after"])
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = log.stage(spread(texts).mapInArrow(run, "doc_id bigint, kind string, start_at int, end_at int, word string, ini string, small boolean, after boolean"), "p8-spans")
+    kinds = "doc_id bigint, kind string, start_at int, end_at int, word string, ini string, small boolean, after boolean"
+    spans = log.stage(spread(texts).mapInArrow(run, kinds), "p8-first")
+    asks = spans.where("kind = 'ask'").select("doc_id", F.col("word").alias("t"))
+    known_rare = lookup_join(asks, rare.withColumn("hit", F.lit(True)), "t", heavy_keys(asks, "t", asks.count()), "left")
+    known_rare = known_rare.groupBy("doc_id").agg(F.collect_set(F.when(F.col("hit"), F.col("t"))).alias("rare"))
+    again = log.stage(texts.join(known_rare, "doc_id").repartition(width(docs.sparkSession)).mapInArrow(run, kinds), "p8-again")
+    spans = spans.where("kind <> 'ask'").unionByName(again)
     names = spans.where("kind = 'name'")
     # how often each word stands beside a name, and beside whose
     beside = names.groupBy("word", "ini").agg(F.count(F.lit(1)).alias("n"))

@@ -68,3 +68,11 @@ def test_a_surname_that_many_bear_is_found(spark):
     rows += [(100 + k, f"klinsta and vastrel {g.lower()} laughed, they laughed") for k, g in enumerate(given)] + [(200, "Vera Sander sang. Sander left, Sander came, Sander sat, Sander slept.")]
     got = {(r.doc_id, r.start_at) for r in find(spark.createDataFrame(rows, "doc_id bigint, text string"), artists.union(spark.createDataFrame([(900 + k, f"Vera Num{chr(97 + k)}r") for k in range(3)], artists.schema))).collect()}
     assert got == {(k, 14) for k in range(36)} | {(200, 0)}
+
+
+def test_rare_given_names_are_found(spark):
+    frequent = [(k, f"{g} Surn{chr(97 + k % 20)}m") for k, g in enumerate(["Estelle", "Richard", "Vera"] * 2500)]
+    artists = spark.createDataFrame(frequent + [(9000 + k, f"Ottokar Num{chr(97 + k)}r") for k in range(3)] + [(9100, "Quirin Bolstat")], "id bigint, name string")
+    docs = spark.createDataFrame([(1, "by Ottokar Velsin here"), (2, "by Quirin B. Tarmin and Vera Klinsta"), (3, "Palgor, Ottokar, Bratsche"), (4, "Vera Quirin"), (5, "Ottokar laughed"), (6, "Nobody Known")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.start_at, r.end_at) for r in find(docs, artists).collect()}
+    assert got == {(1, 3, 17), (2, 3, 19), (2, 24, 36), (3, 0, 15), (4, 0, 11)}
