@@ -17,20 +17,21 @@ def _signature(edges: DataFrame) -> tuple[int, int | None]:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, log: StageLog | None = None) -> DataFrame:
     """Components of an undirected graph given by bigint pairs.
 
     Returns ``node, root``: one row per node that has an edge, ``root`` the least node of its component. Self-loops give a row of
     their own; rows with a null end are ignored; repeated edges count once; an empty input gives an empty table. The number of
     rounds grows with the logarithm of the longest path; each round moves each edge once, with minima combined before the
     shuffle, and a node with very many edges is joined apart (``lookup_join``). Only one number a round comes to the driver.
+    Of the written stages only the result stays; ``log`` is the caller's, which then deletes it with its own.
     """
     spark = edges.sparkSession
-    log = StageLog(spark)
+    own = StageLog(spark)
     a, b = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
     both = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("s"), b.alias("d"))
-    nodes = log.stage(both.select(F.col("s").alias("node")).union(both.select("d")).distinct(), "cc-nodes")
-    cur = log.stage(both.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct(), "cc-edges")
+    nodes = own.stage(both.select(F.col("s").alias("node")).union(both.select("d")).distinct(), "cc-nodes")
+    cur = own.stage(both.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct(), "cc-edges")
     n, mark = _signature(cur)
     for _ in range(max_rounds):
         if n == 0:
@@ -44,8 +45,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small star: every neighbour below the node, and the node, hang on the least
         low = _least(large, "u", "v")
         hang = lookup_join(large, low, "u", heavy).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = log.stage(hang.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        log.drop(cur)
+        nxt = own.stage(hang.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        own.drop(cur)
         cur, before = nxt, (n, mark)
         n, mark = _signature(cur)
         if (n, mark) == before:
@@ -53,6 +54,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError("components did not settle")
     root = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    out = log.stage(nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "cc-out")
-    log.close(out)
+    out = (log or own).stage(nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "cc-out")
+    own.close(out)
     return out
