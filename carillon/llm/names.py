@@ -13,12 +13,12 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import permutations, product
+from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carillon.llm.textforms import one_form
@@ -27,7 +27,7 @@ from carillon.operators.skew import HEAVY_SHARE, lookup_join
 from carillon.session import StageLog, spread, width
 
 #: A token in more names than this is no key of its own; it counts together with what else the name holds (see ``hot_keys``).
-HOT = 200
+HOT = 20
 
 # Words that make a name one of an ensemble, and the words and particles that don't tell names apart.
 ENSEMBLE_WORDS = (
@@ -38,23 +38,38 @@ SYNONYMS = {"chorus": "choir", "4tet": "quartet", "qt": "quartet", "qtt": "quart
 EMPTY_WORDS = set("the of a an and der die das les los las".split())
 PARTICLES = set("van von de del der den di da du dos do la le zu ter ten bin ibn al el af av".split())
 SUFFIXES = {"jr": "jr", "junior": "jr", "jnr": "jr", "sr": "sr", "senior": "sr", "snr": "sr", "ii": "ii", "iii": "iii", "iv": "iv", "2nd": "ii", "3rd": "iii"}
-# Familiar forms of given names.
+# Familiar forms of given names, by language; more are learned from the table (``learned_forms``).
 FAMILIAR = {
-    "alexander": "alex sandy al lex sasha xander", "andrew": "andy drew", "anthony": "tony ant toni", "augustin": "gus august augie", "benjamin": "ben benny",
-    "charles": "charlie chuck chas carl charley", "christopher": "chris kit", "daniel": "dan danny", "dmitri": "dima mitya mitja", "dorothy": "dolly dot dottie dora",
-    "edward": "ed eddie ted ned eddy", "elizabeth": "liz beth lizzie betty eliza betsy lisa bess", "estelle": "stella essie", "francisco": "paco pancho fran curro kiko",
-    "friedrich": "fritz fred freddy fredi", "giuseppe": "beppe peppe peppino pino", "guadalupe": "lupe lupita", "henrietta": "etta hattie hettie henny harriet", "ingrid": "inga",
-    "james": "jim jimmy jamie", "johannes": "hannes hans jo jan", "john": "jack johnny", "josephine": "jo josie jojo", "jurgen": "jorg", "katherine": "kate kathy kitty katie kat kay kath",
-    "lawrence": "larry laurie lawrie", "leonard": "len lenny leo", "margaret": "maggie meg peggy marge greta madge", "mathilde": "tilda tilly mattie thilde", "michael": "mike mick",
-    "nathaniel": "nate nat nathan", "oksana": "ksana oksy", "paloma": "pali", "penelope": "penny nell pen nelly", "philip": "phil pip", "quentin": "quint", "rasmus": "ras",
-    "richard": "rick dick rich richie ricky", "robert": "bob bobby rob robbie bert", "samuel": "sam sammy", "susannah": "sue susie susan suzy sanna", "theodore": "theo ted teddy",
-    "thomas": "tom tommy", "tomas": "tom", "umberto": "berto", "veronica": "ronnie vera roni nica", "wendell": "dell", "william": "bill billy will willy willie liam",
-    "winifred": "winnie freda freddie win", "yusuf": "joe",
+    # English
+    "abigail": "abby gail", "albert": "al bert bertie", "alexander": "alex sandy al lex xander alec", "alexandra": "alex sandra lexi", "alfred": "alf alfie fred", "amanda": "mandy", "andrew": "andy drew", "anthony": "tony ant", "arthur": "art artie",
+    "augustus": "gus", "barbara": "barb babs barbie", "benjamin": "ben benny benji", "bernard": "bernie", "catherine": "cathy cath kate katie kitty cat", "charles": "charlie chuck chas charley chip", "christina": "chris tina chrissie", "christopher": "chris kit topher",
+    "clifford": "cliff", "cynthia": "cindy", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "donald": "don donnie", "dorothy": "dot dottie dolly dora", "douglas": "doug", "edmund": "ed ned ted", "edward": "ed eddie eddy ned ted teddy",
+    "eleanor": "ellie nell nelly nora", "elizabeth": "liz lizzie beth betty bess betsy eliza libby lisa", "eugene": "gene", "florence": "flo florrie", "frances": "fran fanny", "francis": "frank fran", "franklin": "frank", "frederick": "fred freddie freddy", "gabriel": "gabe",
+    "gerald": "gerry jerry", "gertrude": "gertie trudy", "gregory": "greg", "harold": "harry hal", "helen": "nell nellie", "henrietta": "hattie etta hettie henny harriet", "henry": "harry hank hal", "herbert": "herb bert bertie", "isabella": "bella izzy isa", "jacob": "jake", "james": "jim jimmy jamie jem",
+    "janet": "jan", "jeffrey": "jeff", "jennifer": "jen jenny", "jessica": "jess jessie", "john": "jack johnny jon", "jonathan": "jon jonny", "joseph": "joe joey", "josephine": "jo josie jojo", "joshua": "josh", "judith": "judy", "katherine": "kate kathy katie kitty kat kay kath", "kenneth": "ken kenny",
+    "lawrence": "larry laurie lawrie", "leonard": "len lenny leo", "louis": "lou louie", "madeleine": "maddie", "margaret": "maggie meg peggy peg marge madge greta daisy rita", "martha": "marty mattie", "martin": "marty", "mary": "molly polly", "matilda": "tilda tilly mattie", "matthew": "matt", "maximilian": "max",
+    "melvin": "mel", "michael": "mike mick mickey micky", "mildred": "millie", "nathaniel": "nat nate nathan", "nicholas": "nick nicky", "pamela": "pam", "patricia": "pat patty patsy tricia trish", "patrick": "pat paddy", "penelope": "penny nell pen", "peter": "pete", "philip": "phil pip", "priscilla": "cilla",
+    "raymond": "ray", "rebecca": "becky becca", "reginald": "reg reggie", "richard": "rick dick rich richie ricky", "robert": "bob bobby rob robbie bert", "roland": "roly", "ronald": "ron ronnie", "rosemary": "rose rosie", "samuel": "sam sammy", "sarah": "sally sadie", "stanley": "stan", "stephen": "steve stevie",
+    "susan": "sue susie suzy", "susannah": "sue susie suzy susan sanna", "terence": "terry", "theodore": "theo ted teddy", "theresa": "terry tess", "thomas": "tom tommy", "timothy": "tim timmy", "valerie": "val", "veronica": "ronnie vera roni", "victoria": "vicky tori", "vincent": "vince vinnie", "virginia": "ginny", "walter": "walt wally",
+    "wendell": "dell wen", "wilfred": "wilf fred", "william": "bill billy will willy willie liam", "winifred": "winnie freda freddie win", "zachary": "zach zack",
+    # German, Nordic
+    "augustin": "gus gustl august augie", "estelle": "stella essie", "friedrich": "fritz fred freddy fredi", "heinrich": "heinz heiner", "ingrid": "inga", "johannes": "hannes hans jo jan", "josef": "sepp jupp", "jurgen": "jorg", "mathilde": "tilda tilly mattie thilde", "rasmus": "ras",
+    # Spanish, Italian, French
+    "antonio": "toni tonio", "concepcion": "concha", "dolores": "lola", "enrique": "quique", "francisco": "paco pancho fran curro kiko", "giovanni": "gianni", "giuseppe": "beppe peppe peppino pino", "guadalupe": "lupe lupita", "ignacio": "nacho", "jose": "pepe", "luigi": "gigi", "paloma": "pali", "quentin": "quint",
+    "rafael": "rafa", "salvatore": "toto", "tomas": "tom", "umberto": "berto",
+    # Slavic and others
+    "aleksandr": "sasha", "dmitri": "dima mitya mitja", "ivan": "vanya", "mikhail": "misha", "nikolai": "kolya", "oksana": "ksana oksy", "tatiana": "tanya", "vladimir": "vova volodya", "yekaterina": "katya", "yusuf": "joe",
 }
 
+#: Familiar forms are learned from rows whose name and sort name give different given names with one surname: a pair in three such
+#: rows, and in one of LEARN_SHARE of them; so at most LEARN_SHARE pairs, whatever the size.
+LEARN_LEAST, LEARN_SHARE = 3, 2000
+
+_LEARNED: dict[str, frozenset[str]] = {}
+
 
 @lru_cache(maxsize=1)
-def _familiar() -> dict[str, frozenset[str]]:
+def _listed() -> dict[str, frozenset[str]]:
     out: dict[str, set[str]] = {}
     for full, short in FAMILIAR.items():
         for s in short.split():
@@ -62,6 +77,22 @@ def _familiar() -> dict[str, frozenset[str]]:
     return {k: frozenset(v | {k}) for k, v in out.items()}
 
 
+def means(token: str) -> frozenset[str]:
+    """The given names that a token may stand for, itself included."""
+    known = _listed().get(token, frozenset((token,)))
+    return known | _LEARNED.get(token, frozenset())
+
+
+def use_learned(pairs: Iterable[tuple[str, str]]) -> None:
+    """Take learned ``(form, full)`` pairs in place of the former ones of this process."""
+    out: dict[str, set[str]] = {}
+    for short, full in pairs:
+        out.setdefault(short, set()).add(full)
+    if out != _LEARNED:
+        _LEARNED.clear()
+        _LEARNED.update({k: frozenset(v) for k, v in out.items()})
+
+
 def fold(name: str) -> str:
     """One form, lower case, without accents."""
     s = one_form(name)[0].lower().translate({ord("ø"): "o", ord("ł"): "l", ord("đ"): "d", ord("ð"): "d", ord("ı"): "i", ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("þ"): "th"})
@@ -170,43 +201,85 @@ def read(name: str | None) -> tuple | None:
 # ---- aligning ----
 
 
+def assign(cost: list[list[float | None]]) -> list[int] | None:
+    """For each row a column of its own, with the least sum of costs (None: they can't meet); None if there is no such way. At most
+    as many rows as columns. The Hungarian method by shortest augmenting paths: rows squared times columns, any number of tokens."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    if any(all(c is None for c in row) for row in cost):
+        return None
+    far = float("inf")
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, used = [far] * (m + 1), [False] * (m + 1)
+        while True:
+            used[at] = True
+            row, step, to = owner[at], far, -1
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[row - 1][j - 1]
+                    if c is not None and (now := c - u[row] - v[j]) < least[j]:
+                        least[j], way[j] = now, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            if to < 0:
+                return None
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+            if not owner[at]:
+                break
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if owner[j]:
+            out[owner[j] - 1] = j - 1
+    return out
+
+
 def _meet(a: str, b: str) -> tuple[float, bool] | None:
     """Cost of taking two tokens of a person for one, and whether both are written out."""
     if a == b:
         return 0.0, len(a) > 1
     if len(a) == 1 or len(b) == 1:
         return (1.0, False) if a[0] == b[0] else None
-    if _familiar().get(a, frozenset((a,))) & _familiar().get(b, frozenset((b,))):
+    if means(a) & means(b):
         return 0.5, True
     d = near(a, b)
     return None if d is None else (float(d), True)
 
 
+#: What a token costs less that must meet one, and one that meets written out: each outweighs all that comes after it.
+_MUST, _FULL = 10_000.0, 100.0
+
+
 def align_person(a: tuple[list[str], str], b: tuple[list[str], str]) -> tuple[int, list[tuple[str, str]]]:
-    """2: the same written out; 1: the same as far as initials tell; 0: not the same. With the tokens that met."""
+    """2: the same written out; 1: the same as far as initials tell; 0: not the same. With the tokens that met, by the optimal
+    assignment: as many as possible written out, then the fewest edits. Tokens left over may only be further initials."""
     (ta, sa), (tb, sb) = a, b
     if sa != sb or not ta or not tb:
         return 0, []
     if len(ta) > len(tb):
         got, met = align_person(b, a)
         return got, [(y, x) for x, y in met]
-    best, found = None, []
-    if len(tb) <= 6:
-        for perm in permutations(range(len(tb)), len(ta)):
-            cost, full, met = 0.0, 0, []
-            for x, j in zip(ta, perm):
-                if (m := _meet(x, tb[j])) is None:
-                    break
-                cost += m[0] + 0.01 * (perm.index(j) != j)
-                full += m[1] and max(len(x), len(tb[j])) > 2
-                met.append((x, tb[j]))
-            else:
-                left = [t for j, t in enumerate(tb) if j not in perm]
-                # what is left over may be further initials, but not the one that stands for the given name
-                if all(len(t) == 1 for t in left) and (0 in perm or len(tb[0]) > 1) and full and cost <= 3.1 and (best is None or (full, -cost) > best):
-                    best, found = (full, -cost), met
-    if best:
-        return (2 if best[0] >= 2 else 1), found
+    if sum(len(t) > 1 for t in tb) <= len(ta):
+        # what is left over may be further initials, but not the one that stands for the given name
+        must = [len(t) > 1 or j == 0 for j, t in enumerate(tb)]
+        cost: list[list[float | None]] = []
+        for i, x in enumerate(ta):
+            row = [_meet(x, y) for y in tb]
+            cost.append([None if m is None else m[0] + 0.01 * (i != j) - _FULL * (m[1] and max(len(x), len(tb[j])) > 2) - _MUST * must[j] for j, m in enumerate(row)])
+        at = assign(cost)
+        if at is not None:
+            met = [_meet(x, tb[j]) for x, j in zip(ta, at)]
+            full = sum(m[1] and max(len(x), len(tb[j])) > 2 for m, x, j in zip(met, ta, at))
+            if full and sum(must) == sum(must[j] for j in at) and sum(m[0] for m in met) <= 3.1:
+                return (2 if full >= 2 else 1), [(x, tb[j]) for x, j in zip(ta, at)]
     ca, cb = "".join(ta), "".join(tb)
     if min(len(ca), len(cb)) >= 10 and min(map(len, ta)) > 1 < min(map(len, tb)) and len(ta) != len(tb) and edits(*sorted((ca, cb)), 1) <= 1:
         return 2, []
@@ -230,17 +303,19 @@ def align_ensemble(a: list[str], b: list[str]) -> bool:
     """Whether every token finds its own in the other, or the type stands as initials on one side."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) == len(b) and len(a) <= 6:
-        for perm in permutations(range(len(b))):
-            cost, full = 0.0, False
-            for x, j in zip(a, perm):
-                c = _meet_type(x, b[j])
-                if c is None or c == 0.5 and not (_typeish(x) or _typeish(b[j])):
-                    break
-                cost += c
-                full |= c != 0.5 and not _typeish(x) and not _typeish(b[j])
-            else:
-                if full and cost <= 3.5:
+    if len(a) == len(b):
+        cost: list[list[float | None]] = []
+        for x in a:
+            row = [_meet_type(x, y) for y in b]
+            types = [c == 0.5 or _typeish(x) or _typeish(y) for c, y in zip(row, b)]
+            cost.append([None if c is None or c == 0.5 and not (_typeish(x) or _typeish(y)) else c - _FULL * (not t) for c, y, t in zip(row, b, types)])
+            if all(c is None for c in cost[-1]):
+                break
+        else:
+            if (at := assign(cost)) is not None:
+                took = [row[j] for row, j in zip(cost, at)]
+                full = sum(c < 0 for c in took)
+                if full and sum(took) + _FULL * full <= 3.5:
                     return True
     if len(a) >= 2 and len(b) - len(a) in (1, 2):
         short, rest = a[-1], a[:-1]
@@ -352,7 +427,7 @@ def hot_keys(parsed: tuple, hot: dict[str, list[str]]) -> set[tuple[str, int]]:
             others = full[:k] + full[k + 1 :]
             for h in hot.get(t, ()):
                 for u in others:
-                    out |= {("|".join((kind, *sorted((h, x)))), 0) for x in _familiar().get(u, frozenset((u,))).union(hot.get(u, ()))}
+                    out |= {("|".join((kind, *sorted((h, x)))), 0) for x in means(u).union(hot.get(u, ()))}
                 if kind == "d":
                     continue
                 if others:
@@ -365,6 +440,40 @@ def hot_keys(parsed: tuple, hot: dict[str, list[str]]) -> set[tuple[str, int]]:
 # ---- in Spark ----
 
 
+def _with(pairs: list[tuple[str, str]], run):
+    """``run`` in workers that know the learned pairs."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_learned(pairs)
+        yield from run(batches)
+
+    return known
+
+
+def _other_givens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``short, full``: given names that stand for one person in a row, neither an initial nor a mistyping of the other."""
+    for b in batches:
+        found = []
+        for name, sort_name in zip(b.column("name").to_pylist(), b.column("sort_name").to_pylist()):
+            x, y = read(name), read(sort_name)
+            if x and y and x[0] == y[0] == "p":
+                (t, s), (u, r) = x[1][0], y[1][0]
+                if s == r and len(t) == len(u) == 2 and t[1] == u[1] and min(len(t[0]), len(u[0])) > 1 and t[0][-2:] != t[1][-2:] and near(t[0], u[0]) is None:
+                    found.append(tuple(sorted((t[0], u[0]), key=lambda w: (len(w), w))))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["short", "full"])
+
+
+def learned_forms(rows: DataFrame) -> list[tuple[str, str]]:
+    """Pairs of given names that the table's own rows show to be forms of one: the shorter one stands for the longer. Only rows whose
+    name and sort name differ in more than order and case reach Python. At most LEARN_SHARE pairs come to the driver."""
+    bag = lambda c: F.array_sort(F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}]+", " ")), " "))
+    other = rows.where((F.trim("name") != "") & (F.trim("sort_name") != "") & (bag("name") != bag("sort_name"))).select("name", "sort_name")
+    counts = other.mapInArrow(_other_givens, "short string, full string").groupBy("short", "full").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    kept = counts.withColumn("total", total).where((F.col("n") >= LEARN_LEAST) & (F.col("n") * LEARN_SHARE >= F.col("total")))
+    return sorted((r[0], r[1]) for r in kept.select("short", "full").collect())
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, marked, cls, toks = [], [], [], []
@@ -416,27 +525,29 @@ def _verify_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def link_names(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """``id, entity``: for rows of ``id, name, sort_name, musicbrainz_id``, the least id that names the same entity; rows that
-    stand alone are their own. Null or unreadable names are left out (a readable sort name stands in); equal spellings are one;
-    repeated rows count once; two rows that both carry a ``musicbrainz_id`` are different ones (see ``same_entity_pairs``)."""
-    log = StageLog(rows.sparkSession)
-    parsed = rows.where("id is not null").select(F.col("id").cast("bigint").alias("id"), (F.coalesce(F.trim("musicbrainz_id"), F.lit("")) != "").alias("marked"), "name", "sort_name")
-    parsed = spread(parsed).mapInArrow(_parse, "id bigint, marked boolean, cls string, toks array<string>")
-    parsed = log.stage(parsed, "p2-parsed")
+    """``id, entity, marked``: for rows of ``id, name, sort_name, musicbrainz_id``, the least id that names the same entity; rows that
+    stand alone are their own; ``marked`` rows have a ``musicbrainz_id``. Null or unreadable names are left out (a readable sort name
+    stands in); equal spellings are one; repeated rows count once; two rows that both carry a ``musicbrainz_id`` are different ones
+    (see ``same_entity_pairs``). Names of any number of tokens are aligned; other columns aren't read; empty tables give no rows."""
+    spark = rows.sparkSession
+    log = StageLog(spark)
+    asked = rows.where("id is not null").select(F.col("id").cast("bigint").alias("id"), (F.coalesce(F.trim("musicbrainz_id"), F.lit("")) != "").alias("marked"), "name", "sort_name")
+    asked = spread(asked)
+    learned = learned_forms(asked)
+    parsed = log.stage(asked.mapInArrow(_with(learned, _parse), "id bigint, marked boolean, cls string, toks array<string>"), "p2-parsed")
     classes = log.stage(parsed.groupBy("cls").agg(F.min("id").alias("c"), F.max("marked").alias("marked"), F.first("toks").alias("toks")), "p2-classes")
     tokens = classes.select("c", F.explode("toks").alias("token"))
     counted = log.stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "p2-tokens")
-    rare = counted.where(F.col("df") <= hot).select("token")
     # tokens within their edits of each other
     every = counted.select("token", (F.col("df") > hot).alias("hot"))
-    deletes = log.stage(every.repartition(width(rows.sparkSession), "token").mapInArrow(_deletes, "rest string, token string, hot boolean"), "p2-deletes")
+    deletes = log.stage(every.repartition(width(spark), "token").mapInArrow(_deletes, "rest string, token string, hot boolean"), "p2-deletes")
     met = deletes.select("rest", F.col("token").alias("t1"), F.col("hot").alias("h1")).join(deletes.select("rest", F.col("token").alias("t2"), F.col("hot").alias("h2")).hint("merge"), "rest").where("t1 < t2").drop("rest").distinct()
     met = log.stage(met.mapInArrow(_verify_tokens, "t1 string, h1 boolean, t2 string, h2 boolean"), "p2-met")
-    keyed = log.stage(tokens.join(rare, "token"), "p2-keyed")
+    # a token in few names is a key of its own: names meet under it and under those within its edits; at most ``hot`` names a key
+    home = log.stage(tokens.join(every.where("not hot").select("token"), "token").select("c", F.col("token").alias("key")), "p2-keyed")
     close = met.where("not h1 and not h2")
-    one = close.select(F.col("t1").alias("key"), F.col("t2").alias("token")).unionByName(close.select(F.col("t2").alias("key"), F.col("t1").alias("token")))
-    by_key = keyed.select("c", F.col("token").alias("key")).unionByName(one.join(keyed, "token").select("c", "key"))
-    home = keyed.select("c", F.col("token").alias("key"))
+    one = close.select(F.col("t1").alias("to"), F.col("t2").alias("key")).unionByName(close.select(F.col("t2").alias("to"), F.col("t1").alias("key")))
+    by_key = home.unionByName(one.join(home, "key").select("c", F.col("to").alias("key")))
     pairs = by_key.select(F.col("c").alias("x"), "key").join(home.select(F.col("c").alias("y"), "key").hint("merge"), "key")
     # names with a frequent token, or one within its edits, meet by it and what else they hold
     hots = every.where("hot").select("token", F.col("token").alias("h")).unionByName(met.where("h1").select(F.col("t2").alias("token"), F.col("t1").alias("h"))).unionByName(met.where("h2").select(F.col("t1").alias("token"), F.col("t2").alias("h")))
@@ -444,32 +555,34 @@ def link_names(rows: DataFrame, hot: int = HOT) -> DataFrame:
     n_tokens = counted.agg(F.sum("df")).first()[0] or 0
     heavy = counted.where(F.col("df") > max(10_000, n_tokens // HEAVY_SHARE)).select("token")  # at most HEAVY_SHARE tokens
     touched = lookup_join(tokens, hots, "token", heavy).groupBy("c").agg(F.collect_list(F.struct("token", "hots")).alias("met"))
-    extra = touched.join(classes.select("c", "cls").hint("merge"), "c").mapInArrow(_hot_keys, "c bigint, key string, side int")
+    extra = touched.join(classes.select("c", "cls").hint("merge"), "c").mapInArrow(_with(learned, _hot_keys), "c bigint, key string, side int")
     extra = log.stage(extra.select("c", F.xxhash64("key").alias("key"), "side"), "p2-extra")
     at = lambda side, c: extra.where(F.col("side") == side).select("key", F.col("c").alias(c))
     pairs = pairs.unionByName(at(0, "x").join(at(0, "y").hint("merge"), "key").where("x < y")).unionByName(at(1, "x").join(at(2, "y").hint("merge"), "key"))
-    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = log.stage(pairs, "p2-pairs")
+    pairs = log.stage(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "p2-pairs")
     side = lambda c: classes.select(F.col("c").alias(c), F.col("cls").alias(f"cls_{c}"), F.col("marked").alias(f"marked_{c}"))
-    asked = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where("substring(cls_a, 1, 4) = substring(cls_b, 1, 4) and not (marked_a and marked_b)")
-    edges = log.stage(asked.select("a", "b", "cls_a", "cls_b").repartition(width(rows.sparkSession)).mapInArrow(_verify_names, "a bigint, b bigint, got int, full_a boolean, full_b boolean"), "p2-edges")
-    sure = edges.where("got = 2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    comp = connected_components(sure)
+    held = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").where("substring(cls_a, 1, 4) = substring(cls_b, 1, 4) and not (marked_a and marked_b)")
+    edges = log.stage(held.select("a", "b", "cls_a", "cls_b").repartition(width(spark)).mapInArrow(_with(learned, _verify_names), "a bigint, b bigint, got int, full_a boolean, full_b boolean"), "p2-edges")
+    comp = connected_components(edges.where("got = 2").select(F.col("a").alias("src"), F.col("b").alias("dst")), log=log)
     # names with initials only: where all that they can mean is one component, they join it; where there is none, each other
     both = edges.where("got = 1")
     vague = both.select(F.col("a").alias("v"), F.col("b").alias("o"), F.col("full_a").alias("v_full"), F.col("full_b").alias("o_full")).unionByName(both.select(F.col("b").alias("v"), F.col("a").alias("o"), F.col("full_b").alias("v_full"), F.col("full_a").alias("o_full")))
     vague = vague.join(comp.select(F.col("node").alias("o"), "root"), "o", "left").withColumn("root", F.coalesce("root", "o"))
     meant = vague.where("not v_full and o_full").groupBy("v").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    joined = meant.where("least = most").select(F.col("v").alias("src"), F.col("least").alias("dst"))
-    free = vague.where("not v_full and not o_full").join(meant.select("v"), "v", "left_anti").join(meant.select(F.col("v").alias("o")), "o", "left_anti").select(F.col("v").alias("src"), F.col("o").alias("dst"))
-    final = connected_components(sure.unionByName(joined).unionByName(free))
-    at = parsed.join(classes.select("cls", "c"), "cls").join(final.select(F.col("node").alias("c"), "root"), "c", "left")
-    return at.select("id", F.coalesce("root", "c").alias("entity"), "marked")
+    joined = meant.where("least = most").select("v", F.col("least").alias("dst"))
+    free = vague.where("not v_full and not o_full").join(meant.select("v"), "v", "left_anti").join(meant.select(F.col("v").alias("o")), "o", "left_anti").select("v", F.col("root").alias("dst"))
+    # only the components that such names join are run again, as one node each
+    more = joined.unionByName(free).join(comp.select(F.col("node").alias("v"), F.col("root").alias("src")), "v", "left").select(F.coalesce("src", "v").alias("src"), "dst")
+    again = connected_components(more, log=log)
+    final = parsed.select("id", "cls", "marked").join(classes.select("cls", "c"), "cls").join(comp.select(F.col("node").alias("c"), "root"), "c", "left").select("id", "marked", F.coalesce("root", "c").alias("one"))
+    final = final.join(again.select(F.col("node").alias("one"), "root"), "one", "left").select("id", F.coalesce("root", "one").alias("entity"), "marked")
+    final = log.stage(final.dropDuplicates(["id"]), "p2-entities")
+    log.close(final)
+    return final
 
 
 def same_entity_pairs(rows: DataFrame) -> DataFrame:
     """``id_a, id_b``: all pairs of rows of one entity, the smaller id first; of two rows with a ``musicbrainz_id`` never."""
     found = link_names(rows)
-    found = found.dropDuplicates(["id"])
     a, b = found.toDF("id_a", "entity", "m_a"), found.toDF("id_b", "entity", "m_b")
     return a.join(b, "entity").where("id_a < id_b and not (m_a and m_b)").select("id_a", "id_b")
