@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from carillon.operators.skew import heavy_keys, lookup_join
@@ -13,10 +13,6 @@ def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
     return edges.groupBy(F.col(node).alias("u")).agg(F.min(other).alias("m"))
 
 
-def _signature(edges: DataFrame) -> tuple[int, int | None]:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, log: StageLog | None = None) -> DataFrame:
     """Components of an undirected graph given by bigint pairs.
 
@@ -29,10 +25,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark = edges.sparkSession
     own = StageLog(spark)
     a, b = F.col(src).cast("bigint"), F.col(dst).cast("bigint")
+
+    def write(df: DataFrame) -> tuple[DataFrame, tuple[int, int | None]]:
+        """A stage of edges, and its count and signature, taken while it is written."""
+        seen = Observation()
+        out = own.stage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark")), "cc-edges")
+        return out, (seen.get["n"], seen.get["mark"])
+
     both = edges.where(a.isNotNull() & b.isNotNull()).select(a.alias("s"), b.alias("d"))
     nodes = own.stage(both.select(F.col("s").alias("node")).union(both.select("d")).distinct(), "cc-nodes")
-    cur = own.stage(both.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct(), "cc-edges")
-    n, mark = _signature(cur)
+    cur, (n, mark) = write(both.where("s <> d").select(F.greatest("s", "d").alias("u"), F.least("s", "d").alias("v")).distinct())
     for _ in range(max_rounds):
         if n == 0:
             break
@@ -45,10 +47,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small star: every neighbour below the node, and the node, hang on the least
         low = _least(large, "u", "v")
         hang = lookup_join(large, low, "u", heavy).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = own.stage(hang.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+        nxt, now = write(hang.union(low.select("u", F.col("m").alias("v"))).distinct())
         own.drop(cur)
-        cur, before = nxt, (n, mark)
-        n, mark = _signature(cur)
+        cur, before, (n, mark) = nxt, (n, mark), now
         if (n, mark) == before:
             break
     else:
