@@ -92,3 +92,72 @@ def test_accepting_a_batch_again_changes_nothing(spark):
     for _ in range(2):
         index.accept(one, "b0")
     assert [tuple(r) for r in index.packages().collect()] == [(1, 2)]
+
+
+def test_edits_of_every_kind_link_and_only_within_the_bound(spark):
+    h = _h("edits")
+    other = "0" if h[30] != "0" else "1"
+    kinds = [h[:30] + other + h[31:], h[:30] + h[31:], h[:30] + "a" + h[30:], h[:5] + h[7:], "b" + h + "c", h[:20] + h[21] + h[20] + h[22:]]
+    rows = [(0, 0, h, None, None, None)] + [(k, k, v, None, None, None) for k, v in enumerate(kinds, 1)]
+    assert [r[1] for r in _found(spark, rows)] == [1, 2, 3, 4, 5, 6] and {r[0] for r in _found(spark, rows)} == {0}
+    assert _found(spark, rows, max_edits=0) == []
+    assert [r[1] for r in _found(spark, rows, max_edits=1)] == [1, 2, 3]
+    far = h[:10] + "".join("0" if c != "0" else "1" for c in h[10:13]) + h[13:]
+    assert _found(spark, [(0, 0, h, None, None, None), (1, 1, far, None, None, None)]) == []
+
+
+def test_an_index_outlives_its_object_and_old_batches_are_not_read(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    mistyped = _h(2)[:40] + ("0" if _h(2)[40] != "0" else "1") + _h(2)[41:]
+    batches = {
+        "a": [(1, 0, _h(1), None, None, None), (2, 0, _h(2), None, None, None), (3, 0, _h(1), None, None, None)],
+        "b": [(4, 1, _h(1), _h(4), None, None), (5, 1, mistyped, _h(5), None, None)],
+        "c": [(6, 2, None, _h(4), None, None), (7, 2, _h(2), _h(4), None, None)],  # joins both packages
+        "d": [(8, 3, None, _h(5), None, None), (9, 3, None, None, None, None)],
+    }
+    for name, rows in batches.items():
+        index = HistoryIndex(spark, path)
+        index.accept(spark.createDataFrame(rows, SCHEMA), name)
+        for part in ("records", "segments"):  # one folder a batch, and the former ones as they were
+            assert {p.name for p in (tmp_path / "index" / part).iterdir()} == index.batches
+    low = (1 << 42) - 1
+    got = sorted((a & low, b & low) for a, b in HistoryIndex(spark, path).packages().collect())
+    assert got == [(1, k) for k in (2, 3, 4, 5, 6, 7, 8)]
+    assert got == _found(spark, [r for rows in batches.values() for r in rows])
+    values = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/segments").select("value").distinct().count()
+    assert values == 5  # each value once, whatever it recurs
+
+
+def test_whole_index_against_brute_force(spark):
+    random.seed(9)
+    wholes = [_h(k) for k in range(12)]
+    rows: list[tuple] = []
+    for k in range(90):
+        m, f = random.choice(wholes), random.choice([None, _h(random.randrange(300) + 100)])
+        if k % 7 == 0:
+            at = random.randrange(64)
+            m = m[:at] + "f" + m[at + 1 :]
+        rows.append((k, k // 15, m, f, None, None))
+    root = list(range(90))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    near = lambda a, b: a and b and sum(x != y for x, y in zip(a, b)) <= 2
+    for a in range(90):
+        for b in range(a):
+            if near(rows[a][2], rows[b][2]) or near(rows[a][3], rows[b][3]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert _found(spark, rows) == sorted((find(k), k) for k in range(90) if find(k) != k)
+
+
+def test_only_results_stay_in_the_shared_folder(spark):
+    from carillon.session import checkpoint_dir, list_path
+
+    before = set(list_path(spark, f"{checkpoint_dir(spark)}/carillon"))
+    _found(spark, [(1, 0, _h(1), None, None, None), (2, 1, _h(1), None, None, None)])
+    left = set(list_path(spark, f"{checkpoint_dir(spark)}/carillon")) - before
+    assert len(left) == 1 and next(iter(left)).endswith("p1-packages")
