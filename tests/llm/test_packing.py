@@ -3,7 +3,7 @@ from itertools import product
 
 import pytest
 
-from carillon.llm.packing import best_fit, complete, fill_report, lower_bound, pack
+from carillon.llm.packing import _Pool, best_fit, complete, dominated, fill_report, fillings, lower_bound, pack
 from carillon.llm.tokens import encoder, VOCABULARY, with_tokens
 
 
@@ -27,6 +27,37 @@ def test_small_cases_are_best():
         assert len(got) == _fewest(sizes, 20)
 
 
+def test_the_exact_search_is_best_where_the_bounded_one_may_not_be():
+    random.seed(4)
+    for _ in range(15):
+        sizes = [random.randint(1, 30) for _ in range(6)]
+        assert len(complete(sizes, 30, None, None)) == _fewest(sizes, 30)
+
+
+def test_packings_without_any_room_left_are_found():
+    found = []
+    for seed in range(6):
+        rng = random.Random(seed)
+        sizes = [x for _ in range(20) for a in [rng.randint(50, 600)] for b in [rng.randint(50, 950 - a)] for x in (a, b, 1000 - a - b)]
+        got = complete(sizes, 1000)
+        assert sorted(s for p in got for s in p) == sorted(sizes) and max(map(sum, got)) <= 1000
+        found.append((len(got), len(best_fit(sizes, 1000))))
+    assert sum(a for a, _ in found) <= 122 and sum(a for a, _ in found) < sum(b for _, b in found)
+
+
+def test_bounds_and_dominance():
+    assert lower_bound([], 10) == 0 and lower_bound([6, 6, 6], 10) == 3 and lower_bound([7, 7, 4, 4], 10) == 3 and lower_bound([5, 5, 5], 10) == 2
+    pool = _Pool([5, 3, 2, 2])
+    assert dominated(pool, [(3, 1), (2, 1)], 0) and not dominated(pool, [(5, 1)], 0)  # 5 takes the place of 3 + 2
+    assert dominated(pool, [(3, 1)], 2) and not dominated(pool, [(2, 2)], 0)
+    got, _ = fillings(pool, 7, 7, None, None)
+    assert got == [(0, [(5, 1), (2, 1)])]  # 3 + 2 + 2 is dominated
+
+
+def test_very_many_tiny_items_in_a_large_pack():
+    assert len(complete([1] * 9000 + [2] * 500, 8192)) == 2
+
+
 @pytest.mark.parametrize("cap, choices", [(2048, [130, 190, 260, 300, 333, 410]), (512, list(range(1, 500))), (100, [34, 35, 33, 67])])
 def test_no_worse_than_best_fit(cap, choices):
     random.seed(2)
