@@ -1,11 +1,12 @@
-"""Records of several sources combined to target shares of tokens.
-
-Each mix is planned from one number a source, its tokens. Where the mix names shares and no size, it gets the largest size at
-which every share can be met within the source's allowed repeats. A larger size makes some source too small: then the shares are
-tempered, ``share ** (1 - a) * own ** a`` with the sources' own token shares, and the exponent is bisected to the least at which
-no source is repeated too often. A mix without shares has ``own ** a`` with the exponent bisected to a wanted entropy. The
-weights are realised as block permutations: a source's records are used in blocks, each a permutation of all of them by a seeded
-hash, whole blocks first and of the last block as much as the budget holds.
+"""Records of several sources combined by temperature, or to target shares, of tokens.
+
+Each mix is planned from one number a source, its tokens. By temperature the weights are ``own ** a``, the sources' own token shares
+exponentiated, and the exponent is bisected: to a wanted entropy, or to the least (the most even mix) at which no source is repeated
+too often at the mix's size. Where a mix names shares, and they can be had, they hold: without a size it gets the largest at which
+every share can be met within the allowed repeats; at a larger size the shares are tempered towards the sources' own,
+``share ** (1 - a) * own ** a``, with the exponent bisected to the repetition limit. The weights are realised as block
+permutations: a source's records are used in blocks, each a permutation of all of them by a seeded hash, whole blocks first and of
+the last block as much as the budget holds.
 """
 
 from __future__ import annotations
@@ -68,14 +69,28 @@ class Part:
     records: int = 0
 
 
-def plan(mix_name: str, parts: list[tuple[str, float | None, int, int]], total: float | None = None, wanted_entropy: float | None = None) -> list[Part]:
-    """Budgets for ``(source, target_share, max_repeats, tokens)``. Sources without tokens get nothing; shares need not sum to 1."""
+BY = ("shares", "entropy", "repeats")
+
+
+def plan(mix_name: str, parts: list[tuple[str, float | None, int, int]], total: float | None = None, wanted_entropy: float | None = None, by: str = "shares") -> list[Part]:
+    """Budgets for ``(source, target_share, max_repeats, tokens)``. Sources without tokens get nothing; shares need not sum to 1.
+
+    ``by`` shares: as the shares say. By entropy: ``own ** a`` with the entropy of the target shares, or ``wanted_entropy``; without
+    a size the largest that the repeats allow. By repeats: ``own ** a`` with the least exponent from 0 (even) to 1 (own shares) at
+    which no source is repeated too often; without a size as many tokens as the sources have.
+    """
+    if by not in BY:
+        raise ValueError(f"a mix is made by one of {BY}")
     has = [p for p in parts if p[3] > 0 and p[2] > 0 and (p[1] is None or p[1] > 0)]
     if not has:
         return [Part(mix_name, s, t or 0.0, r, n, 0.0, 0.0, 0) for s, t, r, n in parts]
     own = tempered([p[3] for p in has], 1.0)
     most = [p[2] * p[3] for p in has]
-    if all(p[1] is not None for p in has):
+    if by == "repeats":
+        size = min(float(sum(p[3] for p in has)) if total is None else total, min(m / w for m, w in zip(most, own)))
+        a = bisect(0.0, 1.0, lambda a: all(size * w <= m * (1 + 1e-9) for w, m in zip(tempered(own, a), most)))
+        weights = tempered(own, a)
+    elif by == "shares" and all(p[1] is not None for p in has):
         target = [p[1] for p in has]
         target = [t / sum(target) for t in target]
         size = min(m / t for m, t in zip(most, target)) if total is None else min(total, sum(most))
@@ -84,14 +99,17 @@ def plan(mix_name: str, parts: list[tuple[str, float | None, int, int]], total:
         a = 0.0 if fits(0.0) else bisect(0.0, 1.0, fits)
         weights = tempered(own, a, target)
     else:
-        a = exponent_for_entropy(own, entropy(own) if wanted_entropy is None else wanted_entropy)
+        if wanted_entropy is None:
+            named = [p[1] for p in has]
+            wanted_entropy = entropy(own if None in named else [x / sum(named) for x in named])
+        a = exponent_for_entropy(own, wanted_entropy)
         weights = tempered(own, a)
         size = min(m / w for m, w in zip(most, weights)) if total is None else total
     budgets = {p[0]: (w, min(int(size * w + 1e-6), m)) for p, w, m in zip(has, weights, most)}
     return [Part(mix_name, s, t or 0.0, r, n, a, *budgets.get(s, (0.0, 0))) for s, t, r, n in parts]
 
 
-def plans(sized: DataFrame, targets: DataFrame, total: float | None = None) -> list[Part]:
+def plans(sized: DataFrame, targets: DataFrame, total: float | None = None, by: str = "shares") -> list[Part]:
     """All mixes' parts. The targets are a table of parameters (checked: at most 10,000 rows); of the records one sum for each
     source they name comes to the driver."""
     rows = targets.select("mix_name", tidy(F.col("source")).alias("source"), "target_share", "max_repeats").limit(10_001).collect()
@@ -104,7 +122,7 @@ def plans(sized: DataFrame, targets: DataFrame, total: float | None = None) -> l
     for m, s, t, r in rows:
         if m is not None and s is not None:
             mixes.setdefault(m, []).append((s, t, r or 0, sums.get(s, 0)))
-    return [replace(p, records=counts.get(p.source, 0)) for m, parts in sorted(mixes.items()) for p in plan(m, parts, total)]
+    return [replace(p, records=counts.get(p.source, 0)) for m, parts in sorted(mixes.items()) for p in plan(m, parts, total, by=by)]
 
 
 def _table(spark, parts: list[Part]) -> DataFrame:
@@ -122,7 +140,7 @@ def _fill(t: pa.Table) -> pa.Table:
     return t.filter(pa.array(keep, pa.bool_())).select(["mix_name", "source", "doc_id", "n_tokens", "block"])
 
 
-def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, by: str = "shares") -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, block``: one row per use of a record, ``block`` from 1 to at most ``max_repeats``.
 
     ``sized``: ``doc_id, source, n_tokens`` with sources as ``tidy`` writes them. Records without tokens or with a source that no
@@ -130,7 +148,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     """
     spark = sized.sparkSession
     log = StageLog(spark)
-    table = F.broadcast(_table(spark, plans(sized, targets, total)).select("mix_name", "source", "whole", "rest", "parts"))  # at most 10,000 rows
+    table = F.broadcast(_table(spark, plans(sized, targets, total, by)).select("mix_name", "source", "whole", "rest", "parts"))  # at most 10,000 rows
     records = sized.where("n_tokens > 0").select("doc_id", "source", "n_tokens").join(table, "source")
     whole = records.where("whole > 0").select("mix_name", "source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), "whole")).alias("block"))
     # the last block: running sums first over parts of the hash range, then inside the part in which the budget ends
@@ -148,11 +166,11 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     return whole.select(cols).unionByName(full.select(cols)).unionByName(cut.select(cols))
 
 
-def shares(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11) -> DataFrame:
+def shares(sized: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 11, by: str = "shares") -> DataFrame:
     """Per mix and source what was wanted and what was got: shares of tokens, records used, the most uses of one record."""
     spark = sized.sparkSession
-    parts = _table(spark, plans(sized, targets, total))
-    used = mix(sized, targets, total, seed).groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("got_tokens"), F.countDistinct("doc_id").alias("records"), F.max("block").alias("most_uses"))
+    parts = _table(spark, plans(sized, targets, total, by))
+    used = mix(sized, targets, total, seed, by).groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("got_tokens"), F.countDistinct("doc_id").alias("records"), F.max("block").alias("most_uses"))
     joined = parts.join(used, ["mix_name", "source"], "left").withColumn("got_tokens", F.coalesce("got_tokens", F.lit(0)))
     every = F.sum("got_tokens").over(Window.partitionBy("mix_name"))
     return joined.select(

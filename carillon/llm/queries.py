@@ -87,5 +87,15 @@ def p7_shares_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(sized, load(spark, sf_dir, "mix_targets"), total=float(sized.agg(F.sum("n_tokens")).first()[0] or 0))
 
 
-QUERIES = {"p6_packs": p6_packs, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_large": p7_shares_large, "p8_found": p8_found, "p8_texts": p8_texts, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
+def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes by temperature: own shares exponentiated, the exponent bisected to the repetition limit."""
+    return mix(_sized(spark, sf_dir), load(spark, sf_dir, "mix_targets"), by="repeats")
+
+
+def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixes by temperature with the entropy of their target shares."""
+    return shares(_sized(spark, sf_dir), load(spark, sf_dir, "mix_targets"), by="entropy")
+
+
+QUERIES = {"p6_packs": p6_packs, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shares_large": p7_shares_large, "p7_tempered": p7_tempered, "p7_tempered_shares": p7_tempered_shares, "p8_found": p8_found, "p8_texts": p8_texts, "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found}
 SQL: dict[str, str] = {}

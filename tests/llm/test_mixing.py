@@ -22,6 +22,21 @@ def test_plans():
     assert [p.weight for p in free] == pytest.approx([0.5, 0.5], abs=1e-6)
 
 
+def test_plans_by_temperature():
+    parts = [("a", 0.6, 2, 900), ("b", 0.3, 3, 90), ("c", 0.1, 4, 10)]
+    even = plan("m", parts, by="repeats")
+    assert 0 < even[0].exponent < 1 and all(p.budget <= p.max_repeats * p.tokens for p in even)
+    assert even[2].budget == 40 and even[1].budget < 270  # the least exponent: the smallest source is at its limit
+    assert sum(p.budget for p in even) == pytest.approx(1000, abs=3)
+    flat = plan("m", [("a", 0.5, 100, 900), ("b", 0.5, 100, 90)], by="repeats")
+    assert flat[0].exponent == 0 and flat[0].weight == pytest.approx(0.5)
+    same = plan("m", parts, by="entropy")
+    assert entropy([p.weight for p in same]) == pytest.approx(entropy([0.6, 0.3, 0.1]), abs=1e-6) and 0 < same[0].exponent < 1
+    assert [p.weight / q.weight for p, q in zip(same, same[1:])] == pytest.approx([10 ** same[0].exponent, 9 ** same[0].exponent])
+    with pytest.raises(ValueError):
+        plan("m", parts, by="luck")
+
+
 def _data(spark):
     docs = [(k, "big", 10 + k % 7) for k in range(3000)] + [(10_000 + k, "small", 5) for k in range(40)] + [(20_000, None, 9), (20_001, "other", 9), (20_002, "big", 0)]
     targets = [("m", "Big ", 0.8, 2), ("m", "small", 0.2, 3), ("n", "SMALL", 1.0, 1), ("o", "absent", 1.0, 2)]
