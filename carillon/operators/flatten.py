@@ -1,18 +1,22 @@
 """Nested records to flat, linked tables.
 
-Each text is parsed once in its own task and walked in document order into path-value-ordinal triples; triples whose paths share
-a repeated ancestor form one group, and each group is pivoted into one table. A record's triples never leave its row, so the
-pivot needs no shuffle: rows come out of the scan's own tasks, whatever the size.
+Each text is parsed once, as a stream: the parser walks it in document order, goes only into members that lead to a wanted field,
+passes over all others without keeping them, and gives path-value-ordinal triples; no tree of the text is built. Paths that share a
+repeated ancestor form one group, and each group is pivoted into one table. Which ancestors are repeated, and which members their
+records have, is found from all texts (``repeated``). A record's triples never leave its row, so the pivot needs no shuffle: rows
+come out of the scan's own tasks, whatever the size.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,46 +39,188 @@ class Group:
     known: frozenset[str] = frozenset()
     scalar: str | None = None
     need: str | None = None
+    #: Whether a list can stand here; if not, an object is always a record itself.
+    repeated: bool = True
     groups: tuple[Group, ...] = field(default=())
 
 
-def read_json(text: str | None):
-    """The document as a whole, or None: null, blank, cut off, with text after it, or not JSON. A byte-order mark is skipped."""
-    if text is None:
-        return None
+class Unreadable(ValueError):
+    """The text isn't one whole JSON document: cut off, with text after it, with a member twice, or with NaN or infinity."""
+
+
+def _refuse(name: str):
+    raise Unreadable(name)
+
+
+def _members(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise Unreadable("a member twice")
+    return out
+
+
+_SPACE = re.compile(r"[ \t\n\r]*").match
+_TOKEN = re.compile(r"[ \t\n\r]*(?:([{}\[\],:])|(\")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))", re.ASCII)
+_VALUE = json.JSONDecoder(parse_constant=_refuse, object_pairs_hook=_members).scan_once
+_STRING = json.decoder.scanstring
+
+
+def _space(t: str, at: int) -> int:
+    return _SPACE(t, at).end()
+
+
+def events(t: str, at: int = 0) -> Iterator[tuple[str, object, int]]:
+    """``(kind, value, end)`` of one value's tokens, at any depth: kinds ``{ } [ ]`` for containers, ``key`` and ``leaf``."""
+    stack: list[str] = []
+    names: list[set[str]] = []
+    wanted = "value"
+    while True:
+        m = _TOKEN.match(t, at)
+        if m is None:
+            raise Unreadable("no token")
+        at, sign = m.end(), m.group(1)
+        if m.group(2) and wanted in ("key", "key or }"):
+            try:
+                name, at = _STRING(t, at)
+            except ValueError as e:
+                raise Unreadable(str(e)) from None
+            if name in names[-1]:
+                raise Unreadable("a member twice")
+            names[-1].add(name)
+            at = _space(t, at)
+            if t[at : at + 1] != ":":
+                raise Unreadable("no colon")
+            at += 1
+            yield "key", name, at
+            wanted = "value"
+            continue
+        if wanted in ("value", "value or ]") and (sign is None or sign in "{["):
+            if sign is not None:
+                stack.append(sign)
+                names.append(set())
+                yield sign, None, at
+                wanted = "key or }" if sign == "{" else "value or ]"
+                continue
+            if m.group(2):
+                try:
+                    value, at = _STRING(t, at)
+                except ValueError as e:
+                    raise Unreadable(str(e)) from None
+            else:
+                value = json.loads(m.group(3))
+            yield "leaf", value, at
+        elif sign == "," and wanted == "next":
+            wanted = "key" if stack[-1] == "{" else "value"
+            continue
+        elif stack and sign == ("}" if stack[-1] == "{" else "]") and wanted in ("next", "key or }", "value or ]"):
+            stack.pop()
+            names.pop()
+            yield sign, None, at
+        else:
+            raise Unreadable("a token out of place")
+        if not stack:
+            return
+        wanted = "next"
+
+
+def read_value(t: str, at: int):
+    """The value at a place, and its end. Values nested too deep for the scanner give their text."""
     try:
-        return json.loads(text.lstrip("﻿ \t\r\n"))
-    except (ValueError, RecursionError):
-        return None
-
-
-def unwrap(doc, key: str, wrappers: tuple[str, ...], depth: int = 4):
-    """The object that holds ``key``, looking through wrapping members (an object or JSON text) named in ``wrappers``."""
-    for _ in range(depth):
-        if isinstance(doc, str):
-            doc = read_json(doc)
-        if not isinstance(doc, dict) or key in doc:
-            return doc if isinstance(doc, dict) else None
-        doc = next((doc[w] for w in wrappers if isinstance(doc.get(w), (dict, str))), None)
-    return None
-
-
-def items(value, known: frozenset[str]) -> Iterator[tuple[int, object]]:
-    """Items with positions from 1, in the order of the text. Null items are counted but not given."""
-    if value is None:
+        return _VALUE(t, at)
+    except StopIteration:
+        raise Unreadable("no value") from None
+    except RecursionError:
+        end = at
+        for _, _, end in events(t, at):
+            pass
+        return t[at:end], end
+    except Unreadable:
+        raise
+    except ValueError as e:
+        raise Unreadable(str(e)) from None
+
+
+def walk_object(t: str, at: int) -> Iterator[list]:
+    """``[name, at, end]`` of each member of the object that begins at ``at``. The caller sets ``end`` where it has read the value;
+    else the value is passed over."""
+    at = _space(t, at + 1)
+    if t[at : at + 1] == "}":
+        yield [None, at, at + 1]
         return
-    if isinstance(value, list):
-        yield from ((k, x) for k, x in enumerate(value, 1) if x is not None)
-    elif isinstance(value, dict) and value and not known & value.keys() and all(x is None or isinstance(x, (dict, list)) for x in value.values()):
-        yield from ((k, x) for k, x in enumerate(value.values(), 1) if x is not None)
-    else:
-        yield 1, value
-
-
-def _below(value, path: tuple[str, ...]):
-    for name in path:
-        value = value.get(name) if isinstance(value, dict) else None
-    return value
+    seen = set()
+    while True:
+        if t[at : at + 1] != '"':
+            raise Unreadable("no member")
+        try:
+            name, at = _STRING(t, at + 1)
+        except ValueError as e:
+            raise Unreadable(str(e)) from None
+        if name in seen:
+            raise Unreadable("a member twice")
+        seen.add(name)
+        at = _space(t, at)
+        if t[at : at + 1] != ":":
+            raise Unreadable("no colon")
+        member = [name, _space(t, at + 1), None]
+        yield member
+        at = _space(t, member[2] if member[2] is not None else read_value(t, member[1])[1])
+        if t[at : at + 1] == "}":
+            yield [None, at, at + 1]
+            return
+        if t[at : at + 1] != ",":
+            raise Unreadable("no comma")
+        at = _space(t, at + 1)
+
+
+def walk_array(t: str, at: int) -> Iterator[list]:
+    """``[position, at, end]`` of each item from 1, then ``[None, at, end]``; as ``walk_object``."""
+    at = _space(t, at + 1)
+    if t[at : at + 1] == "]":
+        yield [None, at, at + 1]
+        return
+    k = 0
+    while True:
+        k += 1
+        item = [k, at, None]
+        yield item
+        at = _space(t, item[2] if item[2] is not None else read_value(t, at)[1])
+        if t[at : at + 1] == "]":
+            yield [None, at, at + 1]
+            return
+        if t[at : at + 1] != ",":
+            raise Unreadable("no comma")
+        at = _space(t, at + 1)
+
+
+def locate(text: str | None, holds: str, wrappers: tuple[str, ...]) -> tuple[str, int] | None:
+    """The text and the place of the object that has the member ``holds``, looking through any number of wrapping members (an object
+    or JSON text). None if there is none. The whole text is read on the way, so what can't be read raises ``Unreadable``."""
+    if text is None:
+        return None
+    t = text.lstrip("\ufeff \t\r\n")
+    at, outer = 0, True
+    while True:
+        if t[at : at + 1] != "{":
+            if outer and t:
+                end = read_value(t, at)[1]
+                if _space(t, end) != len(t):
+                    raise Unreadable("text after the end")
+            return None
+        places: dict[str, int] = {}
+        for name, start, end in walk_object(t, at):
+            if name is None:
+                if outer and _space(t, end) != len(t):
+                    raise Unreadable("text after the end")
+            elif name == holds or name in wrappers:
+                places[name] = start
+        if holds in places:
+            return t, at
+        inner = next((places[w] for w in wrappers if w in places and t[places[w] : places[w] + 1] in ('{', '"')), None)
+        if inner is None:
+            return None
+        at, outer = inner, False
+        if t[at] == '"':
+            t, at, outer = read_value(t, at)[0].lstrip("\ufeff \t\r\n"), 0, True
 
 
 def text_of(value) -> str | None:
@@ -82,25 +228,104 @@ def text_of(value) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def triples(root, groups: tuple[Group, ...], ordinals: tuple[int, ...] = (), at: str = "") -> Iterator[tuple[str, str | None, tuple[int, ...], str]]:
-    """``(path, value, ordinals, group)`` in document order; the path leaves the ordinals out. A record without any field
-    still gives one triple, with the group's own path and no value."""
-    for g in groups:
-        path = f"{at}.{'.'.join(g.path)}".lstrip(".")
-        for k, x in items(_below(root, g.path), g.known):
-            here = (*ordinals, k)
-            if isinstance(x, dict):
-                yield path, None, here, g.name
-                for f in g.fields:
-                    v = _below(x, tuple(f.split(".")))
-                    if v is not None:
-                        yield f"{path}.{f}", text_of(v), here, g.name
-                yield from triples(x, g.groups, here, path)
-            elif g.scalar and not isinstance(x, list):
-                yield f"{path}.{g.scalar}", text_of(x), here, g.name
-
-
-def pivot(found: Iterator[tuple[str, str | None, tuple[int, ...], str]], groups: tuple[Group, ...]) -> list[tuple[str, tuple[int, ...], dict[str, str]]]:
+def _lead(groups: tuple[Group, ...], fields: tuple[str, ...]) -> dict:
+    """Members that lead to a field or a group, as a tree: under None the group or True for a field."""
+    root: dict = {}
+    for path, end in [*((tuple(f.split(".")), True) for f in fields), *((g.path, g) for g in groups)]:
+        node = root
+        for name in path:
+            node = node.setdefault(name, {})
+        if end is True:
+            node[True] = True
+        else:
+            node.setdefault(None, []).append(end)
+    return root
+
+
+class _Walk:
+    """One text's triples."""
+
+    def __init__(self, leads: dict[str, dict], found: list):
+        self.leads, self.found = leads, found
+
+    def members(self, t: str, at: int, node: dict, path: str, field: str, base: str, ordinals: tuple[int, ...], group: str | None) -> int:
+        """The object at a place inside a record: fields become triples, groups are gone into, all else is passed over."""
+        for member in walk_object(t, at):
+            name, start, end = member
+            if name is None:
+                return end
+            child = node.get(name)
+            if child is None:
+                continue
+            here = f"{field}.{name}" if field else name
+            groups = child.get(None)
+            if groups:
+                for g in groups:
+                    member[2] = self.group(t, start, g, f"{base}.{here}" if base else here, ordinals)
+            elif True in child or t[start : start + 1] != "{":
+                value, member[2] = read_value(t, start)
+                if True in child and value is not None:
+                    self.found.append((f"{path}.{here}", text_of(value), ordinals, group))
+                continue
+            if t[start : start + 1] == "{" and any(k not in (None, True) for k in child):
+                member[2] = self.members(t, start, child, path, here, base, ordinals, group)
+        raise Unreadable("no end")
+
+    def group(self, t: str, at: int, g: Group, path: str, ordinals: tuple[int, ...]) -> int:
+        """The value where a group's list should stand: a list, a single record, an object whose members are the records, or a
+        plain value."""
+        first = t[at : at + 1]
+        if first == "[":
+            for item in walk_array(t, at):
+                k, start, end = item
+                if k is None:
+                    return end
+                item[2] = self.record(t, start, g, path, (*ordinals, k))
+        if first == "{":
+            inner: list[tuple[int, bool, str]] = []
+            for name, start, end in walk_object(t, at):
+                if name is not None:
+                    inner.append((start, t[start : start + 1] in "{[n", name))
+            if inner and g.repeated and not any(n in g.known for _, _, n in inner) and all(c for _, c, _ in inner):
+                for k, (start, _, _) in enumerate(inner, 1):
+                    self.record(t, start, g, path, (*ordinals, k))
+                return end
+        if first == "n":
+            return read_value(t, at)[1]
+        return self.record(t, at, g, path, (*ordinals, 1))
+
+    def record(self, t: str, at: int, g: Group, path: str, ordinals: tuple[int, ...]) -> int:
+        if t[at : at + 1] == "{":
+            self.found.append((path, None, ordinals, g.name))
+            return self.members(t, at, self.leads[g.name], path, "", path, ordinals, g.name)
+        value, end = read_value(t, at)
+        if g.scalar and value is not None and not isinstance(value, (list, dict)):
+            self.found.append((f"{path}.{g.scalar}", text_of(value), ordinals, g.name))
+        return end
+
+
+def triples(text: str | None, groups: tuple[Group, ...], holds: str, wrappers: tuple[str, ...] = ()) -> list[tuple[str, str | None, tuple[int, ...], str]]:
+    """``(path, value, ordinals, group)`` in document order; the path leaves the ordinals out. A record without any field still
+    gives one triple, with the group's own path and no value. A text that can't be read as a whole gives none."""
+    leads: dict[str, dict] = {}
+
+    def learn(gs: tuple[Group, ...]) -> None:
+        for g in gs:
+            leads[g.name] = _lead(g.groups, g.fields)
+            learn(g.groups)
+
+    learn(groups)
+    found: list = []
+    try:
+        at = locate(text, holds, wrappers)
+        if at is not None:
+            _Walk(leads, found).members(*at, _lead(groups, ()), "", "", "", (), None)
+    except Unreadable:
+        return []
+    return found
+
+
+def pivot(found: Iterable[tuple[str, str | None, tuple[int, ...], str]], groups: tuple[Group, ...]) -> list[tuple[str, tuple[int, ...], dict[str, str]]]:
     """Triples gathered by group and ordinals: ``(group, ordinals, fields)``. Rows that lack what their group needs are left out."""
     need, prefix = {}, {}
 
@@ -119,8 +344,69 @@ def pivot(found: Iterator[tuple[str, str | None, tuple[int, ...], str]], groups:
     return [(name, o, row) for (name, o), row in rows.items() if need[name] is None or row.get(need[name], "").strip()]
 
 
-def _depth(groups: tuple[Group, ...]) -> int:
-    return max((1 + _depth(g.groups) for g in groups), default=0)
+def ancestors(text: str | None, holds: str, wrappers: tuple[str, ...]) -> set[tuple[str, str | None]]:
+    """``(path, member)``: the paths at which a text has lists, with None, and the members of the records in them. Names only."""
+    out: set[tuple[str, str | None]] = set()
+    try:
+        at = locate(text, holds, wrappers)
+        if at is None:
+            return out
+        stack: list[tuple[str, str]] = []  # kind and path of the open containers
+        path, name = "", ""
+        for kind, value, _ in events(*at):
+            if kind == "key":
+                name = value
+                if len(stack) > 1 and stack[-2][0] == "[":
+                    out.add((stack[-1][1], name))
+            elif kind in "{[":
+                if stack:
+                    path = stack[-1][1] if stack[-1][0] == "[" else f"{stack[-1][1]}.{name}".lstrip(".")
+                stack.append((kind, path))
+                if kind == "[":
+                    out.add((path, None))
+            elif kind in "}]":
+                stack.pop()
+    except Unreadable:
+        return set()
+    return out
+
+
+#: A path or member counts if it stands in one text of so many: so what comes to the driver is at most this number times what a
+#: text has of them.
+SEEN_SHARE = 1000
+
+
+def repeated(df: DataFrame, text: str, holds: str, wrappers: tuple[str, ...] = ()) -> dict[str, frozenset[str]]:
+    """The repeated ancestors of all texts: path -> members of its records. Counted with map-side combining."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = Counter(x for t in b.column("text").to_pylist() for x in ancestors(t, holds, wrappers))
+            counts[("", None)] += b.num_rows
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["path", "member", "n"])
+
+    seen = spread(df.select(F.col(text).alias("text")).where("text is not null")).mapInArrow(run, "path string, member string, n bigint").groupBy("path", "member").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("path") == "", F.col("n"))).over(Window.partitionBy())
+    kept = seen.withColumn("total", total).where((F.col("path") != "") & (F.col("n") * SEEN_SHARE >= F.col("total"))).select("path", "member").collect()
+    return {p: frozenset(r[1] for r in kept if r[0] == p and r[1] is not None) for p in {r[0] for r in kept if r[1] is None}}
+
+
+def grouped(found: dict[str, frozenset[str]], tables: dict[str, tuple[str, tuple[str, ...], str | None, str | None]]) -> tuple[Group, ...]:
+    """Groups from the repeated ancestors. ``tables``: path -> name, fields, scalar and need of the tables asked for, of which each
+    hangs on the nearest other one above it; one whose path is never a list has one record for each of its parent."""
+
+    def below(parent: str) -> tuple[Group, ...]:
+        inside = [p for p in tables if p != parent and (not parent or p.startswith(parent + "."))]
+        out = []
+        for p in sorted(inside, key=list(tables).index):
+            if not any(q != p and p.startswith(q + ".") for q in inside):
+                name, fields, scalar, need = tables[p]
+                known = frozenset(found.get(p, ())) | {f.split(".")[0] for f in fields}
+                out.append(Group(name, tuple(p[len(parent) + 1 if parent else 0 :].split(".")), fields, known, scalar, need, p in found, below(p)))
+        return tuple(out)
+
+    return below("")
 
 
 def flatten(df: DataFrame, key: str | Column, text: str | Column, groups: tuple[Group, ...], holds: str, wrappers: tuple[str, ...] = ()) -> DataFrame:
@@ -128,7 +414,7 @@ def flatten(df: DataFrame, key: str | Column, text: str | Column, groups: tuple[
 
     ``ordinals`` has one position per repeated level down to the record; without its last item it is the parent's link. Texts
     that are null, blank, broken or hold something other than an object give no rows. Only ``key`` and ``text`` are read, so
-    further columns may have any names; repeated rows give repeated records; a null key is kept.
+    further columns may have any names; repeated rows give repeated records; a null key is kept. Texts may be nested to any depth.
     """
     schema = T.StructType([
         T.StructField("rec_id", df.select(key).schema[0].dataType),
@@ -141,8 +427,7 @@ def flatten(df: DataFrame, key: str | Column, text: str | Column, groups: tuple[
         for batch in batches:
             recs, kinds, ords, fields = [], [], [], []
             for rec, body in zip(batch["rec_id"].to_pylist(), batch["text"].to_pylist()):
-                doc = unwrap(read_json(body), holds, wrappers)
-                for name, o, row in pivot(triples(doc, groups), groups) if doc is not None else ():
+                for name, o, row in pivot(triples(body, groups, holds, wrappers), groups):
                     recs.append(rec)
                     kinds.append(name)
                     ords.append(o)
@@ -166,22 +451,36 @@ def table(flat: DataFrame, kind: str, levels: tuple[str, ...], columns: dict[str
 
 TRACK_FIELDS = ("track", "title", "duration", "loudness.trackLUFS", "loudness.truePeakDbTP", "audio.path", "audio.sha256")
 
-#: Media, tracks, track artists, codes and waveforms of a manifest document.
-MANIFEST_GROUPS = (
-    Group("medium", ("media",), ("disc", "format", "title"), frozenset({"disc", "format", "title", "tracks"}), groups=(
-        Group("track", ("tracks",), TRACK_FIELDS, frozenset({"track", "title", "artists", "identifiers", "duration", "loudness", "audio", "waveform", "representations"}), groups=(
-            Group("artist", ("artists",), ("name", "role", "sortName", "musicbrainzId"), frozenset({"name", "role", "sortName", "musicbrainzId"}), scalar="name", need="name"),
-            Group("isrc", ("identifiers", "isrc"), ("code",), scalar="code", need="code"),
-            Group("waveform", ("waveform",), ("path", "version", "intervalMs", "encoding", "floorDb", "points"), frozenset({"path", "version", "intervalMs", "encoding", "floorDb", "points", "sha256"}), need="path"),
-        )),
-    )),
-)
+#: Tables of a manifest document: name, fields, the field that a plain value fills, and the field that must be there.
+MANIFEST_TABLES = {
+    "media": ("medium", ("disc", "format", "title"), None, None),
+    "media.tracks": ("track", TRACK_FIELDS, None, None),
+    "media.tracks.artists": ("artist", ("name", "role", "sortName", "musicbrainzId"), "name", "name"),
+    "media.tracks.identifiers.isrc": ("isrc", ("code",), "code", "code"),
+    "media.tracks.waveform": ("waveform", ("path", "version", "intervalMs", "encoding", "floorDb", "points"), None, "path"),
+}
 WRAPPERS = ("manifest", "document", "package", "payload", "data")
 
 
+#: Lists by the format and what it names in their records; all else is found in the texts.
+STATED = {
+    "media": frozenset({"disc", "format", "title", "tracks"}), "media.tracks": frozenset({"track", "title", "artists", "identifiers", "duration", "loudness", "audio", "waveform", "representations"}),
+    "media.tracks.artists": frozenset({"name"}), "media.tracks.identifiers.isrc": frozenset(),
+}
+#: The groups as far as the format states them, for single texts; ``manifest_groups`` finds them in a table.
+MANIFEST_GROUPS = grouped(STATED, MANIFEST_TABLES)
+
+
+def manifest_groups(manifests: DataFrame) -> tuple[Group, ...]:
+    """Groups of the manifest tables: the repeated ancestors and their records' members as all texts show them, with those that the
+    format states."""
+    found = repeated(manifests, "manifest", "media", WRAPPERS)
+    return grouped({p: found.get(p, frozenset()) | STATED.get(p, frozenset()) for p in found.keys() | STATED.keys()}, MANIFEST_TABLES)
+
+
 def flatten_manifests(manifests: DataFrame) -> DataFrame:
     """``flatten`` over ``manifest_id, manifest``."""
-    return flatten(manifests, "manifest_id", "manifest", MANIFEST_GROUPS, "media", WRAPPERS)
+    return flatten(manifests, "manifest_id", "manifest", manifest_groups(manifests), "media", WRAPPERS)
 
 
 def manifest_records(flat: DataFrame) -> DataFrame:
