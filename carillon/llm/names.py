@@ -95,6 +95,11 @@ def use_learned(pairs: Iterable[tuple[str, str]]) -> None:
 
 def fold(name: str) -> str:
     """One form, lower case, without accents."""
+    return name.lower() if name.isascii() and name.isprintable() else _fold(name)
+
+
+@lru_cache(maxsize=1 << 16)
+def _fold(name: str) -> str:
     s = one_form(name)[0].lower().translate({ord("ø"): "o", ord("ł"): "l", ord("đ"): "d", ord("ð"): "d", ord("ı"): "i", ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("þ"): "th"})
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +34,21 @@ RARE = 3
 #: A token in at least one of so many persons' names is a given name: at most a few times this number of them, whatever the size.
 GIVEN_SHARE = 2000
 
+#: Bits, as a power of two, of the bitmap of texts with findings: 16 MB, whatever their number.
+MARKS = 27
 #: Bytes of the bitmap of rare given names, whatever their number.
 BITMAP = 1 << 17
 
 _S = r"[    \n.\-‐-―/]"
-_LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?"
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
+_LOCAL = r"[^\W_](?:[\w.%+\-]*[^\W_])?"
+_LABEL = r"[^\W_](?:[^\W_]|-)*(?<!-)"
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|punkt|punto|point)\s*[\])}]\s*)"
 _WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|drei|vier|fünf|sechs|sieben|acht|neun|zéro|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve"
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’\-][^\W\d_]+)*"
 
 EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+\-]){_LOCAL}(?:@\s?|＠|&#64;|\s@\s|\s*[\[({{]\s*(?:at|arroba)\s*[\])}}]\s*){_LABEL}(?:{_DOT}{_LABEL})+(?![A-Za-z0-9])"
-    rf"|(?<![A-Za-z0-9._%+\-]){_LOCAL}(?:\s+dot\s+{_LOCAL})*\s+(?:at|arroba)\s+{_LABEL}(?:\s+(?:dot|punto)\s+{_LABEL})+(?![A-Za-z0-9])(?!\s+(?:at|arroba)\s)",
+    rf"(?<![\w.%+\-]){_LOCAL}(?:@\s?|＠|&#64;|\s@\s|\s*[\[({{]\s*(?:at|arroba)\s*[\])}}]\s*){_LABEL}(?:{_DOT}{_LABEL})+(?![^\W_])"
+    rf"|(?<![\w.%+\-]){_LOCAL}(?:\s+dot\s+{_LOCAL})*\s+(?:at|arroba)\s+{_LABEL}(?:\s+(?:dot|punto)\s+{_LABEL})+(?![^\W_])(?!\s+(?:at|arroba)\s)",
     re.IGNORECASE,
 )
 PHONE = re.compile(
@@ -58,10 +61,19 @@ PHONE = re.compile(
     rf"|0\d{{2,4}}{_S}\d{{3,4}}{_S}\d{{3,4}}"
     rf"|(?:\+34{_S}?)?[6789]\d\d{_S}\d{{3}}{_S}\d{{3}}"
     rf"|(?:\+|00)\d{{9,14}}"
-    rf")(?!\w)(?![.\-/]\d)"
-    rf"|\b(?:(?:{_WORDS})[ ,\-]+){{6,14}}(?:{_WORDS})\b",
+    rf"|\+\d{{1,3}}(?:{_S}?\(?\d{{1,5}}\)?){{2,4}}"
+    rf"|0\d{{2,4}}{_S}\d{{6,8}}"
+    rf")(?!\w)(?![.\-/]\d)",
     re.IGNORECASE,
 )
+SPELLED = re.compile(rf"\b(?:(?:{_WORDS})[ ,\-]+){{6,14}}(?:{_WORDS})\b", re.IGNORECASE)
+# What a text must hold before the costly patterns are tried.
+_AT = re.compile(r"[@＠]|&#64;|[\[({]\s*(?:at|arroba)\b", re.IGNORECASE)
+_SIX, _SEVEN = (re.compile(rf"\d(?:[^\w\n]{{0,3}}\n?\d){{{n}}}") for n in (5, 6))
+_AT_OR_WORD = re.compile(rf"{_AT.pattern}|\b(?:at|arroba)\b", re.IGNORECASE)
+_NUMBER_WORDS = frozenset(map(fold, _WORDS.split("|")))
+#: An address of mail has 254 characters at most; written out, with blanks, it may be longer.
+MAIL_REACH = 400
 _G = r"[  .\-‐-―/]"
 ID_NUMBER = re.compile(
     rf"(?<![\w])(?<!\d[.\-/])(?:"
@@ -88,32 +100,52 @@ ADDRESS = re.compile(
     rf"\d{{1,4}}[A-Za-z]?(?:\s?[\-–/]\s?\d{{1,4}}[A-Za-z]?)?,?\s(?:(?:North|South|East|West|[NSEW]\.)\s)?(?:{_CAP}\s){{1,3}}?(?:{_STREET})\b\.?(?!\s(?:Singers|Band|Choir|Records|Quartet)){_UNIT}{_PLACE}"
     rf"|\d{{1,4}}\s?(?:bis|ter|quater|[A-Za-z])?,?\s(?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Bb]d|[Ii]mpasse|[Qq]uai|[Pp]lace|[Cc]hemin|[Aa]llée|[Cc]ours|[Pp]assage|[Ss]quare|[Rr]oute)\s(?:de la |de l['’]|de |du |des |d['’])?{_CAP}{_FROM}"
     rf"|(?:Calle|C/|Avenida|Avda\.?|Av\.|Paseo|Plaza|Pza\.?|Camino|Carretera|Ronda|Travesía|Glorieta)\s?(?:de la |de los |de las |de |del )?{_CAP},?\s(?:n\.?\s?º\s?|nº\s?|núm\.?\s?)?\d{{1,4}}[A-Za-z]?(?:,\s\d+\.?º\s?\w)?{_FROM}"
+    rf"|(?:Via|Viale|Piazza|Corso|Largo|Vicolo)\s(?:(?:del|della|dei|delle|di)\s|dell['’])?(?:{_CAP}\s){{0,2}}{_CAP},?\s\d{{1,4}}[A-Za-z]?\b{_FROM}"
     rf"|(?:Am|Im|An der|An den|Auf der|Auf dem|Zum|Zur|In der|Unter den)\s{_CAP}\s\d{{1,4}}\s?[a-z]?\b{_FROM}"
     rf"|{_CAP}?(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer)\s\d{{1,4}}[a-z]?\b{_FROM}"
     rf"|{_CAP}[ \-](?:Straße|Strasse|Str\.|Gasse|Weg|Allee|Platz|Ring|Damm|Ufer)\s\d{{1,4}}[a-z]?\b{_FROM}"
     rf")"
 )
 _BESIDE = re.compile(r"(?<![^\W\d_])(?=[^\Wa-z\d_])([^\W\d_]+(?:['’][^\W\d_]+)*)(?=\.?[  \"“(”)]+[^\W\d_])|(?<=,[  ])(?=[^\Wa-z\d_])([^\W\d_]+(?:['’][^\W\d_]+)*)")
+_GAP, _COMMA, _BLANK = re.compile(r"\.?[ \u00a0]|\.?[ \u00a0][\"“(]|[\"”)][ \u00a0]").fullmatch, re.compile(r",[ \u00a0]").fullmatch, re.compile(r"[ \u00a0]").fullmatch
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 
-def typed(text: str) -> list[tuple[str, int, int]]:
-    """Findings with a form of their own, left to right, none over another: mail first, then addresses, numbers of persons, telephones."""
+def _around(text: str, anchors: re.Pattern, reach: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a text within ``reach`` of an anchor, joined where they touch."""
+    start = end = -1
+    for m in anchors.finditer(text):
+        if m.start() - reach > end:
+            if end >= 0:
+                yield start, min(end, len(text))
+            start = max(0, m.start() - reach)
+        end = m.end() + reach
+    if end >= 0:
+        yield start, min(end, len(text))
+
+
+def typed(text: str, low: list[str] | None = None) -> list[tuple[str, int, int]]:
+    """Findings with a form of their own, left to right, none over another: mail first, then addresses, numbers of persons, telephones.
+    ``low``: the folded words of the text, if they are known."""
     taken: list[tuple[str, int, int]] = []
 
     def put(kind: str, a: int, b: int) -> None:
         if all(b <= x or a >= y for _, x, y in taken):
             taken.append((kind, a, b))
 
-    if "@" in text or "＠" in text or "&#64;" in text or re.search(r"(?i)\b(?:at|arroba)\b", text):
-        for m in EMAIL.finditer(text):
+    said = words_of(text)[1] if low is None else low
+    spelled = sum(map(_NUMBER_WORDS.__contains__, said)) >= 7
+    in_words = ("at" in said or "arroba" in said) and ("dot" in said or "punto" in said)
+    for a, b in _around(text, _AT_OR_WORD if in_words else _AT, MAIL_REACH):
+        for m in EMAIL.finditer(text, a, b):
             put("email", *m.span())
-    if not re.search(r"\d", text) and not re.search(rf"(?i)\b(?:{_WORDS})[ ,\-]+(?:{_WORDS})\b", text):
+    digits = any(map(text.__contains__, "0123456789")) or not text.isascii() and re.search(r"\d", text)
+    if not digits and not spelled:
         return sorted(taken, key=lambda x: x[1])
-    for m in ADDRESS.finditer(text):
+    for m in ADDRESS.finditer(text) if digits else ():
         put("address", *m.span())
-    for m in ID_NUMBER.finditer(text):
+    for m in ID_NUMBER.finditer(text) if digits and _SIX.search(text) else ():
         before, how = text[max(0, m.start() - 48) : m.start()], m.lastgroup
         if _RECORD.search(before):
             continue
@@ -121,7 +153,11 @@ def typed(text: str) -> list[tuple[str, int, int]]:
         if how in ("digits", "passport") and not state:
             continue
         put("id_number", *m.span())
-    for m in PHONE.finditer(text):
+    numbers = [*PHONE.finditer(text)] if digits and _SEVEN.search(text) else []
+    for m in numbers + ([*SPELLED.finditer(text)] if spelled else []):
+        n = sum(map(str.isdigit, m.group()))
+        if n and not 7 <= n <= 15:
+            continue
         if not _RECORD.search(text[max(0, m.start() - 20) : m.start()]):
             put("phone", *m.span())
     return sorted(taken, key=lambda x: x[1])
@@ -131,11 +167,17 @@ def _case(w: str) -> str:
     return "u" if len(w) > 1 and w.isupper() else "t" if w[:1].isupper() else "l"
 
 
-def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken: list[tuple[str, int, int]], rare: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, str, str]]:
+def words_of(text: str) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """The words of a text with their places, and their folded forms."""
+    words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
+    return words, [fold(w) for w, _, _ in words]
+
+
+def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken: list[tuple[str, int, int]], rare: frozenset[str] = frozenset(), read: tuple[list, list] | None = None) -> Iterator[tuple[int, int, str, str]]:
     """``(start, end, word, initial)`` for each place where a given name or an initial stands with a word that may be a surname:
     given name, further initials, particles, word; or word, comma, given name. ``rare`` given names count in capitals, and where
     they stand after a given name they may be surnames."""
-    words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
+    words, low = read or words_of(text)
     blocked = [False] * len(words)
     k = 0
     for _, a, b in taken:
@@ -144,52 +186,46 @@ def name_spans(text: str, given: frozenset[str], familiar: frozenset[str], taken
         while k < len(words) and words[k][1] < b:
             blocked[k] = True
             k += 1
-    low = [fold(w) for w, _, _ in words]
     gap = lambda i: text[words[i][2] : words[i + 1][1]]
     free = lambda i: not blocked[i] and (words[i][1] == 0 or text[words[i][1] - 1] not in "@#/_") and text[words[i][2] : words[i][2] + 1] not in ("@", "_", "/")
 
     def is_given(i: int) -> bool:
         return low[i] in given or low[i] in familiar and words[i][0][0].isupper()
 
-    i = 0
-    while i < len(words):
+    after = 0
+    for i in (k for k, (w, _, _) in enumerate(words) if low[k] in given or low[k] in familiar or low[k] in rare or len(w) == 1):
         w, a, b = words[i]
         initial = len(w) == 1 and w.isupper() and text[b : b + 1] == "."
-        if not free(i) or not (initial or is_given(i) or low[i] in rare and w[0].isupper()):
-            i += 1
+        if i < after or not free(i) or not (initial or is_given(i) or low[i] in rare and w[0].isupper()):
             continue
         case, j = _case(w), i
         # forward
-        while j + 1 < len(words) and re.fullmatch(r"\.?[  ]|\.?[  ][\"“(]|[\"”)][  ]", gap(j)) and free(j + 1):
+        while j + 1 < len(words) and _GAP(gap(j)) and free(j + 1):
             j += 1
             x = words[j][0]
             if len(x) == 1 and x.isupper() or low[j] in PARTICLES or (gap(j - 1)[-1] in "\"“" and j + 1 < len(words) and gap(j)[0] in "\"”"):
                 continue
-            dotted = gap(j - 1).startswith(".")
-            if dotted and len(words[j - 1][0]) > 1:
+            if gap(j - 1).startswith(".") and len(words[j - 1][0]) > 1:
                 break
-            fits = _case(x) == case or case == "t" and initial and _case(x) in "tu" or initial and _case(x) in "tu"
-            if len(x) >= 3 and fits and not is_given(j):
+            # a name in capitals stands beside one that isn't, as it is written on sleeves
+            fits = _case(x) == case or case in "tu" and _case(x) in "tu"
+            if len(x) >= (3 if initial or _case(x) != "t" else 2) and fits and not is_given(j):
                 yield a, words[j][2], low[j], low[i][0]
-                i = j
+                after = j + 1
             break
-        if i == j and j > 0 and words[i][1] != a:
-            i += 1
-            continue
         # reversed, with a comma
-        if i > 0 and words[i][1] == a and not initial and re.fullmatch(r",[  ]", gap(i - 1)) and free(i - 1):
-            x, s, _ = words[i - 1]
-            if len(x) >= 3 and _case(x) == case and not is_given(i - 1) and low[i - 1] not in PARTICLES:
+        if i >= after and i > 0 and _COMMA(gap(i - 1)) and free(i - 1) and not is_given(i - 1):
+            x = words[i - 1][0]
+            if initial and len(x) >= 3 and _case(x) in "tu":
+                yield words[i - 1][1], b + 1, low[i - 1], low[i][0]
+            elif not initial and len(x) >= (2 if _case(x) == "t" else 3) and (_case(x) == case or case == "t" and _case(x) == "u") and low[i - 1] not in PARTICLES:
                 h = i - 1
-                while h > 0 and low[h - 1] in PARTICLES and re.fullmatch(r"[  ]", gap(h - 1)) and free(h - 1):
+                while h > 0 and low[h - 1] in PARTICLES and _BLANK(gap(h - 1)) and free(h - 1):
                     h -= 1
                 yield words[h][1], b, low[i - 1], low[i][0]
-        elif i > 0 and initial and re.fullmatch(r",[  ]", gap(i - 1)) and free(i - 1) and words[i][1] == a and len(words[i - 1][0]) >= 3 and _case(words[i - 1][0]) in "tu" and not is_given(i - 1):
-            yield words[i - 1][1], b + 1, low[i - 1], low[i][0]
-        i += 1
 
 
-def _person_tokens(artists: DataFrame) -> DataFrame:
+def _person_tokens(artists: DataFrame, log: StageLog) -> DataFrame:
     """``t, n, last``: how often a token stands as a given name and as the last token of the persons in ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +238,7 @@ def _person_tokens(artists: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([x for _, x in found], pa.bool_())], ["t", "at_end"])
 
     counts = spread(artists.select("name").where("name is not null")).mapInArrow(run, "t string, at_end boolean").groupBy("t").agg(F.count_if(~F.col("at_end")).alias("n"), F.count_if("at_end").alias("last"))
-    return StageLog(artists.sparkSession).stage(counts, "p8-tokens")
+    return log.stage(counts, "p8-tokens")
 
 
 def _given_names(counts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
@@ -227,11 +263,15 @@ def _rare_names(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rare, bitmap
 
 
+SPAN_NAMES = ["doc_id", "kind", "start_at", "end_at", "word", "ini", "small", "after"]
+SPAN_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+
+
 def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, bits: float = BITS) -> DataFrame:
     """``doc_id, kind, start_at, end_at``: all findings. Null and empty texts have none; texts are read whole; repeated texts have
     theirs each; ids should be unique, rows with a null id are left out. ``artists`` gives the known persons."""
     log = StageLog(docs.sparkSession)
-    counts = _person_tokens(artists)
+    counts = _person_tokens(artists, log)
     given, familiar = _given_names(counts)
 
     rare, bitmap = _rare_names(counts)
@@ -244,17 +284,24 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
+            totals, smalls, texts_with = Counter(), Counter(), Counter()
             settled = b.column("rare").to_pylist() if "rare" in b.schema.names else None
             for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())):
                 if settled is None and (words := asked(text)):  # read once its words are settled
                     rows += [(doc, "ask", None, None, w, None, None, None) for w in words]
                     continue
-                taken = typed(text)
+                read = words_of(text)
+                taken = typed(text, read[1])
                 rows += [(doc, kind, a, e, None, None, None, None) for kind, a, e in taken]
-                rows += [(doc, "name", a, e, w, g, text[a:e].islower(), "," not in text[a:e] and not text[a:e].islower()) for a, e, w, g in name_spans(text, given, familiar, taken, frozenset(settled[k] if settled else ()))]
+                totals.update(read[1])
+                smalls.update(x for (w, _, _), x in zip(*read) if w.islower())
+                texts_with.update(set(read[1]))
+                spans = name_spans(text, given, familiar, taken, frozenset(settled[k] if settled else ()), read)
+                rows += [(doc, "name", a, e, w, g, text[a:e].islower(), "," not in text[a:e] and not text[a:e].islower()) for a, e, w, g in spans]
+            # all words of the batch, counted: occurrences, those written small, texts
+            rows += [(texts_with[w], "word", n, smalls[w], w, None, None, None) for w, n in totals.items()]
             cols = list(zip(*rows)) if rows else [[]] * 8
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "kind", "start_at", "end_at", "word", "ini", "small", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, SPAN_TYPES)], SPAN_NAMES)
 
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     kinds = "doc_id bigint, kind string, start_at int, end_at int, word string, ini string, small boolean, after boolean"
@@ -272,13 +319,8 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     h_all, n_all = h_all or 0.0, n_all or 0
     stats = beside.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"))
     places = names.groupBy("word").agg(F.count_if("small").alias("small_here"), F.count_if("after").alias("after"), F.count_distinct("doc_id").alias("docs_here"))
-    # all occurrences, those written small, and the texts that hold the word
-    marks = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿøł"
-    plain = F.translate("text", marks + marks.upper() + "’", "aaaaaaceeeeiiiinooooouuuuyyol" + "aaaaaaceeeeiiiinooooouuuuyyol".upper() + "'")
-    said = texts.select(F.regexp_extract_all(plain, F.lit(r"(\p{L}+(?:'\p{L}+)*)"), F.lit(1)).alias("w"))
-    each = F.transform("w", lambda w: F.struct(F.lower(w).alias("word"), (w == F.lower(w)).alias("small"), F.lit(False).alias("once")))
-    once = F.transform(F.array_distinct(F.transform("w", F.lower)), lambda w: F.struct(w.alias("word"), F.lit(False).alias("small"), F.lit(True).alias("once")))
-    total = said.select(F.inline(F.concat(each, once))).groupBy("word").agg(F.count_if(~F.col("once")).alias("total"), F.count_if("small").alias("small"), F.count_if("once").alias("docs"))
+    # all occurrences, those written small, and the texts that hold the word, as the reading of the texts counted them by batches
+    total = spans.where("kind = 'word'").groupBy("word").agg(F.sum(F.col("start_at").cast("bigint")).alias("total"), F.sum(F.col("end_at").cast("bigint")).alias("small"), F.sum("doc_id").alias("docs"))
     known = counts.where("last > n").select(F.col("t").alias("plain"), F.lit(True).alias("known"))
     judged = stats.join(places, "word").join(total, "word", "left").withColumn("plain", F.translate("word", "'’", "")).join(known, "plain", "left")
     judged = judged.withColumn("gain", h_all - F.col("h") - (F.col("k") - 1) / (2 * F.col("n") * F.log(F.lit(2.0))))
@@ -293,7 +335,10 @@ def find(docs: DataFrame, artists: DataFrame, id_col: str = "doc_id", text_col:
     kept = log.stage(kept, "p8-kept")
     heavy = kept.where(F.col("n") > max(10_000, n_all // HEAVY_SHARE)).select("word")  # at most HEAVY_SHARE words
     sure = lookup_join(names, kept.select("word", "whole"), "word", heavy).where("whole or not small").select("doc_id", "kind", "start_at", "end_at")
-    return spans.where("kind <> 'name'").select("doc_id", "kind", "start_at", "end_at").unionByName(sure).dropDuplicates(["doc_id", "kind", "start_at"])
+    found = spans.where("kind not in ('name', 'word')").select("doc_id", "kind", "start_at", "end_at").unionByName(sure).dropDuplicates(["doc_id", "kind", "start_at"])
+    found = log.stage(found, "p8-findings")
+    log.close(found)
+    return found
 
 
 def replace(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,4 +360,11 @@ def replace(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["doc_id", "text", "n_findings"])
 
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.join(per, "doc_id", "left").mapInArrow(run, "doc_id bigint, text string, n_findings int")
+    # a bitmap of fixed size lets all other texts pass where they are
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARKS)) + 1
+    marks = per.select(F.bitmap_bucket_number(slot).alias("_b"), F.bitmap_bit_position(slot).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
+    byte = "cast(conv(hex(substring(_m, cast(_q div 8 as int) + 1, 1)), 16, 10) as int)"
+    asked = base.withColumn("_b", F.bitmap_bucket_number(slot)).withColumn("_q", F.bitmap_bit_position(slot)).join(F.broadcast(marks), "_b", "left")
+    asked = asked.select("doc_id", "text", F.coalesce(F.expr(f"shiftright({byte}, cast(_q % 8 as int)) & 1 = 1"), F.lit(False)).alias("_may"))
+    changed = asked.where("_may").select("doc_id", "text").join(per, "doc_id", "left").mapInArrow(run, "doc_id bigint, text string, n_findings int")
+    return asked.where("not _may").select("doc_id", "text", F.lit(0).alias("n_findings")).unionByName(changed)
