@@ -1,12 +1,14 @@
-"""The k most similar vectors of every vector: a forest of random-projection trees, searched through one queue of margins.
+"""The k most similar vectors of every vector: a forest of random-projection trees, searched through one shared priority queue.
 
-1. Exact copies are folded first, so a vector that stands in a third of all rows is one point with its first ids.
+1. Copies are folded first, those that differ by a power of two in length too, so a direction that stands in a third of all rows is
+   one point with its first ids.
 2. The trees are fitted on a bounded sample (``SAMPLE`` points; the only part that doesn't see all rows): a node's plane lies
    between two drawn points, at the median, so leaves are even. Below the fitted depth further planes follow, as many as the
    number of points asks for, so leaves keep their size at any scale. Every point is put into a leaf of every tree.
-3. A point is searched in its own leaves and in ``probes`` more: over all trees together, those reached by crossing the planes
-   to which it lies nearest.
-4. A leaf is one small matrix product; what passes it is ranked by the exact cosine in double precision.
+3. A point is searched in its own leaves and in ``probes`` more. All trees share one queue of branches not taken, by their distance:
+   the nearest is popped and followed to its leaf, and the branches left beside that way are pushed in turn.
+4. A leaf is one small matrix product; what passes it is ranked by the exact cosine in double precision. Points that no plane can
+   split stand in parts; in the first tree each is compared with all parts of its leaf, block by block, so none is missed.
 """
 
 from __future__ import annotations
@@ -19,18 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carillon.operators.skew import first_k
+from carillon.operators.skew import first_k, heavy_keys, lookup_join
 from carillon.session import StageLog
 
 #: Points on which trees are fitted, whatever the size of the table: 8 MB at 64 dimensions.
 SAMPLE = 32_768
 FITTED_LEAF = 64  #: sample points in a fitted leaf, at least
 LEAF = 384  #: points in a leaf, about
+PARTS = 1 << 14  #: parts of a leaf that no plane splits, at most
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """``id, vec``: vectors of exactly ``dim`` finite numbers that aren't all zero, as little-endian float32 bytes. A null id or
-    vector, another length, NaN and infinity drop out. Other columns aren't read."""
+    """``id, vec``: vectors of exactly ``dim`` finite numbers that aren't all zero, as little-endian float32 bytes, scaled by the power of
+    two that brings the largest number between 1/2 and 1 where that loses nothing: cosines stay the same to the last bit. A null id
+    or vector, another length, NaN and infinity drop out. Other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,6 +48,11 @@ def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
             x = np.asarray(flat.fill_null(float("nan")), dtype="<f4").reshape(-1, dim) + np.float32(0)
             good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             x = np.ascontiguousarray(x[good])
+            if len(x):
+                power = -np.frexp(np.abs(x).max(axis=1))[1]
+                scaled = np.ldexp(x, power[:, None])
+                exact = (np.ldexp(scaled, -power[:, None]) == x).all(axis=1)  # else it holds numbers too small to scale
+                x = np.ascontiguousarray(np.where(exact[:, None], scaled, x))
             ids = b.column("id").filter(pa.array(whole)).filter(pa.array(good))
             vec = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([ids, vec], ["id", "vec"])
@@ -88,35 +97,67 @@ class Forest:
             node = 2 * node + (m > 0)
         return node, margins
 
-    def cross(self, t: int, level: int, leaf: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """The leaf reached by going to the other side at ``level`` and the near side below."""
-        node = (leaf >> (self.depth - level - 1)) ^ 1
-        for below in range(level + 1, self.depth):
-            node = 2 * node + (self._side(t, below, node, x) > 0)
-        return node
+    def follow(self, t: int, level: np.ndarray, leaf: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves reached by going to the other side at each row's ``level`` of the way to ``leaf``, and the margins below it (infinite
+        at that level and above)."""
+        node, margins = np.ones(len(x), "i8"), np.full((len(x), self.depth), np.inf, "f4")
+        for at in range(self.depth):
+            below = np.nonzero(level < at)[0]
+            step = (leaf >> (self.depth - at - 1)) & 1
+            step = np.where(level == at, 1 - step, step)
+            if len(below):
+                m = self._side(t, at, node[below], x[below])
+                step[below] = m > 0
+                margins[below, at] = np.abs(m)
+            node = 2 * node + step
+        return node, margins
 
     def cells(self, x: np.ndarray, ids: np.ndarray, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """``(cell, which rows, own)``: the leaves of each row, own ones first, then those reached through the queue."""
-        trees, found, margins = len(self.planes), [], []
+        n, trees = len(x), len(self.planes)
+        size = self.depth * (trees + max(0, probes - 1))
+        far, leaf_of = np.full((n, size), np.inf, "f4"), np.zeros((n, size), "i8")
+        tree_of, level_of = np.zeros((n, size), "i2"), np.tile(np.arange(self.depth, dtype="i2"), (n, max(1, size // max(1, self.depth))))[:, :size]
         for t in range(trees):
             leaf, m = self.descend(t, x)
-            found.append(leaf)
-            margins.append(np.abs(m))
-            yield self._cell(t, leaf, ids), np.arange(len(x)), True
-        if not probes or not self.depth:
+            at = slice(t * self.depth, (t + 1) * self.depth)
+            far[:, at], leaf_of[:, at], tree_of[:, at] = np.abs(m), leaf[:, None], t
+            yield self._cell(t, leaf, self._part(t, leaf, ids)), np.arange(n), True
+            if t == 0:
+                yield from self._other_parts(leaf, ids)
+        if not self.depth:
             return
-        queue = np.concatenate(margins, axis=1)  # all trees' margins in one queue
-        near = np.argpartition(queue, min(probes, queue.shape[1]) - 1, axis=1)[:, :probes]
-        for t in range(trees):
-            for level in range(self.depth):
-                rows = np.nonzero((near == t * self.depth + level).any(axis=1))[0]
-                if len(rows):
-                    yield self._cell(t, self.cross(t, level, found[t][rows], x[rows]), ids[rows]), rows, False
-
-    def _cell(self, t: int, leaf: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        parts = self.salts[t][(leaf >> (self.depth - self.fitted)) - (1 << self.fitted)]
-        part = ((ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15 + 2 * t)) >> np.uint64(40)) % parts.astype("u8")
-        return (leaf * len(self.planes) + t) * 4096 + part.astype("i8")
+        rows = np.arange(n)
+        for k in range(probes):
+            top = far.argmin(axis=1)
+            distance, tree, level, leaf = far[rows, top], tree_of[rows, top], level_of[rows, top], leaf_of[rows, top]
+            far[rows, top] = np.inf
+            for t in range(trees):
+                here = np.nonzero((tree == t) & np.isfinite(distance))[0]
+                if not len(here):
+                    continue
+                reached, m = self.follow(t, level[here], leaf[here], x[here])
+                if k + 1 < probes:
+                    at = slice((trees + k) * self.depth, (trees + k + 1) * self.depth)
+                    far[here, at], leaf_of[here, at], tree_of[here, at] = np.maximum(m, distance[here, None]), reached[:, None], t
+                yield self._cell(t, reached, self._part(t, reached, ids[here])), here, False
+
+    def _parts(self, t: int, leaf: np.ndarray) -> np.ndarray:
+        return self.salts[t][(leaf >> (self.depth - self.fitted)) - (1 << self.fitted)]
+
+    def _part(self, t: int, leaf: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        mixed = (ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15 + 2 * t)) >> np.uint64(40)
+        return (mixed % self._parts(t, leaf).astype("u8")).astype("i8")
+
+    def _cell(self, t: int, leaf: np.ndarray, part: np.ndarray) -> np.ndarray:
+        return (leaf * len(self.planes) + t) * PARTS + part
+
+    def _other_parts(self, leaf: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """The first tree's parts besides a row's own."""
+        parts, own = self._parts(0, leaf), self._part(0, leaf, ids)
+        for step in range(1, int(parts.max(initial=1))):
+            here = np.nonzero(parts > step)[0]
+            yield self._cell(0, leaf[here], (own[here] + step) % parts[here]), here, False
 
 
 def fit(sample: np.ndarray, total: int, trees: int, leaf: int = LEAF, seed: int = 7) -> Forest:
@@ -135,6 +176,8 @@ def fit(sample: np.ndarray, total: int, trees: int, leaf: int = LEAF, seed: int
                 normal = _plane(sample, ix, rng)
                 at = sample[ix] @ normal
                 cut = np.median(at) if len(ix) else 0.0
+                if len(ix) and cut == at.max() > at.min():  # many lie on the upper side of the plane itself
+                    cut = at[at < cut].max()
                 w[(1 << level) - 1 + k], c[(1 << level) - 1 + k] = normal, cut
                 below += [ix[at <= cut], ix[at > cut]]
             parts = below
@@ -145,7 +188,7 @@ def fit(sample: np.ndarray, total: int, trees: int, leaf: int = LEAF, seed: int
         planes.append((w, c))
         deep.append((dw, dc))
         expected = np.array([len(ix) for ix in parts]) / max(1, len(sample)) * total / (1 << more)
-        salts[t] = np.clip(np.ceil(expected / (8 * leaf)), 1, 4096).astype("i8")
+        salts[t] = np.clip(np.ceil(expected / (8 * leaf)), 1, PARTS).astype("i8")
     return Forest(dim, fitted, planes, deep, salts)
 
 
@@ -197,11 +240,11 @@ def _search_leaf(dim: int, k: int, least: float):
     return run
 
 
-def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 4, probes: int = 1) -> DataFrame:
+def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, least: float = -1.0, trees: int = 4, probes: int = 2) -> DataFrame:
     """``id, nbr, cos``: for each usable vector up to ``k`` other usable vectors with the largest cosine (at least ``least``), by
     ties the smaller id. Copies of one vector are neighbours of each other with cosine 1. Ids must be unique: of repeated rows
     one counts. An empty table, or one without usable vectors, gives no rows. Approximate in one way only: a neighbour that
-    shares no searched leaf is missed; cosines are exact.
+    shares no searched leaf is missed; cosines are exact. A leaf of any size is searched whole.
     """
     spark = df.sparkSession
     log = StageLog(spark)
@@ -212,9 +255,8 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, l
     first = log.stage(first.withColumn("rep", w_rep).select("id", "rep", F.col("_rank").alias("rank"), F.when(F.col("_rank") == 1, F.col("vec")).alias("vec"), F.when(F.col("_rank") == keep, F.col("vec")).alias("full")), "p4-points")
     n, n_copies, n_full = first.agg(F.count("vec"), F.count_if(F.col("rank") > 1), F.count("full")).first()
     points = first.where("rank = 1").select("id", "vec")
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec")
-    raw = [r[0] for r in sample.collect()]  # SAMPLE points: 8 MB at 64 dimensions
+    sample = points.where(F.shiftrightunsigned(F.xxhash64("id"), 2) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 62)))
+    raw = [r[0] for r in sample.select("vec").limit(2 * SAMPLE).collect()]  # about SAMPLE points, 8 MB at 64 dimensions; never over twice that
     forest = spark.sparkContext.broadcast(fit(_unit(raw, dim) if raw else np.zeros((0, dim), "f4"), n, trees))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +284,12 @@ def neighbours(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, l
     members = first.select("id", "rep").distinct()
     if n_full:  # copies beyond the first k + 1
         ends = first.where("full is not null").select(F.col("full").alias("vec"), "rep", F.col("id").alias("last"))
-        ends = F.broadcast(ends) if n_full <= 1000 else ends
-        members = members.unionByName(valid.join(ends, "vec").where("id > last").select("id", "rep"))
+        # a direction in many rows is met by its few ends: broadcast while they are few, else only those of heavy directions
+        if n_full <= 1000:
+            beyond = valid.join(F.broadcast(ends), "vec")
+        else:
+            beyond = lookup_join(valid, ends, "vec", heavy_keys(valid, "vec", n + n_copies))
+        members = members.unionByName(beyond.where("id > last").select("id", "rep"))
     mine = members.join(best, "rep").select("id", F.slice(F.filter("list", lambda x: x["nbr"] != F.col("id")), 1, k).alias("list"))
     return mine.select("id", F.inline("list")).select("id", "nbr", (-F.col("neg")).alias("cos"))
 

@@ -69,3 +69,33 @@ def test_variants_of_names_of_common_tokens_meet(spark):
     for hot in (0, 2):
         got = {r.id: r.entity for r in link_names(df, hot=hot).collect()}
         assert got == {k: 0 if k < 6 else 6 if k < 8 else 8 if k < 10 else 10 if k < 14 else k for k in range(len(names))}, hot
+
+
+def test_assignment_against_all_ways():
+    import random
+    from itertools import permutations
+
+    from carillon.llm.names import assign
+
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(1, 4)
+        m = rng.randint(n, 5)
+        cost = [[None if rng.random() < 0.3 else rng.randint(-5, 9) for _ in range(m)] for _ in range(n)]
+        ways = [sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n) if all(cost[i][j] is not None for i, j in enumerate(p))]
+        got = assign(cost)
+        assert (got is None) == (not ways) and (got is None or sum(cost[i][j] for i, j in enumerate(got)) == min(ways) and len(set(got)) == n)
+
+
+def test_names_of_many_tokens_and_common_familiar_forms():
+    for a, b in [
+        ("Northern Valley River Mountain Forest Lakeside Chamber Orchestra", "Northern Valley River Mountan Forest Lakeside Chamber Orchestra"), ("Johan Peter Maria Anton Karl Friedrich Wilhelm Wurbaklor", "Wurbaklor, Johan Peter Maria Antn Karl Friedrich Wilhelm"),
+        ("Patricia Wurbaklor", "Pat Wurbaklor"), ("Rebecca Wurbaklor", "Becky Wurbaklor"), ("Frederick Wurbaklor", "Fred Wurbaklor"), ("Walter Wurbaklor", "Wally Wurbaklor"),
+    ]:
+        assert same(forms(a, None), forms(b, None)) == 2
+
+
+def test_familiar_forms_are_learned_from_the_rows(spark):
+    rows = [(k, f"Zibbo Sur{chr(97 + k) * 3}", f"Sur{chr(97 + k) * 3}, Zacharias", None) for k in range(4)] + [(10, "Zacharias Wurbaklor", None, None), (11, "Zibbo Wurbaklor", None, None), (12, "Zacharias Melmaden", None, None), (13, "Quirin Melmaden", None, None)]
+    assert _pairs(spark, rows) == [(10, 11)]
+    assert _pairs(spark, [r for r in rows if r[0] > 2]) == []

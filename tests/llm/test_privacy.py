@@ -76,3 +76,32 @@ def test_rare_given_names_are_found(spark):
     docs = spark.createDataFrame([(1, "by Ottokar Velsin here"), (2, "by Quirin B. Tarmin and Vera Klinsta"), (3, "Palgor, Ottokar, Bratsche"), (4, "Vera Quirin"), (5, "Ottokar laughed"), (6, "Nobody Known")], "doc_id bigint, text string")
     got = {(r.doc_id, r.start_at, r.end_at) for r in find(docs, artists).collect()}
     assert got == {(1, 3, 17), (2, 3, 19), (2, 24, 36), (3, 0, 15), (4, 0, 11)}
+
+
+def test_more_writings_of_numbers_streets_and_mail():
+    for text, want in [
+        ("call 07911 123456 now", "07911 123456"), ("Tel 0176 12345678.", "0176 12345678"), ("bei +49 30 123456 bitte", "+49 30 123456"), ("a +39 06 1234567", "+39 06 1234567"), ("at +81 3-1234-5678", "+81 3-1234-5678"),
+        ("mail müller@exämple.de ok", "müller@exämple.de"), ("in Via Roma 12, adesso", "Via Roma 12"),
+    ]:
+        assert [text[a:b] for _, a, b in typed(text)] == [want]
+    assert typed("order 0176 12345678") == [] and typed("+1 2") == []
+    far = "x " * 5000
+    assert [k for k, _, _ in typed(f"{far}a@b.example {far} c@d.example {far}")] == ["email", "email"]
+
+
+def test_capitals_beside_small_letters_and_short_surnames():
+    g = frozenset({"william", "fiona"})
+    for text, want in [("by William GALLAGHER on", ["William GALLAGHER"]), ("by Fiona Li on", ["Fiona Li"]), ("Fiona is here", [])]:
+        assert [text[a:b] for a, b, _, _ in name_spans(text, g, frozenset(), [])] == want
+
+
+def test_words_with_any_accents_are_counted_with_their_plain_forms(spark):
+    rows = [(k, f"Played by Vera Kovčík{chr(97 + k)}. kovčík{chr(97 + k)} " + f"kovčik{chr(97 + k)} " * 9, "x") for k in range(4)]
+    docs, artists = _docs(spark, rows)  # one in eleven mentions stands beside a name
+    assert find(docs, artists).where("kind = 'name'").count() == 0
+
+
+def test_texts_without_findings_are_not_shuffled(spark):
+    docs, artists = _docs(spark, [(k, "nothing here", "x") for k in range(50)] + [(60, "mail a@b.example", "x")])
+    out = replace(docs, find(docs, artists))
+    assert {r.n_findings: r["count"] for r in out.groupBy("n_findings").count().collect()} == {0: 50, 1: 1}

@@ -48,3 +48,20 @@ def test_in_spark(spark):
 def test_clashing_columns_are_replaced(spark):
     df = spark.createDataFrame([("Ａ", "old", "x"), ("b", "old", "y")], "t string, form string, kinds string")
     assert sorted(tuple(r) for r in with_forms(df, "t").select("t", "form").collect()) == [("b", "b"), ("Ａ", "A")]
+
+
+def test_look_alikes_of_more_scripts_and_accented_ones():
+    for odd, plain in [("Ꭺnna", "Anna"), ("ꓮnna", "Anna"), ("Ꮲeter", "Peter"), ("Zoё", "Zoë"), ("e​́", "é"), ("\U0001d756̓", "Ἀ")]:
+        assert one_form(odd)[0] == plain and one_form(odd)[1]
+    for usual in ("Ёлка", "Чоё", "Άλφα"):
+        assert one_form(usual) == (usual, ())
+
+
+CHARS = st.sampled_from("аеоρΆαё̣̀̈́̓̓​‍️\xa0ﬁＡ\U0001d756가각eaoAꓮᎪ'’- 1")
+
+
+@given(st.text(CHARS, max_size=8))
+def test_forms_settle_whatever_meets(s):
+    form, _ = one_form(s)
+    assert one_form(form)[0] == form
+    assert one_form(unicodedata.normalize("NFD", s))[0] == form
