@@ -81,3 +81,51 @@ def test_a_direction_that_cannot_be_split_is_dealt_out():
     forest = fit(x, 100_000, 2, leaf=100)
     cells = np.concatenate([c for c, _, _ in forest.cells(x, np.arange(4096), 0)])
     assert len(np.unique(cells)) > 8
+
+
+def test_points_that_cannot_be_split_all_meet_in_the_first_tree():
+    x = np.tile(np.array([[1.0, 0, 0, 0]], "f4"), (3000, 1))
+    forest = fit(x, 3000, 2, leaf=20)
+    ids = np.arange(len(x))
+    own, asked = {}, [set() for _ in ids]
+    for cell, rows, mine in forest.cells(x, ids, 0):
+        for c, r in zip(cell, rows):
+            asked[r].add(c)
+            if mine:
+                own.setdefault(c, set()).add(r)
+    assert max(map(len, own.values())) < 500 and all(set().union(*(own[c] for c in cells)) == set(range(3000)) for cells in (asked[0], asked[17], asked[2999]))
+
+
+def test_probes_pop_the_nearest_branches_of_all_trees():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 8)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = fit(x, 4000, 3, leaf=60)
+    ids = np.arange(len(x))
+    got = [[] for _ in ids]
+    for cell, rows, mine in forest.cells(x, ids, 3):
+        if not mine:
+            for c, r in zip(cell, rows):
+                got[r].append(int(c))
+    for r in range(0, 4000, 400):  # the same search, point by point, with a queue
+        heap = []
+        for t in range(3):
+            leaf, m = forest.descend(t, x[r : r + 1])
+            heap += [(float(abs(m[0, k])), t, k, int(leaf[0])) for k in range(forest.depth)]
+        want = []
+        for _ in range(3):
+            heap.sort()
+            far, t, level, leaf = heap.pop(0)
+            reached, m = forest.follow(t, np.array([level]), np.array([leaf]), x[r : r + 1])
+            heap += [(max(far, float(m[0, k])), t, k, int(reached[0])) for k in range(level + 1, forest.depth)]
+            want.append((int(reached[0]) * 3 + t) * (1 << 14))
+        assert sorted(got[r]) == sorted(want)
+
+
+def test_copies_of_another_length_are_copies(spark):
+    base = [0.3, -1.7, 2.5]
+    df = spark.createDataFrame([(k, [x * 2.0 ** (k % 5 - 2) for x in base]) for k in range(12)] + [(20, [1e-38, 1e-45, 0.0])], "id bigint, v array<float>")
+    got = {}
+    for r in neighbours(df, "id", "v", 3, k=3, least=0.9).collect():
+        got.setdefault(r.id, []).append(r.nbr)
+    assert {k: sorted(v) for k, v in got.items()} == {k: [x for x in range(5) if x != k][:3] for k in range(12)}

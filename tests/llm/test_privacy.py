@@ -96,8 +96,8 @@ def test_capitals_beside_small_letters_and_short_surnames():
 
 
 def test_words_with_any_accents_are_counted_with_their_plain_forms(spark):
-    rows = [(k, f"Played by Vera Kovčík{chr(97 + k)}. kovčík{chr(97 + k)} " + f"kovčik{chr(97 + k)} " * 9, "x") for k in range(4)]
-    docs, artists = _docs(spark, rows)  # one in eleven mentions stands beside a name
+    rows = [(k, f"Played by Vera Kovčík{chr(97 + k)}.", "x") for k in range(4)] + [(10 + 9 * k + j, f"ein {w}{chr(97 + k)} liegt", "x") for k in range(4) for j, w in enumerate(["kovčík", "kovcik", "kovčík"] * 3)]
+    docs, artists = _docs(spark, rows)  # one in ten mentions stands beside a name
     assert find(docs, artists).where("kind = 'name'").count() == 0
 
 
