@@ -187,7 +187,11 @@ def fit(sample: np.ndarray, total: int, trees: int, leaf: int = LEAF, seed: int
         dc = np.stack([np.median(sample[ix] @ dw.T, axis=0) if len(ix) else np.zeros(more) for ix in parts]).astype("f4") if more else np.zeros((1 << fitted, 0), "f4")
         planes.append((w, c))
         deep.append((dw, dc))
-        expected = np.array([len(ix) for ix in parts]) / max(1, len(sample)) * total / (1 << more)
+        # what the fullest leaf below a fitted one will hold: where many of its drawn points stay together, no plane splits them
+        together = np.array([np.unique(sample[ix] @ dw.T > c, axis=0, return_counts=True)[1].max(initial=0) if more and len(ix) else 0 for ix, c in zip(parts, dc)])
+        held = np.array([len(ix) for ix in parts])
+        share = np.where(together > 2, together / np.maximum(1, held), 1.0 / (1 << more))
+        expected = held / max(1, len(sample)) * total * share
         salts[t] = np.clip(np.ceil(expected / (8 * leaf)), 1, PARTS).astype("i8")
     return Forest(dim, fitted, planes, deep, salts)
 
