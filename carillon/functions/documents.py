@@ -48,28 +48,76 @@ def read_strict(text: str | None, depth: int = 1000):
         return None, "invalid"
 
 
-#: The order of members by the path of their object, lists left out; members not named here follow in the order of the text.
+# The members of a canonical document in their order, by the path of their object, lists left out.
 ORDER = {
-    "": ("format", "version", "album", "release", "identifiers", "media", "artwork", "booklet", "lyrics", "extras", "analysis", "loudness", "provenance"),
-    "album": ("title", "artists", "releaseType", "originalReleaseDate", "genres"), "album.artists": ("name", "role", "sortName", "musicbrainzId"),
-    "release": ("releaseDate", "edition", "country", "label", "catalogueNumber", "notes"), "media": ("disc", "format", "title", "tracks"),
-    "media.tracks": ("track", "title", "artists", "identifiers", "duration", "loudness", "audio", "waveform", "representations", "lyrics"),
-    "media.tracks.artists": ("name", "role", "sortName", "musicbrainzId"), "media.tracks.audio": ("path", "sha256"), "media.tracks.loudness": ("trackLUFS", "truePeakDbTP"),
-    "media.tracks.waveform": ("version", "path", "sha256", "intervalMs", "encoding", "floorDb", "points"),
-}
+    "": "format version album release identifiers identity source media artwork booklet lyrics extras analysis loudness provenance".split(),
+    "album": "title artists releaseType originalReleaseDate genres".split(),
+    "album.artists": "musicbrainzId name role sortName".split(),
+    "release": "releaseDate edition country label catalogueNumber notes".split(),
+    "identifiers": "musicbrainzReleaseGroupId musicbrainzReleaseId barcode".split(),
+    "identity": "source confidence".split(),
+    "source": "type store sourceId".split(),
+    "media": "disc format title tracks".split(),
+    "media.tracks": "track title artists identifiers source sourceAudio duration loudness audio waveform lyrics representations".split(),
+    "media.tracks.artists": "musicbrainzId name role sortName".split(),
+    "media.tracks.identifiers": "isrc musicbrainzTrackId musicbrainzRecordingId".split(),
+    "media.tracks.source": "store trackId".split(),
+    "media.tracks.sourceAudio": "codec md5".split(),
+    "media.tracks.loudness": "trackLUFS truePeakDbTP".split(),
+    "media.tracks.audio": "path sha256 codec".split(),
+    "media.tracks.waveform": "version path sha256 intervalMs encoding floorDb points".split(),
+    "media.tracks.lyrics": "path sha256 lang".split(),
+    "media.tracks.representations": "path sha256 label codec".split(),
+    "artwork": "role path sha256".split(),
+    "booklet": "path sha256".split(),
+    "lyrics": "path sha256".split(),
+    "extras": "path sha256".split(),
+    "analysis": "type profile path sha256".split(),
+    "loudness": "algorithm albumLUFS albumTruePeakDbTP".split(),
+    "provenance": "tool toolVersion".split(),
+}
+#: Lists that are left out where they are empty.
+UNLESS_EMPTY = {"album.genres", "media.tracks.artists", "media.tracks.lyrics", "media.tracks.representations", "artwork", "booklet", "lyrics", "extras", "analysis"}
+
+
+def ordered(value, path: str = ""):
+    """The document with its members in their order: null ones and empty optional lists left out; unknown ones are kept, last and
+    as they are, in the document itself and dropped in the objects that the format describes."""
+    if isinstance(value, list):
+        return [ordered(v, path) for v in value]
+    if not isinstance(value, dict) or path not in ORDER:
+        return value
+    out = {}
+    for k in ORDER[path]:
+        v, at = value.get(k), f"{path}.{k}".lstrip(".")
+        if v is not None and not (v == [] and at in UNLESS_EMPTY):
+            out[k] = ordered(v, at)
+    return out if path else out | {k: v for k, v in value.items() if k not in ORDER[""]}
+
+
+def _text(v: str) -> str:
+    return '"' + "".join("\\" + c if c in '"\\' else f"\\u{ord(c):04x}" if c < " " else c for c in v) + '"'
 
 
-def canonical(value, path: str = "") -> str:
-    """One text for a document, whatever its layout and the order of its members; null members are left out, unknown ones kept."""
+def written(value, depth: int = 0) -> str:
+    """JSON with two blanks a level, empty containers in one line."""
+    pad, end = "  " * (depth + 1), "  " * depth
     if isinstance(value, dict):
-        order = ORDER.get(path, ())
-        keys = [k for k in order if value.get(k) is not None] + [k for k, v in value.items() if k not in order and v is not None]
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k], f'{path}.{k}'.lstrip('.'))}" for k in keys) + "}"
+        inner = ",\n".join(f"{pad}{_text(k)}: {written(v, depth + 1)}" for k, v in value.items())
+        return f"{{\n{inner}\n{end}}}" if value else "{}"
     if isinstance(value, list):
-        return "[" + ",".join(canonical(v, path) for v in value) + "]"
-    if isinstance(value, bool) or value is None or isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
-    return json_number(float(value)) if isinstance(value, float) or abs(value) > 2**53 else str(value)
+        inner = ",\n".join(pad + written(v, depth + 1) for v in value)
+        return f"[\n{inner}\n{end}]" if value else "[]"
+    if isinstance(value, str):
+        return _text(value)
+    if value is None or isinstance(value, bool):
+        return json.dumps(value)
+    return json_number(float(value))
+
+
+def canonical(value) -> str:
+    """One text for a document, whatever its layout and the order of its members."""
+    return written(ordered(value)) + "\n"
 
 
 CANONICAL_TYPE = T.StructType([T.StructField("text", T.StringType()), T.StructField("fault", T.StringType())])

@@ -260,3 +260,37 @@ def leading_tokens(c: Column) -> Column:
 def within_track_ms(album_seconds: Column, start: Column, end: Column) -> Column:
     """A place in an album in milliseconds of the track that lasts from ``start`` to ``end``, held inside it."""
     return F.floor(F.greatest(F.lit(0.0), F.least(album_seconds, end) - start) * 1000).cast("bigint")
+
+
+def item_id(track: Column, representation: Column) -> Column:
+    """``t1`` for a track, ``t1r2`` for one of its representations."""
+    return F.concat(F.lit("t"), track.cast("string"), F.when(representation.isNotNull(), F.concat(F.lit("r"), representation.cast("string"))).otherwise(F.lit("")))
+
+
+def page_number(text: Column, default: int, least: int, most: int) -> Column:
+    """A number asked for in a request, brought between bounds: the default where none is given, null for anything but 1 to 18
+    digits. Numbers beyond 32 bits are bounded like all others."""
+    n = F.when(text.rlike(r"^[0-9]{1,18}$"), text.cast("bigint"))
+    return F.when(text.isNull(), F.lit(default).cast("bigint")).otherwise(F.when(n.isNotNull(), F.greatest(F.lit(least).cast("bigint"), F.least(F.lit(most).cast("bigint"), n))))
+
+
+def timeline(position: Column, duration: Column, start: Column) -> Column:
+    """``within, fill``: the place inside a track of a position in the whole, and its share of the length in percent."""
+    within = F.greatest(F.lit(0.0), F.least(duration, position - start))
+    fill = F.when(duration > 0, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(within, duration) * 100))).otherwise(F.lit(0.0))
+    return F.struct(within.alias("within"), fill.alias("fill"))
+
+
+def peak_height(value: Column, height: int) -> Column:
+    """A peak from 0 to 255, its fraction cut off, as a height in whole units; 0 where there is no height."""
+    v = F.greatest(F.lit(0), F.least(F.lit(255), F.when(value < 0, F.ceil(value)).otherwise(F.floor(value))))
+    return F.floor(v / 255.0 * max(height, 0) + 0.5).cast("bigint")
+
+
+def preference(raw: Column) -> Column:
+    """``mode, id, codec`` of a stored preference; null for one that isn't whole: an object with the mode default or lossless,
+    representation with a number, or codec with a text that isn't blank."""
+    s = F.from_json(raw, "mode string, id string, codec string")
+    number = raw.rlike(r'"id"\s*:\s*-?[0-9]')
+    good = s["mode"].isin("default", "lossless") | (s["mode"] == "representation") & number | (s["mode"] == "codec") & raw.rlike(r'"codec"\s*:\s*"') & (F.trim(s["codec"]) != "")
+    return F.when(raw.startswith("{") & good, F.struct(s["mode"].alias("mode"), F.when(s["mode"] == "representation", s["id"].cast("double")).alias("id"), F.when(s["mode"] == "codec", s["codec"]).alias("codec")))

@@ -70,3 +70,12 @@ def neighbour_keys(near: DataFrame, by_index: DataFrame, by_path: DataFrame) ->
 def append_page(shown: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """A page added to what is shown, without the rows already there."""
     return shown.unionByName(fresh.join(shown.select(key), key, "left_anti"))
+
+
+def representation_rows(primary: DataFrame, variants: DataFrame, track: str, order: str) -> DataFrame:
+    """``track, ord, id, label``: each track's primary audio as ``primary``, then its variants in their order; variants of other tracks
+    are left out."""
+    first = primary.select(track, F.lit(-1).cast("bigint").alias("_p"), F.lit("primary").alias("id"), "label")
+    rest = variants.join(primary.select(track), track, "left_semi").select(track, F.col(order).cast("bigint").alias("_p"), "id", "label")
+    w = Window.partitionBy(track).orderBy("_p")
+    return first.unionByName(rest).withColumn("ord", F.row_number().over(w).cast("bigint")).drop("_p")

@@ -77,3 +77,19 @@ def authorized(sessions: DataFrame, tokens: DataFrame, now: Column) -> DataFrame
 def having_several(df: DataFrame, key: str, value: str, more_than: int = 1) -> DataFrame:
     """Keys with more than so many distinct values."""
     return df.groupBy(key).agg(F.countDistinct(value).alias("n_values")).where(F.col("n_values") > more_than)
+
+
+def release_assets(assets: DataFrame) -> DataFrame:
+    """Assets of releases as a whole, not of a track."""
+    return assets.where("track_id is null")
+
+
+def track_lyrics(assets: DataFrame, whole_release: bool = False) -> DataFrame:
+    """Lyrics of tracks. Asked for a whole release, only those of a track and with a digest that isn't empty."""
+    rows = assets.where("kind = 'lyrics'")
+    return rows.where("track_id is not null and sha256 is not null and sha256 <> ''") if whole_release else rows
+
+
+def served_assets(assets: DataFrame) -> DataFrame:
+    """Assets of the kinds that are handed out."""
+    return assets.where(F.col("kind").isin("artwork", "booklet", "lyrics"))

@@ -53,11 +53,58 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
     return hit.join(wanted, "_part").where((F.col("_at") >= F.col("_hi") - F.col("_c")) & (F.col("_at") < F.col("_hi"))).select("p", F.col(value).alias("value"))
 
 
+def _within(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Each row's place from 1 in the order of its group, and the group's size in ``_n``: places in one order of all rows, less the
+    group's first. No task sorts a whole group, however large it is."""
+    from carillon.operators.skew import global_rank
+
+    ranked = global_rank(df, [*(F.col(c) for c in by), *order], "_place")
+    groups = ranked.groupBy(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by))).agg(F.min("_place").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    few = groups.limit(FEW + 1).count() <= FEW  # groups are broadcast while they are few; beyond, a frequent one is split at run time
+    met = ranked.join(F.broadcast(groups) if few else groups, same)
+    return met.withColumn(name, F.col("_place") - F.col("_low") + 1).drop("_place", "_low", *(f"_g{k}" for k in range(len(by))))
+
+
+#: Groups that are broadcast, at most.
+FEW = 10_000
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties sharing the mean of their places. NaN sorts last."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    """Ranks from 1, ties sharing the mean of their places. NaN sorts last. A value's ties are counted first, so that only one row a
+    value is ranked; a value that many rows share is joined apart."""
+    ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    parts = _sums_before(ties, by, value)
+    same = F.lit(True)
+    for k, c in enumerate([*by, value]):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{k}"))
+    keys = parts.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate([*by, value])), (F.col("_before") + (F.col("_c") + 1) / 2.0).alias(name))
+    return df.join(keys, same).drop(*(f"_g{k}" for k in range(len(by) + 1)))
+
+
+def _sums_before(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``_before``: the sum of ``_c`` over the smaller values of a group. Sums are taken by parts of one order of all rows, and one sum a
+    part comes to the driver."""
+    from carillon.session import stage
+
+    spark = counts.sparkSession
+    parted = stage(counts.orderBy(*by, value).withColumn("_part", F.spark_partition_id()), "counted")
+    sums = sorted((r[0], r[1]) for r in parted.groupBy("_part").agg(F.sum("_c")).collect())  # one row a part
+    starts, total = [], 0
+    for part, n in sums:
+        starts.append((part, total))
+        total += n
+    table = F.broadcast(spark.createDataFrame(starts, "_part int, _start bigint"))
+    run = F.sum("_c").over(Window.partitionBy("_part").orderBy(*by, value).rowsBetween(Window.unboundedPreceding, -1))
+    placed = parted.join(table, "_part").withColumn("_all", F.coalesce(run, F.lit(0)) + F.col("_start"))
+    groups = placed.groupBy(*(F.col(c).alias(f"_h{k}") for k, c in enumerate(by))).agg(F.min("_all").alias("_low"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_h{k}"))
+    few = groups.limit(FEW + 1).count() <= FEW
+    return placed.join(F.broadcast(groups) if few else groups, same).withColumn("_before", F.col("_all") - F.col("_low"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -107,20 +154,49 @@ def margin(ranked: DataFrame, query: str, score: str, rank: str, k: int) -> Data
 
 def strata(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "stratum") -> DataFrame:
     """Each row's contiguous part of ``k`` nearly equal ones in the order of its group."""
-    w = Window.partitionBy(*by)
-    r, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return df.withColumn(name, F.floor((r * k - 1) / n).cast("bigint"))
+    r = _within(df, by, order, "_r")
+    return r.withColumn(name, F.floor((F.col("_r") * k - 1) / F.col("_n")).cast("bigint")).drop("_r", "_n")
 
 
 def evenly_spaced(df: DataFrame, by: list[str], order: list[Column], limit: int) -> DataFrame:
     """Of each group the rows at ``i * n / limit``; all of a smaller group."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    ranked = _within(df, by, order, "_r").withColumn("_r", F.col("_r") - 1)
     # r is picked if some i has floor(i*n/limit) = r, that is if ceil(r*limit/n) lies below (r+1)*limit/n and below limit
     i = F.ceil(F.col("_r") * limit / F.col("_n"))
     return ranked.where((F.col("_n") <= limit) | ((i < limit) & (F.floor(i * F.col("_n") / limit) == F.col("_r")))).drop("_r", "_n")
 
 
+# The places at which two rankings must agree, the place for albums, and the ceilings of the gates.
+GATE_PLACES, ALBUM_PLACE = (1, 5, 10, 12, 20), 12
+COSINE_CEILING = NORM_CEILING = 2.0**-10
+SUBNORMAL_CEILING = 2.0**-24
+
+
+def gates(measured: DataFrame) -> DataFrame:
+    """``gate, state`` of seven gates for each row of measurements, beside its other columns: ``cosine_change, stored_off, seeds,
+    top_changed, tracks, track_lists_changed, albums, album_lists_changed`` (null if albums can't be told), ``vectors, off, subnormal,
+    rejections``. States: pass, fail, not-evaluated where there are too few to tell. With rejections there is no stored world, so
+    the first four gates aren't evaluated."""
+    c, open_ = F.col, F.lit("not-evaluated")
+    by = lambda ok: F.when(ok, F.lit("pass")).otherwise(F.lit("fail"))
+    stored = lambda x: F.when(c("rejections") > 0, open_).otherwise(x)
+    few = (c("tracks") < max(GATE_PLACES) + 1) | c("albums").isNull() | (c("albums") < ALBUM_PLACE + 1)
+    states = {
+        "B-A1": stored(by(c("cosine_change") <= COSINE_CEILING)), "B-A2": stored(by(c("stored_off") <= NORM_CEILING)), "B-B1": stored(F.when(c("seeds") == 0, open_).otherwise(by(c("top_changed") == 0))),
+        "B-B2": stored(F.when(few, open_).otherwise(by((c("track_lists_changed") == 0) & (c("album_lists_changed") == 0)))),
+        "B-C1": F.when(c("vectors") == 0, open_).otherwise(by(c("off") <= NORM_CEILING)), "B-C2": F.when(c("vectors") == 0, open_).otherwise(by(c("subnormal") <= SUBNORMAL_CEILING)), "B-C3": by(c("rejections") == 0),
+    }
+    rest = [x for x in measured.columns if x not in ("cosine_change", "stored_off", "seeds", "top_changed", "tracks", "track_lists_changed", "albums", "album_lists_changed", "vectors", "off", "subnormal", "rejections")]
+    return measured.select(*rest, F.inline(F.array(*(F.struct(F.lit(k).alias("gate"), v.alias("state")) for k, v in states.items()))))
+
+
+def overlap_summary(lists: DataFrame, a: str, b: str, places: tuple[int, ...]) -> DataFrame:
+    """``k, mean_jaccard, changed``: over all queries at each place the mean overlap of two lists, and how many differ as sets."""
+    at = F.explode(F.array(*(F.lit(k) for k in places))).alias("k")
+    j = lists.select(a, b, at).select("k", jaccard(F.slice(a, F.lit(1), F.col("k")), F.slice(b, F.lit(1), F.col("k"))).alias("j"))
+    return j.groupBy("k").agg(F.avg("j").alias("mean_jaccard"), F.count_if(F.col("j") < 1).alias("changed"))
+
+
 def by_hash(df: DataFrame, key: Column, group: str, id_col: str, n_groups: int) -> DataFrame:
     """For the first ``n_groups`` groups in the order of their hash, the member of the lowest hash."""
     h = df.withColumn("_h", F.sha2(key, 256)).withColumn("_g", F.sha2(F.col(group).cast("string"), 256))
@@ -134,13 +210,18 @@ def stratified_pick(pool: DataFrame, order: list[Column], key: str, spread_by: l
     later choices, so buckets are settled in turn, each by one aggregation over its own rows; only the chosen rows, one a bucket,
     come to the driver. Null values count as a value of their own."""
     from carillon.operators.skew import global_rank
+    from carillon.session import stage
 
     spark = pool.sparkSession
     if not 1 <= buckets <= 1000:
         raise ValueError("buckets must be from 1 to 1000")
     ranked = global_rank(pool, order, "_rank")
     n = ranked.count()
-    many = min(buckets, n)
+    many = max(1, min(buckets, n))
+    # one folder a bucket, so that a bucket's turn reads its own rows alone
+    bucket = F.floor(((F.col("_rank") - 1) * many + (many - 1)) / F.lit(max(1, n))).cast("int")
+    ranked = stage(ranked.withColumn("_bucket", F.least(bucket, F.lit(many - 1))), "buckets", "_bucket")
+    many = min(many, n)
     used: dict[str, dict] = {c: {} for c in spread_by}
     out = []
     for b in range(many):
@@ -152,7 +233,7 @@ def stratified_pick(pool: DataFrame, order: list[Column], key: str, spread_by: l
                 x = F.when(F.col(c).eqNullSafe(F.lit(v)), F.lit(k)).otherwise(x)
             return x
 
-        part = ranked.where((F.col("_rank") > low) & (F.col("_rank") <= high)).drop("_rank")
+        part = ranked.where((F.col("_bucket").isin(b - 1, b, b + 1)) & (F.col("_rank") > low) & (F.col("_rank") <= high)).drop("_rank", "_bucket")
         row = part.agg(F.min_by(F.struct(*part.columns), F.struct(*(uses(c).alias(f"u{i}") for i, c in enumerate(spread_by)), F.col(key).alias("k"))).alias("r")).first()[0]
         for c in spread_by:
             used[c][row[c]] = used[c].get(row[c], 0) + 1

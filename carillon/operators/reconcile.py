@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carillon.functions.text import ascii_lower
+from carillon.operators.skew import HEAVY_SHARE, lookup_join
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], take: Column | None = None) -> DataFrame:
@@ -53,18 +53,19 @@ def match_rows(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     is left, so an owner's rows are folded in order; owners are apart. Null and empty digests match nothing."""
 
     def fold(o: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        left = {r.id: (r.pos, r.digest) for r in o.sort_values("id").itertuples() if r.digest}
+        place = {}  # of each digest the unmatched rows and their positions, by id
+        for i, p, d in sorted(zip(o["id"], o["pos"], o["digest"])):
+            if d:
+                place.setdefault(d, {})[i] = p
         out = []
-        for r in n.sort_values(["pos", "id"]).itertuples():
-            hit = None
-            if r.digest:
-                same = [i for i, (_, d) in left.items() if d == r.digest]
-                at = [i for i in same if left[i][0] == r.pos]
-                hit = at[0] if at else same[0] if len(same) == 1 else None
+        for p, i, d in sorted(zip(n["pos"], n["id"], n["digest"]), key=lambda r: r[:2]):
+            left = place.get(d) or {}
+            hit = next((k for k, q in left.items() if q == p), next(iter(left)) if len(left) == 1 else None)
             if hit is not None:
                 del left[hit]
-            out.append((r.owner, r.id, hit))
-        return pd.DataFrame(out, columns=["owner", "new_id", "old_id"]).astype({"old_id": "Int64"})
+            out.append((i, hit))
+        who = n["owner"].iloc[0] if len(n) else None
+        return pd.DataFrame([(who, *r) for r in out], columns=["owner", "new_id", "old_id"]).astype({"old_id": "Int64"})
 
     side = lambda d: d.select(F.col(owner).cast("bigint").alias("owner"), F.col("id").cast("bigint").alias("id"), F.col("pos").cast("bigint").alias("pos"), F.col("digest").cast("string").alias("digest"))
     return side(old).groupBy("owner").cogroup(side(new).groupBy("owner")).applyInPandas(fold, "owner bigint, new_id bigint, old_id bigint")
@@ -72,23 +73,123 @@ def match_rows(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
 
 def arbitrate(candidates: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     """``key, path, outcome``: candidates of one identity in the order of their path: the first takes ownership if there is no
-    present owner or it is the owner; one with the owner's fingerprint mirrors it, any other conflicts. Each outcome changes the
-    owner for those after it, so an identity is folded in order; identities are apart."""
-
-    def fold(o: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        path, finger = (None, None) if o.empty or not bool(o.iloc[0]["present"]) else (o.iloc[0]["path"], o.iloc[0]["fingerprint"])
-        out = []
-        for r in c.sort_values("path").itertuples():
-            if path is None or path == r.path:
-                path, finger, what = r.path, r.fingerprint, "owner"
-            else:
-                what = "mirror" if finger == r.fingerprint else "conflict"
-            out.append((r.k, r.path, what))
-        return pd.DataFrame(out, columns=["k", "path", "outcome"])
-
-    o = owners.select(F.col(key).cast("string").alias("k"), "path", "fingerprint", "present")
-    c = candidates.select(F.col(key).cast("string").alias("k"), "path", "fingerprint")
-    return o.groupBy("k").cogroup(c.groupBy("k")).applyInPandas(fold, "k string, path string, outcome string")
+    present owner or it is the owner; one with the owner's fingerprint mirrors it, any other conflicts.
+
+    The owner is settled beforehand (the present one's path, else the least), and all that changes on the way is its fingerprint,
+    at its own path. So the fold is two aggregates a key, combined before the shuffle, and one join in which a frequent key's rows
+    stand apart: an identity that a third of all candidates share is no task of its own. Null keys are left out.
+    """
+    o = owners.where(F.col("present")).groupBy(F.col(key).cast("string").alias("k")).agg(F.min("path").alias("_p"), F.min_by("fingerprint", "path").alias("_f"))
+    c = candidates.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), "path", "fingerprint")
+    first = c.groupBy("k").agg(F.min("path").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    keys = first.join(o, "k", "left").select("k", F.coalesce("_p", "_least").alias("owner"), F.col("_f").alias("before"), "_n")
+    # the fingerprint from the owner's own candidate on
+    now = c.join(keys.select("k", F.col("owner").alias("path")), ["k", "path"]).groupBy("k").agg(F.max("fingerprint").alias("after"))
+    keys = keys.join(now, "k", "left").select("k", "owner", "before", F.coalesce("after", "before").alias("after"), "_n")
+    total = c.count()
+    heavy = keys.where(F.col("_n") > max(10_000, total // HEAVY_SHARE)).select("k") if total > 10_000 else None  # at most HEAVY_SHARE keys
+    met = lookup_join(c, keys.drop("_n"), "k", heavy)
+    held = F.when(F.col("path") < F.col("owner"), F.col("before")).otherwise(F.col("after"))
+    what = F.when(F.col("path") == F.col("owner"), "owner").when(held.eqNullSafe(F.col("fingerprint")), "mirror").otherwise("conflict")
+    return met.select("k", "path", what.alias("outcome"))
+
+
+def upsert_artists(known: DataFrame, typed: DataFrame) -> DataFrame:
+    """``id, name, sort_name, anchor``: the known artists (ids unique) after typed names (``name, sort_name, anchor``) were met: a typed
+    name is the artist with its anchor, else the one of its exact name, else the one of its name in any case of A to Z, else a new
+    one with a null id, to be numbered. What is stored is never overwritten: a missing sort name is filled, and a missing anchor
+    of an artist met by name. Names that differ in case alone are one, with the least spelling, sort name and anchor; of several
+    names with one anchor that no artist has, the first by name takes it and the others are that artist."""
+    t = typed.where("name is not null").groupBy(ascii_lower(F.col("name")).alias("_l")).agg(F.min("name").alias("t_name"), F.min("sort_name").alias("t_sort"), F.min("anchor").alias("t_anchor"))
+    anchors = known.where("anchor is not null").groupBy(F.col("anchor").alias("t_anchor")).agg(F.min("id").alias("i1"))
+    names = known.groupBy(F.col("name").alias("t_name")).agg(F.min("id").alias("i2"))
+    lows = known.groupBy(ascii_lower(F.col("name")).alias("_l")).agg(F.min("id").alias("i3"))
+    met = t.join(anchors, "t_anchor", "left").join(names, "t_name", "left").join(lows, "_l", "left")
+    held = known.select(F.col("id").alias("_i"), F.col("anchor").alias("_a"))
+    met = met.withColumn("_i", F.coalesce("i2", "i3")).join(held, "_i", "left")
+    # who takes an anchor that no artist has: the first by name whose artist lacks one, or who is new
+    free = met.where("t_anchor is not null and i1 is null and _a is null").groupBy("t_anchor").agg(F.min("t_name").alias("_leader"), F.min_by("_i", "t_name").alias("_led"))
+    met = met.join(free, "t_anchor", "left")
+    follows = F.col("i1").isNull() & F.col("_leader").isNotNull() & (F.col("t_name") > F.col("_leader"))
+    new_key = F.when(follows & F.col("_led").isNull(), F.col("_leader")).when(~follows & F.col("i1").isNull() & F.col("_i").isNull(), F.col("t_name"))
+    met = met.select(F.coalesce("i1", F.when(follows, F.col("_led")).otherwise(F.col("_i"))).alias("id"), new_key.alias("_new"), "t_name", "t_sort", F.when(F.col("i1").isNull(), F.col("t_anchor")).alias("t_anchor"))
+    fill = met.where("id is not null").groupBy("id").agg(F.min(F.when(F.col("t_sort").isNotNull(), F.struct("t_name", "t_sort"))).alias("_s"), F.min(F.when(F.col("t_anchor").isNotNull(), F.struct("t_name", "t_anchor"))).alias("_n"))
+    old = known.select("id", "name", "sort_name", "anchor").join(fill, "id", "left").select("id", "name", F.coalesce("sort_name", "_s.t_sort").alias("sort_name"), F.coalesce("anchor", "_n.t_anchor").alias("anchor"))
+    fresh = met.where("id is null and _new is not null").groupBy(F.col("_new").alias("name")).agg(F.min(F.when(F.col("t_sort").isNotNull(), F.struct("t_name", "t_sort"))).alias("_s"), F.min("t_anchor").alias("anchor"))
+    return old.unionByName(fresh.select(F.lit(None).cast(known.schema["id"].dataType).alias("id"), "name", F.col("_s.t_sort").alias("sort_name"), "anchor"))
+
+
+def sync_rows(old: DataFrame, new: DataFrame, owner: str, keys: list[str], order: str) -> DataFrame:
+    """``owner, old_order, new_order, action``: rows of an owner matched by ``keys``, null meeting null, the n-th of one key with the
+    n-th (by ``order``): update, insert for those only in ``new``, delete for those only in ``old``."""
+    def side(d: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy(owner, *keys).orderBy(order)
+        return d.select(*(F.col(k).alias(f"{name}_{i}") for i, k in enumerate([owner, *keys])), F.col(order).alias(f"{name}_order"), F.row_number().over(w).alias(f"{name}_n"))
+
+    o, n = side(old, "old"), side(new, "new")
+    same = F.col("old_n") == F.col("new_n")
+    for i in range(len(keys) + 1):
+        same &= F.col(f"old_{i}").eqNullSafe(F.col(f"new_{i}"))
+    what = F.when(F.col("old_n").isNull(), "insert").when(F.col("new_n").isNull(), "delete").otherwise("update")
+    return o.join(n, same, "full_outer").select(F.coalesce("old_0", "new_0").alias(owner), "old_order", "new_order", what.alias("action"))
+
+
+def scan_actions(packages: DataFrame, candidates: DataFrame, verify: bool = False) -> DataFrame:
+    """``path, action, status, verify_status, last_error``: what a scan does with each candidate, given the packages on record.
+
+    ``packages``: ``path`` (unique), ``status, verify_status, manifest_sha256, fingerprint``. ``candidates``: ``path`` (unique), ``body``
+    (valid, invalid, unreadable), ``manifest_sha256, fingerprint, missing, errors, warnings``. Actions: invalid; refresh (an invalid
+    one unchanged) and unchanged, both without ``verify`` only; moved (no package stands at the path, and the first by path of those
+    with its fingerprint stands where nothing was found; the first candidate by path takes it); ingest.
+    """
+    c = candidates.select("path", "body", F.col("manifest_sha256").alias("sha"), F.col("fingerprint").alias("finger"), "missing", "errors", "warnings")
+    p = packages.select("path", F.col("status").alias("had"), F.col("verify_status").alias("had_verify"), F.col("manifest_sha256").alias("had_sha"), F.lit(True).alias("on_record"))
+    first = packages.where("fingerprint is not null").groupBy(F.col("fingerprint").alias("finger")).agg(F.min_by(F.struct("path", "status"), "path").alias("from"))
+    gone = first.join(c.select(F.col("path").alias("here")), F.col("from.path") == F.col("here"), "left_anti")
+    j = c.join(p, "path", "left")
+    takers = j.where("on_record is null and body = 'valid'").groupBy("finger").agg(F.min("path").alias("taker")).join(gone, "finger").select(F.col("taker").alias("path"), F.col("from.status").alias("moved_status"), F.lit(True).alias("takes"))
+    j = j.join(takers, "path", "left")
+    same = F.lit(not verify) & F.coalesce(F.col("had_sha") == F.col("sha"), F.lit(False))
+    action = (
+        F.when(F.col("body") == "unreadable", "invalid").when(same & (F.col("had") == "invalid"), "refresh").when(F.col("body") == "invalid", "invalid")
+        .when(same, "unchanged").when(F.col("takes"), "moved").otherwise("ingest"))
+    lost, none = F.col("missing") > 0, F.lit(None).cast("string")
+    faults = F.format_string("integrity verification failed (%d errors, %d warnings)", "errors", "warnings")
+    if verify:
+        found = [F.when(F.col("errors") > 0, x).when(F.col("warnings") > 0, y).otherwise(z) for x, y, z in (("checksum-failed", "warning", "valid"), ("checksum-failed", "warning", "valid"), (faults, F.format_string("%d warning(s)", "warnings"), none))]
+    else:
+        found = [F.when(lost, "warning").otherwise("valid"), F.lit("unverified"), F.when(lost, F.format_string("%d referenced object(s) missing", "missing"))]
+    held = F.coalesce(F.col("moved_status") == "conflict", F.lit(False)) & (F.col("action") == "moved")
+    j = j.withColumn("action", action)
+    pick = lambda invalid, refresh, unchanged, conflict, other: (
+        F.when(F.col("action") == "invalid", invalid).when(F.col("action") == "refresh", refresh).when(F.col("action") == "unchanged", unchanged).when(held, conflict).otherwise(other))
+    return j.select(
+        "path", "action",
+        pick(F.lit("invalid"), F.col("had"), F.when(lost, "warning").when(F.col("had") == "unavailable", "valid").otherwise(F.col("had")), F.lit("conflict"), found[0]).alias("status"),
+        pick(F.lit("unverified"), F.col("had_verify"), F.when(lost, "unverified").otherwise(F.col("had_verify")), F.lit("unverified"), found[1]).alias("verify_status"),
+        pick(F.when(F.col("body") == "unreadable", "manifest unreadable").otherwise("manifest parse/validation failed"), none, F.when(lost, "referenced object(s) missing"), F.lit("identity conflict with active package owning this release"), found[2]).alias("last_error"))
+
+
+def present(status: Column) -> Column:
+    """Whether a package stands where it was found; a null status is not present, as NOT IN has it."""
+    return ~F.coalesce(status.isin("unavailable", "invalid", "conflict"), F.lit(True))
+
+
+def set_verified(packages: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """Packages with the status and verify status of their verdict, unless they are in conflict or have none (a null status is
+    changed by none)."""
+    v = verdicts.select(key, F.col("status").alias("_s"), F.col("verify_status").alias("_v"), F.lit(True).alias("_has"))
+    takes = F.coalesce(F.col("_has") & (F.col("status") != "conflict"), F.lit(False))
+    return packages.join(v, key, "left").withColumns({"status": F.when(takes, F.col("_s")).otherwise(F.col("status")), "verify_status": F.when(takes, F.col("_v")).otherwise(F.col("verify_status"))}).drop("_s", "_v", "_has")
+
+
+def ensure_sets(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``fingerprint, id, outcome``: of each wanted set (``fingerprint, dimensions, encoding``) the one on record; refused where that has
+    another shape, to be added (inactive) where there is none. Of repeated wishes with one fingerprint the least shape counts."""
+    w = wanted.groupBy("fingerprint").agg(F.min(F.struct("dimensions", "encoding")).alias("w"))
+    had = sets.select("fingerprint", "id", F.struct("dimensions", "encoding").alias("h"))
+    what = F.when(F.col("id").isNull(), "added").when(F.col("h") == F.col("w"), "reused").otherwise("refused")
+    return w.join(had, "fingerprint", "left").select("fingerprint", F.when(what != "refused", F.col("id")).alias("id"), what.alias("outcome"))
 
 
 def link_or_add(rows: DataFrame, known: DataFrame) -> DataFrame:

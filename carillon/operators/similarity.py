@@ -76,11 +76,10 @@ def centroids(vectors: DataFrame, keys: list[str], vec_col: str) -> DataFrame:
     return mean.join(norm, keys).join(dims, keys, "left_semi").select(*keys, "dim", (F.col("m") / F.col("n")).alias("value"))
 
 
-def centroid_pairs(cent: DataFrame, key: str) -> DataFrame:
-    """``a, b, score``: cosine of every pair of centroids, as a sparse product over dimensions."""
-    x = cent.select(F.col(key).alias("a"), "dim", F.col("value").alias("x"))
-    y = cent.select(F.col(key).alias("b"), "dim", F.col("value").alias("y"))
-    return x.join(y, "dim").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+def nearest_centroids(cent: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """``id, nbr, score, rank``: of each centroid the ``k`` nearest others, exactly, by blocks (``block_top_k``): no pair is ever a row."""
+    whole = cent.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("l")).select("id", F.transform("l", lambda x: x["value"]).alias("v"))
+    return block_top_k(whole, whole, "id", "v", k)
 
 
 def hit_rate(neighbours: DataFrame, groups: DataFrame, id_col: str, group: str) -> DataFrame:

@@ -66,11 +66,10 @@ def merge_match_rows(s, d):
 
 
 def merge_ownership(s, d):
-    """Of the packages with one release key, in the order of their path, who owns, mirrors or conflicts."""
-    v = load(s, d, "vectors").where("release_key is not null and manifest is not null").select("release_key", F.col("manifest").alias("path"), F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), "batch_no")
-    owners = v.where("batch_no = 0").groupBy("release_key").agg(F.min("path").alias("path"), F.min_by("fingerprint", "path").alias("fingerprint")).withColumn("present", F.length("path") % 2 == 0)
-    got = R.arbitrate(v.where("batch_no > 0"), owners, "release_key")
-    return got.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """Outcomes of ownership, counted."""
+    from carillon.plans.ingest import merge_owners
+
+    return merge_owners(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_artists(s, d):

@@ -54,9 +54,9 @@ def first_installed(s, d):
 
 
 def appended_page(s, d):
-    """A second page that overlaps the first by ten rows."""
-    c = load(s, d, "customer").select("c_custkey", "c_name")
-    return A.append_page(c.where("c_custkey < 60"), c.where("c_custkey between 50 and 110"), "c_custkey")
+    """All customers in two pages by balance, of which the second repeats the upper end of the first."""
+    c = load(s, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return A.append_page(c.where("c_acctbal < 5000"), c.where("c_acctbal >= 4000"), "c_custkey").select("c_custkey", "c_name")
 
 
 def boundary_events(s, d):
@@ -107,7 +107,7 @@ SQL = {
     "track_number_repair": "WITH t AS (SELECT id, track_number, count(*) FILTER (track_number IS NULL) OVER w + count(track_number) OVER w bad, media_id FROM tracks WINDOW w AS (PARTITION BY media_id)), u AS (SELECT media_id, count(DISTINCT track_number) u FROM tracks GROUP BY 1) SELECT id, CASE WHEN bad - u > 0 THEN row_number() OVER (PARTITION BY t.media_id ORDER BY track_number NULLS LAST, id) ELSE track_number END::INT AS number FROM t JOIN u ON u.media_id = t.media_id",
     "cover_pick": "WITH a AS (SELECT analyzed_id % 50 folder, CASE WHEN analyzed_id % 4 = 0 THEN 0 ELSE 1 END sub, CASE analyzed_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 9 END nm, CASE WHEN analyzed_id % 2 = 0 THEN 2 ELSE 0 END ex, lpad(analyzed_id::VARCHAR, 6, '0') AS path FROM analyzed WHERE path IS NOT NULL) SELECT folder, path FROM a QUALIFY row_number() OVER (PARTITION BY folder ORDER BY sub, nm, ex, path) = 1",
     "first_installed": "SELECT c_custkey album, min(o_orderkey) AS package FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1",
-    "appended_page": "SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 110",
+    "appended_page": "SELECT c_custkey, c_name FROM customer",
     "boundary_events": "WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT)::BIGINT AS length FROM lineitem GROUP BY 1, 2), p AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) st, sum(length) OVER (PARTITION BY l_orderkey) tot FROM l), t AS (SELECT l_orderkey, tot::BIGINT tot, unnest(range(0, tot::BIGINT + 21, 10)) pos FROM (SELECT DISTINCT l_orderkey, tot FROM p)), n AS (SELECT t.l_orderkey, pos, CASE WHEN pos >= t.tot THEN -1 ELSE max(l_linenumber) END nw FROM t JOIN p ON p.l_orderkey = t.l_orderkey AND st <= pos GROUP BY 1, 2, t.tot), w AS (SELECT *, lag(nw) OVER (PARTITION BY l_orderkey ORDER BY pos) was FROM n) SELECT l_orderkey, pos, CASE WHEN nw = -1 THEN 'end' WHEN was IS NULL THEN 'start' ELSE 'boundary' END event FROM w WHERE was IS NULL OR nw <> was",
     "fetch_cache": "WITH a AS (SELECT analyzed_id, source_sha256 s FROM analyzed WHERE source_sha256 IS NOT NULL) SELECT s IN (SELECT s FROM a WHERE analyzed_id % 3 = 0) hit, count(*) n FROM a GROUP BY 1",
     "worlds_identical": _TWO + ", la AS (SELECT id, list(nbr ORDER BY rank) la FROM a GROUP BY 1), lb AS (SELECT id, list(nbr ORDER BY rank) lb FROM b GROUP BY 1) SELECT k, count(*) FILTER (la[1:k] = lb[1:k]) same, count(*) n FROM la JOIN lb USING (id), (VALUES (1), (5), (10)) t(k) GROUP BY 1",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carillon.plans import catalog, changes, documents, evaluation, files, nested, series, similar, streams, texts
+from carillon.plans import catalog, changes, documents, evaluation, files, ingest, nested, series, similar, streams, texts
 
-MODULES = (nested, catalog, similar, series, evaluation, texts, changes, documents, files, streams)
+MODULES = (nested, catalog, similar, series, evaluation, texts, changes, documents, files, ingest, streams)
 FLAGSHIP = "sim_topk"
 
 

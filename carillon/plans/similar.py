@@ -40,7 +40,9 @@ def sim_pool(s, d):
 
 
 def sim_album_nearest(s, d):
-    return S.centroid_pairs(S.centroids(_emb(s, d), ["label"], "embedding"), "label").select("a", "b", F.round("score", 6).alias("score"))
+    """The three nearest other labels of each label, by the centroids of their vectors."""
+    near = S.nearest_centroids(S.centroids(_emb(s, d), ["label"], "embedding"), "label", 3)
+    return near.select(F.col("id").alias("label"), F.col("nbr").alias("other"), F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
 def sim_block_topk(s, d):
@@ -136,7 +138,7 @@ SQL = {
     "sim_topk_analyzed": f"WITH g AS (SELECT * FROM analyzed WHERE {_FINITE} AND len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0) SELECT analyzed_id id, round({COS.format('vector', SEED_SQL)}, 6) score FROM g ORDER BY {COS.format('vector', SEED_SQL)} DESC, analyzed_id LIMIT 50",
     "sim_group_topk": _TWO + "SELECT id, nbr, rank FROM a",
     "sim_pool": _CENT + "SELECT label, dim, round(value, 6) AS value FROM c",
-    "sim_album_nearest": _CENT + "SELECT x.label a, y.label b, round(sum(x.value * y.value), 6) score FROM c x JOIN c y ON x.dim = y.dim AND x.label < y.label GROUP BY 1, 2",
+    "sim_album_nearest": _CENT + ", p AS (SELECT x.label, y.label AS other, sum(x.value * y.value) s FROM c x JOIN c y ON x.dim = y.dim AND x.label <> y.label GROUP BY 1, 2) SELECT label::BIGINT AS label, other::BIGINT AS other, row_number() OVER (PARTITION BY label ORDER BY s DESC, other) AS rank, round(s, 6) score FROM p QUALIFY rank <= 3",
     "sim_block_topk": "WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings) SELECT q.vec_id AS id, v.vec_id AS nbr, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) AS rank FROM q JOIN q v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5",
     "sim_hit_rate": "WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings), n AS (SELECT q.label a, v.label b FROM q JOIN q v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 5) SELECT count(*) FILTER (a = b) hits, count(*) total, round(avg((a = b)::INT), 6) rate FROM n",
     "sim_support": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings) SELECT vec_id, len(list_filter(v, lambda x: x <> 0))::INT nonzero,

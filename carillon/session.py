@@ -68,11 +68,13 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/carillon/{uuid.uuid4().hex}-{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation, and the plan starts anew."""
+def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lost executor costs no recomputation, and the plan starts anew.
+    ``folders``: columns by whose values the rows are laid in folders, so that a filter on them reads no others."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(*folders) if folders else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
