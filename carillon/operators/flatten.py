@@ -1,7 +1,8 @@
 """Nested records to flat, linked tables.
 
 Each text is parsed once, as a stream: the parser walks it in document order, goes only into members that lead to a wanted field,
-passes over all others without keeping them, and gives path-value-ordinal triples; no tree of the text is built. Paths that share a
+passes over all others without keeping them, and gives path-value-ordinal triples; no tree of the text is built (a list in which
+nothing further is repeated is read as one piece). Paths that share a
 repeated ancestor form one group, and each group is pivoted into one table. Which ancestors are repeated, and which members their
 records have, is found from all texts (``repeated``). A record's triples never leave its row, so the pivot needs no shuffle: rows
 come out of the scan's own tasks, whatever the size.
@@ -13,7 +14,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -62,6 +63,7 @@ def _members(pairs: list) -> dict:
 _SPACE = re.compile(r"[ \t\n\r]*").match
 _TOKEN = re.compile(r"[ \t\n\r]*(?:([{}\[\],:])|(\")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null))", re.ASCII)
 _VALUE = json.JSONDecoder(parse_constant=_refuse, object_pairs_hook=_members).scan_once
+_PLAIN = json.JSONDecoder().scan_once
 _STRING = json.decoder.scanstring
 
 
@@ -123,6 +125,13 @@ def events(t: str, at: int = 0) -> Iterator[tuple[str, object, int]]:
         wanted = "next"
 
 
+_SCALAR = re.compile(r'"[^"\\\x00-\x1f]*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null').match
+_KEY = re.compile(r'"([^"\\\x00-\x1f]*)"[ \t\n\r]*:[ \t\n\r]*').match
+_COLON = re.compile(r"[ \t\n\r]*:[ \t\n\r]*").match
+_NEXT = re.compile(r"[ \t\n\r]*([,}\]])[ \t\n\r]*").match
+_OPEN = re.compile(r"[{\[][ \t\n\r]*").match
+
+
 def read_value(t: str, at: int):
     """The value at a place, and its end. Values nested too deep for the scanner give their text."""
     try:
@@ -140,41 +149,50 @@ def read_value(t: str, at: int):
         raise Unreadable(str(e)) from None
 
 
+def pass_over(t: str, at: int) -> int:
+    """The end of the value at a place, which isn't kept."""
+    m = _SCALAR(t, at)
+    return m.end() if m else read_value(t, at)[1]
+
+
 def walk_object(t: str, at: int) -> Iterator[list]:
-    """``[name, at, end]`` of each member of the object that begins at ``at``. The caller sets ``end`` where it has read the value;
-    else the value is passed over."""
-    at = _space(t, at + 1)
+    """``[name, at, end]`` of each member of the object that begins at ``at``, then ``[None, at, end]``. The caller sets ``end`` where it
+    has read the value; else the value is passed over."""
+    at = _OPEN(t, at).end()
     if t[at : at + 1] == "}":
         yield [None, at, at + 1]
         return
     seen = set()
     while True:
-        if t[at : at + 1] != '"':
-            raise Unreadable("no member")
-        try:
-            name, at = _STRING(t, at + 1)
-        except ValueError as e:
-            raise Unreadable(str(e)) from None
+        m = _KEY(t, at)
+        if m:
+            name, at = m.group(1), m.end()
+        else:
+            try:
+                name, at = _STRING(t, at + 1) if t[at : at + 1] == '"' else (None, at)
+            except ValueError as e:
+                raise Unreadable(str(e)) from None
+            m = _COLON(t, at)
+            if name is None or m is None:
+                raise Unreadable("no member")
+            at = m.end()
         if name in seen:
             raise Unreadable("a member twice")
         seen.add(name)
-        at = _space(t, at)
-        if t[at : at + 1] != ":":
-            raise Unreadable("no colon")
-        member = [name, _space(t, at + 1), None]
+        member = [name, at, None]
         yield member
-        at = _space(t, member[2] if member[2] is not None else read_value(t, member[1])[1])
-        if t[at : at + 1] == "}":
-            yield [None, at, at + 1]
-            return
-        if t[at : at + 1] != ",":
+        m = _NEXT(t, pass_over(t, at) if member[2] is None else member[2])
+        if m is None or m.group(1) == "]":
             raise Unreadable("no comma")
-        at = _space(t, at + 1)
+        if m.group(1) == "}":
+            yield [None, m.start(1), m.start(1) + 1]
+            return
+        at = m.end()
 
 
 def walk_array(t: str, at: int) -> Iterator[list]:
     """``[position, at, end]`` of each item from 1, then ``[None, at, end]``; as ``walk_object``."""
-    at = _space(t, at + 1)
+    at = _OPEN(t, at).end()
     if t[at : at + 1] == "]":
         yield [None, at, at + 1]
         return
@@ -183,41 +201,47 @@ def walk_array(t: str, at: int) -> Iterator[list]:
         k += 1
         item = [k, at, None]
         yield item
-        at = _space(t, item[2] if item[2] is not None else read_value(t, at)[1])
-        if t[at : at + 1] == "]":
-            yield [None, at, at + 1]
-            return
-        if t[at : at + 1] != ",":
+        m = _NEXT(t, pass_over(t, at) if item[2] is None else item[2])
+        if m is None or m.group(1) == "}":
             raise Unreadable("no comma")
-        at = _space(t, at + 1)
+        if m.group(1) == "]":
+            yield [None, m.start(1), m.start(1) + 1]
+            return
+        at = m.end()
 
 
-def locate(text: str | None, holds: str, wrappers: tuple[str, ...]) -> tuple[str, int] | None:
-    """The text and the place of the object that has the member ``holds``, looking through any number of wrapping members (an object
-    or JSON text). None if there is none. The whole text is read on the way, so what can't be read raises ``Unreadable``."""
+def roots(text: str | None, holds: str, wrappers: tuple[str, ...], enter: dict, reset=lambda: None) -> None:
+    """Walks the object that has the member ``holds``, looking through any number of wrapping members (an object or JSON text), and
+    calls ``enter[name](text, at)`` at each of its members named there, which gives the member's end; ``reset()`` tells that the
+    members entered so far belong to a wrapper. The whole text is read on the way, once, but for what a wrapper holds; what can't be
+    read raises ``Unreadable``."""
     if text is None:
-        return None
+        return
     t = text.lstrip("\ufeff \t\r\n")
     at, outer = 0, True
     while True:
         if t[at : at + 1] != "{":
-            if outer and t:
-                end = read_value(t, at)[1]
-                if _space(t, end) != len(t):
-                    raise Unreadable("text after the end")
-            return None
+            if outer and t and _space(t, pass_over(t, at)) != len(t):
+                raise Unreadable("text after the end")
+            return
         places: dict[str, int] = {}
-        for name, start, end in walk_object(t, at):
+        found = False
+        for member in walk_object(t, at):
+            name, start, end = member
             if name is None:
                 if outer and _space(t, end) != len(t):
                     raise Unreadable("text after the end")
-            elif name == holds or name in wrappers:
+            elif name in enter:
+                found |= name == holds
+                member[2] = enter[name](t, start)
+            elif name in wrappers:
                 places[name] = start
-        if holds in places:
-            return t, at
-        inner = next((places[w] for w in wrappers if w in places and t[places[w] : places[w] + 1] in ('{', '"')), None)
+        inner = next((places[w] for w in wrappers if w in places and t[places[w] : places[w] + 1] in ("{", '"')), None)
+        if found:
+            return
+        reset()
         if inner is None:
-            return None
+            return
         at, outer = inner, False
         if t[at] == '"':
             t, at, outer = read_value(t, at)[0].lstrip("\ufeff \t\r\n"), 0, True
@@ -225,7 +249,9 @@ def locate(text: str | None, holds: str, wrappers: tuple[str, ...]) -> tuple[str
 
 def text_of(value) -> str | None:
     """A leaf as text: strings as they are, numbers and booleans as JSON writes them, containers as JSON text."""
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if value is None or type(value) is str:
+        return value
+    return repr(value) if type(value) in (int, float) else json.dumps(value, ensure_ascii=False)
 
 
 def _lead(groups: tuple[Group, ...], fields: tuple[str, ...]) -> dict:
@@ -245,8 +271,8 @@ def _lead(groups: tuple[Group, ...], fields: tuple[str, ...]) -> dict:
 class _Walk:
     """One text's triples."""
 
-    def __init__(self, leads: dict[str, dict], found: list):
-        self.leads, self.found = leads, found
+    def __init__(self, leads: dict[str, dict], ways: dict[str, list], found: list):
+        self.leads, self.ways, self.found = leads, ways, found
 
     def members(self, t: str, at: int, node: dict, path: str, field: str, base: str, ordinals: tuple[int, ...], group: str | None) -> int:
         """The object at a place inside a record: fields become triples, groups are gone into, all else is passed over."""
@@ -262,9 +288,9 @@ class _Walk:
             if groups:
                 for g in groups:
                     member[2] = self.group(t, start, g, f"{base}.{here}" if base else here, ordinals)
-            elif True in child or t[start : start + 1] != "{":
+            elif True in child:
                 value, member[2] = read_value(t, start)
-                if True in child and value is not None:
+                if value is not None:
                     self.found.append((f"{path}.{here}", text_of(value), ordinals, group))
                 continue
             if t[start : start + 1] == "{" and any(k not in (None, True) for k in child):
@@ -275,6 +301,11 @@ class _Walk:
         """The value where a group's list should stand: a list, a single record, an object whose members are the records, or a
         plain value."""
         first = t[at : at + 1]
+        if not g.groups:  # nothing is repeated below: the value is read as one piece
+            value, end = read_value(t, at)
+            if not (first in "{[" and isinstance(value, str)):
+                self.leaves(value, g, path, ordinals)
+            return end
         if first == "[":
             for item in walk_array(t, at):
                 k, start, end = item
@@ -294,6 +325,26 @@ class _Walk:
             return read_value(t, at)[1]
         return self.record(t, at, g, path, (*ordinals, 1))
 
+    def leaves(self, value, g: Group, path: str, ordinals: tuple[int, ...]) -> None:
+        """As ``group``, for a value that is read already."""
+        if isinstance(value, dict):
+            plain = not g.repeated or not value or any(k in g.known for k in value) or not all(x is None or isinstance(x, (dict, list)) for x in value.values())
+            value = [value] if plain else list(value.values())
+        elif not isinstance(value, list):
+            value = [value]
+        for k, x in enumerate(value, 1):
+            here = (*ordinals, k)
+            if isinstance(x, dict):
+                self.found.append((path, None, here, g.name))
+                for name, way in self.ways[g.name]:
+                    v = x
+                    for w in way:
+                        v = v.get(w) if isinstance(v, dict) else None
+                    if v is not None:
+                        self.found.append((f"{path}.{name}", text_of(v), here, g.name))
+            elif g.scalar and x is not None and not isinstance(x, list):
+                self.found.append((f"{path}.{g.scalar}", text_of(x), here, g.name))
+
     def record(self, t: str, at: int, g: Group, path: str, ordinals: tuple[int, ...]) -> int:
         if t[at : at + 1] == "{":
             self.found.append((path, None, ordinals, g.name))
@@ -308,18 +359,31 @@ def triples(text: str | None, groups: tuple[Group, ...], holds: str, wrappers: t
     """``(path, value, ordinals, group)`` in document order; the path leaves the ordinals out. A record without any field still
     gives one triple, with the group's own path and no value. A text that can't be read as a whole gives none."""
     leads: dict[str, dict] = {}
+    ways: dict[str, list] = {}
 
     def learn(gs: tuple[Group, ...]) -> None:
         for g in gs:
             leads[g.name] = _lead(g.groups, g.fields)
+            ways[g.name] = [(f, f.split(".")) for f in g.fields]
             learn(g.groups)
 
     learn(groups)
     found: list = []
+    walk, lead = _Walk(leads, ways, found), _lead(groups, ())
+
+    def entered(name: str, node: dict):
+        def enter(t: str, at: int) -> int:
+            end = None
+            for g in node.get(None, ()):
+                end = walk.group(t, at, g, name, ())
+            if end is None and t[at : at + 1] == "{":
+                end = walk.members(t, at, node, "", name, "", (), None)
+            return pass_over(t, at) if end is None else end
+
+        return enter
+
     try:
-        at = locate(text, holds, wrappers)
-        if at is not None:
-            _Walk(leads, found).members(*at, _lead(groups, ()), "", "", "", (), None)
+        roots(text, holds, wrappers, {holds: pass_over} | {n: entered(n, node) for n, node in lead.items() if n not in (None, True)}, found.clear)
     except Unreadable:
         return []
     return found
@@ -347,25 +411,30 @@ def pivot(found: Iterable[tuple[str, str | None, tuple[int, ...], str]], groups:
 def ancestors(text: str | None, holds: str, wrappers: tuple[str, ...]) -> set[tuple[str, str | None]]:
     """``(path, member)``: the paths at which a text has lists, with None, and the members of the records in them. Names only."""
     out: set[tuple[str, str | None]] = set()
+
+    def enter(t: str, at: int) -> int:
+        try:
+            value, end = _PLAIN(t, at)
+        except (StopIteration, ValueError):
+            raise Unreadable("no value") from None
+        except RecursionError:  # too deep a text isn't asked for its paths; it is still read
+            return pass_over(t, at)
+        stack = [(value, holds, False)]
+        while stack:
+            v, path, item = stack.pop()
+            if isinstance(v, list):
+                out.add((path, None))
+                stack += [(x, path, True) for x in v if isinstance(x, (dict, list))]
+            elif isinstance(v, dict):
+                for k, x in v.items():
+                    if item:
+                        out.add((path, k))
+                    if isinstance(x, (dict, list)):
+                        stack.append((x, f"{path}.{k}", False))
+        return end
+
     try:
-        at = locate(text, holds, wrappers)
-        if at is None:
-            return out
-        stack: list[tuple[str, str]] = []  # kind and path of the open containers
-        path, name = "", ""
-        for kind, value, _ in events(*at):
-            if kind == "key":
-                name = value
-                if len(stack) > 1 and stack[-2][0] == "[":
-                    out.add((stack[-1][1], name))
-            elif kind in "{[":
-                if stack:
-                    path = stack[-1][1] if stack[-1][0] == "[" else f"{stack[-1][1]}.{name}".lstrip(".")
-                stack.append((kind, path))
-                if kind == "[":
-                    out.add((path, None))
-            elif kind in "}]":
-                stack.pop()
+        roots(text, holds, wrappers, {holds: enter})
     except Unreadable:
         return set()
     return out
@@ -462,6 +531,18 @@ MANIFEST_TABLES = {
 WRAPPERS = ("manifest", "document", "package", "payload", "data")
 
 
+def pruned(groups: tuple[Group, ...], keep: dict[str, tuple[str, ...]]) -> tuple[Group, ...]:
+    """Only the groups named in ``keep``, with the fields named there and those they need, and the groups above them; all else is
+    passed over where the texts are read."""
+    out = []
+    for g in groups:
+        below = pruned(g.groups, keep)
+        if below or g.name in keep:
+            wanted = {*keep.get(g.name, ()), g.need, g.scalar}
+            out.append(replace(g, fields=tuple(f for f in g.fields if f in wanted), groups=below))
+    return tuple(out)
+
+
 #: Lists by the format and what it names in their records; all else is found in the texts.
 STATED = {
     "media": frozenset({"disc", "format", "title", "tracks"}), "media.tracks": frozenset({"track", "title", "artists", "identifiers", "duration", "loudness", "audio", "waveform", "representations"}),
@@ -478,9 +559,10 @@ def manifest_groups(manifests: DataFrame) -> tuple[Group, ...]:
     return grouped({p: found.get(p, frozenset()) | STATED.get(p, frozenset()) for p in found.keys() | STATED.keys()}, MANIFEST_TABLES)
 
 
-def flatten_manifests(manifests: DataFrame) -> DataFrame:
-    """``flatten`` over ``manifest_id, manifest``."""
-    return flatten(manifests, "manifest_id", "manifest", manifest_groups(manifests), "media", WRAPPERS)
+def flatten_manifests(manifests: DataFrame, keep: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """``flatten`` over ``manifest_id, manifest``; ``keep`` names the tables and fields wanted (see ``pruned``), None all."""
+    groups = manifest_groups(manifests)
+    return flatten(manifests, "manifest_id", "manifest", groups if keep is None else pruned(groups, keep), "media", WRAPPERS)
 
 
 def manifest_records(flat: DataFrame) -> DataFrame:

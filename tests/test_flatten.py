@@ -99,12 +99,13 @@ def test_events_tell_every_document_as_a_tree_would():
 def test_groups_are_found_from_repeated_ancestors(spark):
     texts = [{"root": {"list": [{"a": 1, "deep": {"more": [{"b": "x"}, {"b": "y", "c": None}]}}], "one": {"p": 1}}}, {"root": {"list": {"a": 2}}}, {"root": {"list": {"m": {"a": 3}, "n": {"a": 4, "deep": {"more": {"b": "z"}}}}}}]
     df = spark.createDataFrame([(k, json.dumps(t["root"])) for k, t in enumerate(texts)] + [(9, None), (10, "[")], "id bigint, t string")
+    assert repeated(df, "t", "one") == {}
     found = repeated(df, "t", "list")
     assert found == {"list": frozenset({"a", "deep"}), "list.deep.more": frozenset({"b", "c"})}
-    groups = grouped(found, {"list": ("outer", ("a",), None, None), "list.deep.more": ("inner", ("b",), None, None), "one": ("single", ("p",), None, None)})
-    assert groups[0].groups == (Group("inner", ("deep", "more"), ("b",), frozenset({"b", "c"})),) and not groups[1].repeated
+    groups = grouped(found, {"list": ("outer", ("a",), None, None), "list.deep.more": ("inner", ("b",), None, None)})
+    assert groups[0].groups == (Group("inner", ("deep", "more"), ("b",), frozenset({"b", "c"})),)
     got = sorted((r.rec_id, r.kind, tuple(r.ordinals), tuple(sorted(r.fields.items()))) for r in flatten(df, "id", "t", groups, "list").collect())
     assert got == sorted([
-        (0, "outer", (1,), (("a", "1"),)), (0, "inner", (1, 1), (("b", "x"),)), (0, "inner", (1, 2), (("b", "y"),)), (0, "single", (1,), (("p", "1"),)),
+        (0, "outer", (1,), (("a", "1"),)), (0, "inner", (1, 1), (("b", "x"),)), (0, "inner", (1, 2), (("b", "y"),)),
         (1, "outer", (1,), (("a", "2"),)), (2, "outer", (1,), (("a", "3"),)), (2, "outer", (2,), (("a", "4"),)), (2, "inner", (2, 1), (("b", "z"),)),
     ])
