@@ -35,7 +35,8 @@ def stream_sessions(s, d):
 def _actions(df):
     k = F.col("event_id") % 11
     act = F.when(k < 4, F.lit("enqueue")).when(k < 7, F.lit("next")).when(k == 7, F.lit("previous")).when(k == 8, F.lit("remove")).when(k == 9, F.lit("play_next")).otherwise(F.lit("move"))
-    arg = F.when(act == "remove", F.lit("1")).when(act == "move", F.lit("0>2")).otherwise(F.concat(F.lit("t"), F.col("event_id").cast("string")))
+    act = F.when(F.col("event_id") % 29 == 0, F.lit("shuffle")).otherwise(act)
+    arg = F.when(act == "shuffle", F.when(F.col("event_id") % 3 > 0, F.lit("on")).otherwise(F.lit("off"))).when(act == "remove", F.lit("1")).when(act == "move", F.lit("0>2")).otherwise(F.concat(F.lit("t"), F.col("event_id").cast("string")))
     return df.select(F.col("user_id").alias("k"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), act.alias("action"), arg.alias("arg"))
 
 

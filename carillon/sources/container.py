@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -127,3 +128,33 @@ def read_containers(files: DataFrame, path: str = "path", content: str = "conten
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "error", "ord", "kind", "member", "offset", "length"])
 
     return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInArrow(run, SCHEMA)
+
+
+def pack(members: list[tuple[str, bytes]], manifest: bytes = b"{}") -> bytes:
+    """A container: header, manifest, the members in their order, an index sorted by path, and a tail with the whole size, the number
+    of members, the index's place and the digest of all before the tail. Paths must be usable and stand once."""
+    if len({p for p, _ in members}) < len(members) or not all(path_ok(p) for p, _ in members) or len(members) > MOST_MEMBERS:
+        raise ValueError("a path stands twice or can't be used, or there are too many members")
+    out = bytearray(MAGIC + bytes((MAJOR,)) + bytes(HEADER - 5)) + block(b"MANF", manifest)
+    index = []
+    for path, body in members:
+        name = path.encode()
+        index.append((path, len(out) + BLOCK + 2 + len(name), len(body), hashlib.sha256(body).digest()))
+        out += block(b"DATA", struct.pack(">H", len(name)) + name + body)
+    entries = b"".join(struct.pack(">H", len(p.encode())) + p.encode() + struct.pack(">QQ", at, n) + d for p, at, n, d in sorted(index))
+    at = len(out)
+    out += block(b"INDX", struct.pack(">I", len(index)) + entries)
+    tail = struct.pack(">QIQ", len(out) + BLOCK + TAIL, len(index), at) + hashlib.sha256(out).digest()
+    return bytes(out + block(b"TAIL", tail))
+
+
+def pack_containers(cells: DataFrame, by: str, member: str = "member", content: str = "content") -> DataFrame:
+    """``by, content``: the members of each container packed in the order of their paths; a container is one task's work, as it is one
+    file. Members without content are left out."""
+    rows = cells.where(F.col(content).isNotNull()).select(F.col(by).alias("k"), F.col(member).alias("m"), F.col(content).alias("c"))
+
+    def run(t: pa.Table) -> pa.Table:
+        held = sorted(zip(t["m"].to_pylist(), t["c"].to_pylist()))
+        return pa.table({"k": t["k"].slice(0, 1), "content": pa.array([pack(held)], pa.binary())})
+
+    return rows.groupBy("k").applyInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, content binary").withColumnRenamed("k", by)

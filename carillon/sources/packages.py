@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,22 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def write_files(cells: DataFrame, root: str) -> None:
+    """Cells (``path, content``) as files below a folder, each by the task that holds it, through the session's file systems."""
+    from pyarrow import fs
+
+    def run(batches):
+        for b in batches:
+            base, at = fs.FileSystem.from_uri(root)
+            for path, body in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                base.create_dir(f"{at}/{path}".rsplit("/", 1)[0], recursive=True)
+                with base.open_output_stream(f"{at}/{path}") as out:
+                    out.write(bytes(body))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    cells.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def over_limits(files: DataFrame) -> DataFrame:
     """``limit, found``: the limits that a listing exceeds; none if the scan may go on."""
     got = files.agg(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from carillon.operators.kernels import shuffled
 from carillon.session import stage_path
 
 
@@ -69,13 +70,31 @@ HISTORY = 500
 
 
 class Queue:
-    """Items, a cursor and the places it came from; the outcome depends on the order of the actions alone."""
+    """Items, a cursor and the places it came from; the outcome depends on the order of the actions alone. With shuffle on, items are
+    played in an order drawn anew, the current one first, whenever the items or the setting change; the drawing is seeded, so a
+    replay gives the same queue."""
 
-    def __init__(self, items: list | None = None, index: int = -1, history: list | None = None, repeat: str = "off"):
+    def __init__(self, items: list | None = None, index: int = -1, history: list | None = None, repeat: str = "off", order: list | None = None, draws: int = 0, seed: str = "queue"):
         self.items, self.index, self.history, self.repeat = list(items or ()), index, list(history or ()), repeat
+        #: The order in which shuffled items are played; None while shuffle is off.
+        self.order, self.draws, self.seed = order, draws, seed
+
+    def _arrange(self) -> None:
+        if self.order is not None:
+            rest = [k for k in range(len(self.items)) if k != self.index]
+            drawn = [rest[k] for k in shuffled(len(rest), f"{self.seed}-{self.draws}")]
+            self.order, self.draws = [self.index] * (self.index >= 0) + drawn, self.draws + 1
+
+    def _shuffle(self, arg):
+        if (arg == "on") != (self.order is not None):
+            self.order, self.history = [] if arg == "on" else None, []
+            self._arrange()
 
     def act(self, name: str, arg: str | None = None) -> None:
+        before = list(self.items)
         getattr(self, f"_{name}", self._none)(arg)
+        if self.items != before or name == "play":
+            self._arrange()
 
     def _none(self, arg):
         """An unknown action changes nothing."""
@@ -101,7 +120,14 @@ class Queue:
             return
         if self.index >= 0:
             self.history = [*self.history, self.index][-HISTORY:]
-        if self.index + 1 < len(self.items):
+        if self.order is not None:
+            at = self.order.index(self.index) + 1 if self.index in self.order else len(self.order)
+            if at < len(self.order):
+                self.index = self.order[at]
+            elif self.repeat == "all":
+                self._arrange()
+                self.index = self.order[0]
+        elif self.index + 1 < len(self.items):
             self.index += 1
         elif self.repeat == "all":
             self.index = 0
@@ -112,7 +138,10 @@ class Queue:
             if 0 <= k < len(self.items) and k != self.index:
                 self.index = k
                 return
-        if self.index > 0:
+        if self.order is not None:
+            at = self.order.index(self.index) if self.index in self.order else 0
+            self.index = self.order[at - 1] if at > 0 else self.index
+        elif self.index > 0:
             self.index -= 1
 
     def _move_to(self, arg):
@@ -158,7 +187,7 @@ def queue_batch(actions: DataFrame) -> DataFrame:
     """``k, items, position, n_actions``: each key's queue after its actions (``k, at, seq, action, arg``), in order of time and number."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, n = _replay(0, Queue(), 0, pdf.sort_values(["at", "seq"]))
+        q, n = _replay(0, Queue(seed=f"queue-{pdf['k'].iloc[0]}"), 0, pdf.sort_values(["at", "seq"]))
         return pd.DataFrame([(pdf["k"].iloc[0], ",".join(q.items), q.index, n)], columns=["k", "items", "position", "n_actions"])
 
     return actions.groupBy("k").applyInPandas(run, QUEUE_SCHEMA)
@@ -168,14 +197,15 @@ def queue_stream(actions: DataFrame) -> DataFrame:
     """The same as a stream, one row a key and batch; batches must come in order of time."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, index, history, repeat, n = state.get if state.exists else ("", -1, "", "off", 0)
-        q = Queue([x for x in items.split(",") if x], index, [int(x) for x in history.split(",") if x], repeat)
+        items, index, history, repeat, n, order, draws = state.get if state.exists else ("", -1, "", "off", 0, None, 0)
+        numbers = lambda t: [int(x) for x in t.split(",") if x]
+        q = Queue([x for x in items.split(",") if x], index, numbers(history), repeat, None if order is None else numbers(order), draws, f"queue-{key[0]}")
         pdf = pd.concat(list(batches)).sort_values(["at", "seq"])
         q, n = _replay(key[0], q, n, pdf)
-        state.update((",".join(q.items), q.index, ",".join(map(str, q.history)), q.repeat, n))
+        state.update((",".join(q.items), q.index, ",".join(map(str, q.history)), q.repeat, n, None if q.order is None else ",".join(map(str, q.order)), q.draws))
         yield pd.DataFrame([(key[0], ",".join(q.items), q.index, n)], columns=["k", "items", "position", "n_actions"])
 
-    return actions.groupBy("k").applyInPandasWithState(run, QUEUE_SCHEMA, "items string, position int, history string, repeat string, n bigint", "update", GroupStateTimeout.NoTimeout)
+    return actions.groupBy("k").applyInPandasWithState(run, QUEUE_SCHEMA, "items string, position int, history string, repeat string, n bigint, played string, draws int", "update", GroupStateTimeout.NoTimeout)
 
 
 # ---- state machines ----

@@ -121,3 +121,55 @@ def test_splits(spark):
     assert bits == [int(b) for b in bin(int(hashlib.sha256(b"x").hexdigest(), 16))[2:].zfill(256)[:52]]
     u = one(spark, ["s"], lambda c: H.uniform(c, F.lit(3)))[0]
     assert u == int(hashlib.sha256(b"s:3").hexdigest()[:13], 16) / 2**52
+
+
+def test_canonical_document_to_the_letter():
+    from carillon.functions.documents import canonical, read_strict
+
+    text = '{"x-more":[1,{"b":null}],"media":[{"title":null,"disc":1.0,"tracks":[{"artists":[],"title":"A \\"q\\" \\u0001\\\\","track":2,"duration":12.3456789012,"audio":{"sha256":"s","path":"p","other":1},"lyrics":[]}]}],"version":1,"album":{"genres":[],"artists":[{"sortName":"S","name":"N","musicbrainzId":"m"}],"title":"T"},"format":"f","identity":{"confidence":"c","source":"s"},"artwork":[]}'
+    value, fault = read_strict(text)
+    want = """{
+  "format": "f",
+  "version": 1,
+  "album": {
+    "title": "T",
+    "artists": [
+      {
+        "musicbrainzId": "m",
+        "name": "N",
+        "sortName": "S"
+      }
+    ]
+  },
+  "identity": {
+    "source": "s",
+    "confidence": "c"
+  },
+  "media": [
+    {
+      "disc": 1,
+      "tracks": [
+        {
+          "track": 2,
+          "title": "A \\"q\\" \\u0001\\\\",
+          "duration": 12.345679,
+          "audio": {
+            "path": "p",
+            "sha256": "s"
+          }
+        }
+      ]
+    }
+  ],
+  "x-more": [
+    1,
+    {
+      "b": null
+    }
+  ]
+}
+"""
+    assert fault is None and canonical(value) == want
+    assert canonical({"a": {}, "b": [], "c": -12.0, "d": 1e-5}) == '{\n  "a": {},\n  "b": [],\n  "c": -12,\n  "d": 1e-05\n}\n'
+    again, _ = read_strict(want)
+    assert canonical(again) == want

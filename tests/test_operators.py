@@ -167,3 +167,47 @@ def test_global_rank_and_stratified_pick(spark):
         picks.append((b, best[0]))
     assert [(r.bucket, r.id) for r in E.stratified_pick(df, order, "key", ["g"], 9).orderBy("bucket").collect()] == picks
     assert E.stratified_pick(df.limit(0), order, "key", ["g"], 9).count() == 0 and E.stratified_pick(df.limit(3), order, "key", ["g"], 9).count() == 3
+
+
+def test_ownership_is_the_ordered_fold(spark):
+    import random
+
+    from carillon.operators.reconcile import arbitrate
+
+    rng = random.Random(4)
+    owners = [(f"k{k}", f"p{rng.randrange(20):02d}", rng.choice("abc"), rng.random() < 0.6) for k in range(12)]
+    cands = sorted({(f"k{rng.randrange(14)}", f"p{rng.randrange(20):02d}"): rng.choice("abc") for _ in range(150)}.items())
+    want = {}
+    for key in {k for (k, _), _ in cands}:
+        held = next(((p, f) for k, p, f, here in owners if k == key and here), (None, None))
+        for (k, path), finger in cands:
+            if k == key:
+                if held[0] in (None, path):
+                    held, what = (path, finger), "owner"
+                else:
+                    what = "mirror" if held[1] == finger else "conflict"
+                want[k, path] = what
+    got = arbitrate(spark.createDataFrame([(k, p, f) for (k, p), f in cands] + [(None, "x", "a")], "key string, path string, fingerprint string"), spark.createDataFrame(owners, "key string, path string, fingerprint string, present boolean"), "key")
+    assert {(r.k, r.path): r.outcome for r in got.collect()} == want
+
+
+def test_artists_are_filled_and_never_overwritten(spark):
+    from carillon.operators.reconcile import upsert_artists
+
+    known = spark.createDataFrame([(1, "Anna", None, None), (2, "Bernd", "B", "m2"), (3, "Clara", None, "m3"), (4, "Doris", None, None)], "id bigint, name string, sort_name string, anchor string")
+    typed = spark.createDataFrame([("ANNA", "A, N", "m1"), ("Bernd", "other", "m9"), ("Klara", "C, K", "m3"), ("doris", None, None), ("New", None, "m5"), ("newer", "n", "m5"), ("NEW", "z", None), (None, "x", "m7"), ("Zoe", None, "m1")], "name string, sort_name string, anchor string")
+    got = {(r.id, r.name): (r.sort_name, r.anchor) for r in upsert_artists(known, typed).collect()}
+    assert got == {(1, "Anna"): ("A, N", "m1"), (2, "Bernd"): ("B", "m2"), (3, "Clara"): ("C, K", "m3"), (4, "Doris"): (None, None), (None, "NEW"): ("z", "m5")}
+    assert upsert_artists(known, typed.limit(0)).count() == 4
+
+
+def test_places_in_groups_without_a_window_over_a_group(spark):
+    from carillon.operators.evaluate import average_ranks, evenly_spaced, strata
+
+    rows = [(g, float(v), k) for k, (g, v) in enumerate([("a", 3), ("a", 1), ("a", 1), ("b", 5), (None, 2), (None, 2), ("a", float("nan")), ("b", 4)])]
+    df = spark.createDataFrame(rows, "g string, v double, k int")
+    got = {r.k: r.r for r in average_ranks(df, ["g"], "v", "r").collect()}
+    assert got == {0: 3.0, 1: 1.5, 2: 1.5, 3: 2.0, 4: 1.5, 5: 1.5, 6: 4.0, 7: 1.0}
+    assert {r.k: r.stratum for r in strata(df, ["g"], [F.col("k")], 2).collect()} == {0: 0, 1: 0, 2: 1, 6: 1, 3: 0, 7: 1, 4: 0, 5: 1}
+    assert {r.k for r in evenly_spaced(df, ["g"], [F.col("k")], 2).collect()} == {0, 2, 3, 7, 4, 5}
+    assert average_ranks(df.limit(0), ["g"], "v", "r").count() == strata(df.limit(0), ["g"], [F.col("k")], 2).count() == 0

@@ -141,3 +141,21 @@ def test_reports(spark, tmp_path):
     (tmp_path / "run.json").write_text(json.dumps(run))
     tracks, near = R.read_run(spark, str(tmp_path / "run.json"))
     assert tracks.first()[:] == (0, "p", [1.0, 2.0]) and near.first()[:] == (0, 1, 0, "p", 0.5)
+
+
+def test_packed_container_is_read_back():
+    members = [("b/2", b"two"), ("a/1", b"one" * 1000), ("c", b"")]
+    data = K.pack(members, b'{"media":[]}')
+    error, rows = K.scan(data)
+    assert error is None and [r[0] for r in rows] == ["manifest", "member", "member", "member", "index", "tail"]
+    found = {path: data[at : at + n] for kind, path, at, n in rows if kind == "member"}
+    assert found == dict(members)
+    at, n = next((r[2], r[3]) for r in rows if r[0] == "index")
+    entries = K.index_entries(data[at : at + n])
+    assert [e[0] for e in entries] == ["a/1", "b/2", "c"] and all(data[o : o + k] == found[p] for p, o, k, _ in entries)
+    at, n = next((r[2], r[3]) for r in rows if r[0] == "tail")
+    size, count, _ = struct.unpack_from(">QIQ", data, at)
+    assert (size, count, n) == (len(data), 3, K.TAIL)
+    for bad in ([("a", b""), ("a", b"")], [("../a", b"")]):
+        with pytest.raises(ValueError):
+            K.pack(bad)

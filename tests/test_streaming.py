@@ -33,6 +33,34 @@ def test_queue_actions():
     assert q.items == ["z"] and q.index == 0
 
 
+def test_shuffled_queue():
+    q = S.Queue([f"t{k}" for k in range(8)], 3, seed="s")
+    q.act("shuffle", "on")
+    assert q.order[0] == 3 and sorted(q.order) == list(range(8)) and q.order != list(range(8))
+    order = list(q.order)
+    seen = [q.index]
+    for _ in range(9):
+        q.act("next")
+        seen.append(q.index)
+    assert seen[:8] == order and seen[8:] == [order[-1]] * 2  # each once, then it stays
+    q.act("previous")
+    assert q.index == order[6]
+    q.act("remove", str(order[6]))
+    assert sorted(q.order) == list(range(7)) and q.order[0] == q.index
+    again = S.Queue([f"t{k}" for k in range(8)], 3, seed="s")
+    again.act("shuffle", "on")
+    assert again.order == order
+    q.act("shuffle", "off")
+    assert q.order is None and len(q.items) == 7
+    at = q.index
+    q.act("next")
+    assert q.index == min(at + 1, 6)
+    q.act("clear")
+    q.act("shuffle", "on")
+    q.act("next")
+    assert q.index == -1 and q.order == []
+
+
 def _write(spark, tmp_path, rows, schema, parts):
     for k, part in enumerate(parts):
         spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k:03d}"))
@@ -43,9 +71,9 @@ def _write(spark, tmp_path, rows, schema, parts):
 
 def test_queue_stream_equals_batch(spark, tmp_path):
     schema = "k bigint, at timestamp, seq bigint, action string, arg string"
-    names = ["enqueue", "enqueue", "next", "play_next", "remove", "previous", "move", "repeat", "next"]
-    args = {"remove": "1", "move": "0>1", "repeat": "all"}
-    rows = [(k % 3, datetime(2024, 1, 1) + timedelta(seconds=k), k, names[k % 9], args.get(names[k % 9], f"t{k}")) for k in range(90)]
+    names = ["enqueue", "enqueue", "next", "play_next", "remove", "shuffle", "previous", "move", "repeat", "next", "enqueue"]
+    args = {"remove": "1", "move": "0>1", "repeat": "all", "shuffle": "on"}
+    rows = [(k % 3, datetime(2024, 1, 1) + timedelta(seconds=k), k, names[k % 11], args.get(names[k % 11], f"t{k}")) for k in range(90)]
     folder = _write(spark, tmp_path, rows, schema, [range(0, 30), range(30, 60), range(60, 90)])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
     got = {r.k: (r.items, r.position, r.n_actions) for r in S.drain(S.queue_stream(stream), "q", "update").orderBy("n_actions").collect()}
