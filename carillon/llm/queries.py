@@ -29,7 +29,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``field, rec_id, media_pos, track_pos, value``: artist names and the manifests' track titles."""
     artists = load(spark, sf_dir, "artists").select(F.lit("artists.name").alias("field"), F.col("id").alias("rec_id"), F.lit(0).alias("media_pos"), F.lit(0).alias("track_pos"), F.col("name").alias("value"))
-    tracks = table(flatten_manifests(load(spark, sf_dir, "manifests")), "track", ("media_pos", "track_pos"), {"value": "title"})
+    tracks = table(flatten_manifests(load(spark, sf_dir, "manifests"), {"track": ("title",)}), "track", ("media_pos", "track_pos"), {"value": "title"})
     return artists.unionByName(tracks.select(F.lit("tracks.title").alias("field"), "rec_id", "media_pos", "track_pos", "value"))
 
 
