@@ -99,3 +99,14 @@ def test_familiar_forms_are_learned_from_the_rows(spark):
     rows = [(k, f"Zibbo Sur{chr(97 + k) * 3}", f"Sur{chr(97 + k) * 3}, Zacharias", None) for k in range(4)] + [(10, "Zacharias Wurbaklor", None, None), (11, "Zibbo Wurbaklor", None, None), (12, "Zacharias Melmaden", None, None), (13, "Quirin Melmaden", None, None)]
     assert _pairs(spark, rows) == [(10, 11)]
     assert _pairs(spark, [r for r in rows if r[0] > 2]) == []
+
+
+def test_only_entities_stay_in_the_shared_folder(spark):
+    from carillon.llm.names import link_names
+    from carillon.session import checkpoint_dir, list_path
+
+    folder = f"{checkpoint_dir(spark)}/carillon"
+    before = set(list_path(spark, folder))
+    link_names(spark.createDataFrame([(1, "Anna Wurbaklor", None, None), (2, "A. Wurbaklor", None, None)], "id bigint, name string, sort_name string, musicbrainz_id string"))
+    left = set(list_path(spark, folder)) - before
+    assert len(left) == 1 and next(iter(left)).endswith("p2-entities")
