@@ -19,7 +19,8 @@ def _emb(s, d):
 
 
 def sim_topk(s, d):
-    got = S.top_k(_emb(s, d), SEED, "vec_id", "embedding", 20, within=F.col("label") < 5)
+    """The twenty nearest to one seed, of all vectors."""
+    got = S.top_k(_emb(s, d), SEED, "vec_id", "embedding", 20)
     return got.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -134,7 +135,7 @@ QUERIES = {f.__name__: f for f in (
     sim_topk, sim_topk_analyzed, sim_group_topk, sim_pool, sim_album_nearest, sim_block_topk, sim_hit_rate, sim_support, sim_mean_orders, sim_finite, sim_sets_status, eval_jaccard, eval_displacement, eval_reversals, eval_margin,
 )}
 SQL = {
-    "sim_topk": f"SELECT vec_id id, round({COS.format('embedding', SEED_SQL)}, 6) score, row_number() OVER (ORDER BY {COS.format('embedding', SEED_SQL)} DESC, vec_id) AS rank FROM embeddings WHERE label < 5 QUALIFY rank <= 20",
+    "sim_topk": f"SELECT vec_id id, round({COS.format('embedding', SEED_SQL)}, 6) score, row_number() OVER (ORDER BY {COS.format('embedding', SEED_SQL)} DESC, vec_id) AS rank FROM embeddings QUALIFY rank <= 20",
     "sim_topk_analyzed": f"WITH g AS (SELECT * FROM analyzed WHERE {_FINITE} AND len(vector) = 64 AND len(list_filter(vector, lambda x: x <> 0)) > 0) SELECT analyzed_id id, round({COS.format('vector', SEED_SQL)}, 6) score FROM g ORDER BY {COS.format('vector', SEED_SQL)} DESC, analyzed_id LIMIT 50",
     "sim_group_topk": _TWO + "SELECT id, nbr, rank FROM a",
     "sim_pool": _CENT + "SELECT label, dim, round(value, 6) AS value FROM c",
