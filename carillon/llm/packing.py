@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SHARD = 20_000
 #: Bounds of the work, not of the result (every item is placed whatever they are): fillings looked at around one item, fillings kept
-#: to return to, and fillings looked at in all after the first way down. None for ``nodes`` and ``budget`` gives the exact search.
+#: to return to, and fillings looked at in all after the first way down (eight times as many for few items). None for ``nodes`` and ``budget`` gives the exact search.
 NODES, BRANCHES, BUDGET = 160, 16, 400_000
 #: Items left below which no bound but the budget holds.
 SMALL = 150
@@ -175,6 +175,7 @@ def complete(sizes: list[int], capacity: int, nodes: int | None = NODES, budget:
     total = sum(sizes)
     spare = (len(incumbent) - 1) * capacity - total  # what a better packing may waste
     pool, waste, spent, first_way = _Pool(sizes), 0, 0, True
+    most = budget if budget is None or len(sizes) > 2 * SMALL else 8 * budget
     #: of each open pack: its largest item, its filling, what that wastes, and the fillings to try next (None: not looked for yet)
     way: list[tuple[int, list[tuple[int, int]], int, list | None]] = []
 
@@ -212,7 +213,7 @@ def complete(sizes: list[int], capacity: int, nodes: int | None = NODES, budget:
                     pool.put(s)
             if later is None:
                 few = nodes is None or pool.size <= SMALL  # the last packs, in which the waste ends up, are searched through
-                left = nodes if not few else None if budget is None else max(1, budget - spent)
+                left = nodes if not few else None if most is None else max(1, most - spent)
                 found, seen = fillings(pool, capacity - top, spare - waste, left, None if few else BRANCHES)
                 spent += seen
                 later = [f for f in reversed(found) if f[1] != filling]
@@ -223,7 +224,7 @@ def complete(sizes: list[int], capacity: int, nodes: int | None = NODES, budget:
                 go(top, chosen, w, later)
                 break
             pool.put(top)
-        if not way or budget is not None and spent > budget:
+        if not way or most is not None and spent > most:
             break
     return incumbent
 
