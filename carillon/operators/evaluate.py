@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carillon.session import estimated_bytes
+
 
 def ranked_lists(ranked: DataFrame, query: str, item: str, rank: str, k: int, name: str = "list") -> DataFrame:
     """``query, list``: each query's first ``k`` items in order."""
@@ -55,9 +57,13 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int]) -> DataFrame:
 
 def _within(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """Each row's place from 1 in the order of its group, and the group's size in ``_n``: places in one order of all rows, less the
-    group's first. No task sorts a whole group, however large it is."""
+    group's first. No task sorts a whole group, unless all rows together are few (``WINDOWED``)."""
     from carillon.operators.skew import global_rank
 
+    if estimated_bytes(df) <= WINDOWED:
+        w = Window.partitionBy(*by)
+        return df.withColumn(name, F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
+
     ranked = global_rank(df, [*(F.col(c) for c in by), *order], "_place")
     groups = ranked.groupBy(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by))).agg(F.min("_place").alias("_low"), F.count(F.lit(1)).alias("_n"))
     same = F.lit(True)
@@ -70,11 +76,16 @@ def _within(df: DataFrame, by: list[str], order: list[Column], name: str) -> Dat
 
 #: Groups that are broadcast, at most.
 FEW = 10_000
+#: Bytes up to which a whole table may be ranked by windows, each group in one task; the result is the same.
+WINDOWED = 64 << 20
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Ranks from 1, ties sharing the mean of their places. NaN sorts last. A value's ties are counted first, so that only one row a
-    value is ranked; a value that many rows share is joined apart."""
+    value is ranked; a value that many rows share is joined apart. Few rows (``WINDOWED``) are ranked by windows."""
+    if estimated_bytes(df) <= WINDOWED:
+        w = Window.partitionBy(*by).orderBy(value)
+        return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0)
     ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     parts = _sums_before(ties, by, value)
     same = F.lit(True)

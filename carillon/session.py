@@ -93,6 +93,11 @@ def list_path(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer thinks a result's size is at most, told without a job: that of its inputs, or more after joins."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def width(spark: SparkSession) -> int:
     """Tasks that keep all cores busy in a step whose work isn't seen from its bytes."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

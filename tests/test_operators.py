@@ -201,9 +201,12 @@ def test_artists_are_filled_and_never_overwritten(spark):
     assert upsert_artists(known, typed.limit(0)).count() == 4
 
 
-def test_places_in_groups_without_a_window_over_a_group(spark):
+@pytest.mark.parametrize("windowed", [0, 64 << 20])
+def test_places_in_groups_with_and_without_a_window_over_a_group(spark, windowed, monkeypatch):
+    from carillon.operators import evaluate
     from carillon.operators.evaluate import average_ranks, evenly_spaced, strata
 
+    monkeypatch.setattr(evaluate, "WINDOWED", windowed)
     rows = [(g, float(v), k) for k, (g, v) in enumerate([("a", 3), ("a", 1), ("a", 1), ("b", 5), (None, 2), (None, 2), ("a", float("nan")), ("b", 4)])]
     df = spark.createDataFrame(rows, "g string, v double, k int")
     got = {r.k: r.r for r in average_ranks(df, ["g"], "v", "r").collect()}
