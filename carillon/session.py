@@ -95,7 +95,7 @@ def list_path(spark: SparkSession, path: str) -> list[str]:
 
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimizer thinks a result's size is at most, told without a job: that of its inputs, or more after joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def width(spark: SparkSession) -> int:
