@@ -72,3 +72,10 @@ def clamp(x: Column, low, high) -> Column:
 def next_index(i: Column, n: Column, repeat: Column) -> Column:
     """The index after ``i`` under a repeat mode (off, one, all); null at the end."""
     return F.when(repeat == "one", i).when(i + 1 < n, i + 1).when(repeat == "all", F.lit(0))
+
+
+def swap_facts(outgoing: Column, incoming: Column, start: Column) -> Column:
+    """``overlap, rebase``: by how many frames two streams overlapped when the incoming one takes over, and by how many its playhead
+    is moved up to where mixing began; neither is below 0."""
+    zero = F.lit(0).cast("bigint")
+    return F.struct(F.greatest(zero, outgoing - start).alias("overlap"), F.greatest(zero, start - incoming).alias("rebase"))

@@ -215,6 +215,18 @@ def by_hash(df: DataFrame, key: Column, group: str, id_col: str, n_groups: int)
     return best.orderBy("_g", group).limit(n_groups).select(group, id_col)
 
 
+def queries_by_hash(df: DataFrame, key: Column, group: str, id_col: str, n: int) -> DataFrame:
+    """``place, id``: ``n`` rows drawn without chance: the member of the lowest hash of each of the first groups by their hash, and where
+    there are fewer groups the remaining rows of the lowest hashes; numbered from 1 by hash. Both picks are bounded sorts."""
+    first = by_hash(df, key, group, id_col, n).select(F.col(id_col).alias("_i"))
+    hashed = df.select(F.col(id_col).alias("id"), F.sha2(key, 256).alias("_h"))
+    drawn = F.broadcast(first)  # n rows
+    rest = hashed.join(drawn, F.col("id") == F.col("_i"), "left_anti").orderBy("_h", "id").limit(n).withColumn("_late", F.lit(1))
+    both = hashed.join(drawn, F.col("id") == F.col("_i"), "left_semi").withColumn("_late", F.lit(0)).unionByName(rest)
+    chosen = both.orderBy("_late", "_h", "id").limit(n)
+    return chosen.select(F.row_number().over(Window.orderBy("_h", "id")).cast("bigint").alias("place"), "id")  # n rows
+
+
 def stratified_pick(pool: DataFrame, order: list[Column], key: str, spread_by: list[str], buckets: int) -> DataFrame:
     """``bucket`` and the columns of ``pool``: one row from each of ``buckets`` contiguous parts of the order. In each the row whose
     values in ``spread_by`` were used least so far is taken, earlier columns first, then the smallest ``key``. What is used feeds

@@ -188,9 +188,32 @@ def member_sizes(s, d):
     return m.select("l_orderkey", F.cardinality("sizes").alias("members"), F.aggregate(F.map_values("sizes"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"))
 
 
+def eval_queries_filled(s, d):
+    """Three hundred query tracks by hash: one a medium, then the lowest of the rest."""
+    return E.queries_by_hash(load(s, d, "tracks"), F.col("uid"), "media_id", "id", 300)
+
+
+def catalog_release_nested(s, d):
+    """Releases with their media, and these with their tracks, each in order."""
+    t = load(s, d, "tracks").select("media_id", "track_number", "id")
+    media = t.select("media_id", F.floor(F.col("media_id") / 5).alias("release_id")).distinct()
+    with_tracks = C.nest(media, t, "media_id", ["track_number", "id"], ["id"], "tracks")
+    releases = C.nest(media.select("release_id").distinct(), with_tracks, "release_id", ["media_id"], ["media_id", "tracks"], "media")
+    return releases.select("release_id", F.array_join(F.transform("media", lambda m: F.concat(m["media_id"].cast("string"), F.lit(":"), F.array_join(F.transform(m["tracks"], lambda x: x["id"].cast("string")), ","))), ";").alias("media"))
+
+
+def mix_swaps(s, d):
+    """Overlaps and moved playheads of made-up fades."""
+    from carillon.functions.audio import swap_facts as facts
+
+    o = load(s, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("a"), (F.col("o_custkey") * 100).alias("b"), (F.col("o_orderkey") * 10).alias("c"))
+    f = facts(F.col("a"), F.col("b"), F.col("c"))
+    return o.select("o_orderkey", f["overlap"].alias("overlap"), f["rebase"].alias("rebase"))
+
+
 QUERIES = {f.__name__: f for f in (
     scan_actions, scan_actions_verified, scan_counts, merge_owners, merge_artists_full, merge_assets, merge_release_content, package_candidates, package_verified, package_rows, set_operations, asset_release, asset_lyrics, asset_served,
-    representation_list, text_scalars, text_preferences, eval_gates_seven, eval_overlap_summary, verify_ok, member_sizes,
+    representation_list, text_scalars, text_preferences, eval_gates_seven, eval_overlap_summary, verify_ok, member_sizes, eval_queries_filled, catalog_release_nested, mix_swaps,
 )}
 from carillon.plans.changes import SQL as _CHANGES  # noqa: E402
 from carillon.plans.similar import _TWO  # noqa: E402
@@ -243,6 +266,9 @@ SQL = {
         SELECT k AS label, gate, CASE WHEN k = 5 AND gate[3] IN ('A', 'B') THEN 'not-evaluated' WHEN gate = 'B-B1' AND k = 2 THEN 'not-evaluated' WHEN gate = 'B-B2' AND (k * 5 < 21 OR k = 7 OR k * 3 < 13) THEN 'not-evaluated'
         WHEN CASE gate WHEN 'B-A1' THEN k * 3e-4 <= pow(2, -10) WHEN 'B-A2' THEN k * 2e-4 <= pow(2, -10) WHEN 'B-B1' THEN k % 3 = 0 WHEN 'B-B2' THEN k % 4 = 0 WHEN 'B-C1' THEN o <= pow(2, -10) WHEN 'B-C2' THEN s <= pow(2, -24) ELSE k <> 5 END THEN 'pass' ELSE 'fail' END state FROM g""",
     "eval_overlap_summary": _TWO + ", la AS (SELECT id, list(nbr ORDER BY rank) la FROM a GROUP BY 1), lb AS (SELECT id, list(nbr ORDER BY rank) lb FROM b GROUP BY 1), j AS (SELECT k, len(list_intersect(la[1:k], lb[1:k]))::DOUBLE / len(list_distinct(list_concat(la[1:k], lb[1:k]))) j FROM la JOIN lb USING (id), (VALUES (1), (5), (10)) t(k)) SELECT k, round(avg(j), 6) mean_jaccard, count(*) FILTER (j < 1) changed FROM j GROUP BY 1",
+    "eval_queries_filled": "WITH h AS (SELECT id, media_id, sha256(uid) h FROM tracks), g AS (SELECT media_id, arg_min(id, h) id FROM h GROUP BY 1 ORDER BY sha256(media_id::VARCHAR), media_id LIMIT 300), r AS (SELECT id, h, 1 l FROM h WHERE id NOT IN (SELECT id FROM g)), b AS (SELECT id, h, 0 l FROM h WHERE id IN (SELECT id FROM g) UNION ALL SELECT * FROM r), c AS (SELECT * FROM b ORDER BY l, h, id LIMIT 300) SELECT row_number() OVER (ORDER BY h, id) AS place, id FROM c",
+    "catalog_release_nested": "WITH m AS (SELECT media_id // 5 release_id, media_id, string_agg(id, ',' ORDER BY track_number NULLS FIRST, id) t FROM tracks GROUP BY 1, 2) SELECT release_id, string_agg(media_id || ':' || t, ';' ORDER BY media_id) media FROM m GROUP BY 1",
+    "mix_swaps": "SELECT o_orderkey, greatest(0, floor(o_totalprice)::BIGINT - o_orderkey * 10) AS overlap, greatest(0, o_orderkey * 10 - o_custkey * 100) rebase FROM orders",
     "verify_ok": "WITH f AS (" + _CHANGES["verify_findings"] + ") SELECT count(*) errors, count(*) = 0 is_ok FROM f",
     "member_sizes": "WITH l AS (SELECT l_orderkey, l_linenumber || '/' || l_partkey p, sum(l_quantity::BIGINT)::BIGINT s FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, count(*)::INT AS members, sum(s)::BIGINT AS size FROM l GROUP BY 1",
 }
