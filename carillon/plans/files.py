@@ -109,9 +109,10 @@ def run_report(s, d):
     body = F.to_json(F.struct(F.transform("t", lambda x: x["t"]).alias("tracks"), "neighbors"))
     root = _in_folder(docs.select(F.concat(F.lit("run-"), F.col("label").cast("string"), F.lit(".json")).alias("path"), F.encode(body, "utf-8").alias("content")), s, "runs")
     tracks, found = O.read_run(s, root)
-    a = tracks.agg(F.count(F.lit(1)).alias("tracks"), F.sum(F.size("vector")).alias("numbers"))
-    b = found.agg(F.count(F.lit(1)).alias("neighbours"), F.sum("index").alias("indexes"), F.max("rank").cast("bigint").alias("most"))
-    return a.join(b)  # one row each
+    none = F.lit(None).cast("bigint")
+    a = tracks.agg(F.count(F.lit(1)).alias("tracks"), F.sum(F.size("vector")).alias("numbers")).select("tracks", "numbers", none.alias("neighbours"), none.alias("indexes"), none.alias("most"))
+    b = found.agg(F.count(F.lit(1)).alias("neighbours"), F.sum("index").alias("indexes"), F.max("rank").cast("bigint").alias("most")).select(none.alias("tracks"), none.alias("numbers"), "neighbours", "indexes", "most")
+    return a.unionByName(b).agg(*(F.max(c).alias(c) for c in a.columns))
 
 
 QUERIES = {f.__name__: f for f in (msim_roundtrip, blob_roundtrip, half_roundtrip, lyrics_lines, wfm_roundtrip, package_files, package_manifests, container_members, wav_samples, report_lines, run_report)}
