@@ -81,7 +81,7 @@ def test_json_numbers_and_documents(spark):
     b = '﻿{"format":"f","version":1,"album":{"title":"t","artists":[{"name":"n","role":"r"}]},"x":1}'
     df = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "{")], "k int, m string")
     got = [tuple(r) for r in df.select("k", D.canonical_json(F.col("m"))["text"], D.canonical_json(F.col("m"))["fault"]).orderBy("k").collect()]
-    assert got[0][1] == got[1][1] == '{"format":"f","version":1,"album":{"title":"t","artists":[{"name":"n","role":"r"}]},"x":1}'
+    assert got[0][1] == got[1][1] == '{\n  "format": "f",\n  "version": 1,\n  "album": {\n    "title": "t",\n    "artists": [\n      {\n        "name": "n",\n        "role": "r"\n      }\n    ]\n  },\n  "x": 1\n}\n'
     assert got[2][1:] == (None, "null") and got[3][1:] == (None, "invalid")
     assert df.select(D.package_fingerprint(F.col("m")).alias("f")).distinct().count() == 2
 
