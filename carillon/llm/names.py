@@ -150,9 +150,23 @@ def _tokens(s: str) -> list[str]:
     return [t.replace("'", "") for t in re.findall(r"[^\W_]+(?:'[^\W_]+)*", s)]
 
 
+@lru_cache(maxsize=1)
+def _type_rests() -> dict[str, tuple[str, ...]]:
+    """What is left of the longer ensemble words after a deletion at most -> the words."""
+    out: dict[str, set[str]] = {}
+    for w in ENSEMBLE_WORDS:
+        if len(w) > 4:
+            for d in deletions(w, 1):
+                out.setdefault(d, set()).add(w)
+    return {d: tuple(ws) for d, ws in out.items()}
+
+
+@lru_cache(maxsize=100_000)
 def _is_type(token: str, dotted: bool) -> bool:
     t = SYNONYMS.get(token, token)
-    if t in ENSEMBLE_WORDS or any(len(w) > 4 and near(t, w) == 1 for w in ENSEMBLE_WORDS):
+    rests = _type_rests()
+    # words within one edit share what is left after one deletion
+    if t in ENSEMBLE_WORDS or any(near(t, w) == 1 for d in ((t, *(t[:k] + t[k + 1 :] for k in range(len(t)))) if 4 <= len(t) <= 14 else ()) for w in rests.get(d, ())):
         return True
     bare = not re.search("[aeiouy]", token)
     return len(token) > 1 and token not in SUFFIXES and (dotted or bare) and any(shortens(token, w) for w in ENSEMBLE_WORDS)
@@ -291,6 +305,7 @@ def align_person(a: tuple[list[str], str], b: tuple[list[str], str]) -> tuple[in
     return 0, []
 
 
+@lru_cache(maxsize=200_000)
 def _meet_type(a: str, b: str) -> float | None:
     a, b = SYNONYMS.get(a, a), SYNONYMS.get(b, b)
     if a == b:
